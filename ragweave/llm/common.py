@@ -16,8 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ragweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ragweave-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -29,7 +31,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ragweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ragweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    path = getattr(df, "_ragweave_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +92,8 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 50) ->
         large = both.filter("v > u").join(low, "u").selectExpr("v u", "m v").filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").selectExpr("greatest(v, m) u", "least(v, m) v").union(low.selectExpr("u", "m v"))
-        cur = materialize(small.filter("u <> v").distinct(), name)
+        last, cur = cur, materialize(small.filter("u <> v").distinct(), name)
+        discard(last)
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seal:
             break

@@ -1,9 +1,10 @@
 """Exact deduplication with a heavy-hitter split (DataFrame functions only).
 
-A frequent-items sketch of the Misra-Gries family (``approx_top_k``) names digests that may be
-frequent; a pre-aggregated exact pass verifies them and gives each one's winner. The at most ``k``
-winners are broadcast and settle their rows without a shuffle; the other digests, whose groups the
-sketch bounds, meet in one ordinary shuffle of (doc_id, digest).
+A frequent-items sketch of the Misra-Gries family (``approx_top_k``) names digest prefixes that may
+be frequent; sketches of tasks meet in a tree, so no task merges all of them. A pre-aggregated exact
+pass over whole digests verifies the candidates and gives each one's winner. At most
+``k * digests of a prefix`` winners are broadcast and settle their rows without a shuffle; the other
+digests, whose groups the sketch bounds, meet in one ordinary shuffle of (doc_id, digest).
 
 Results in special cases: null text counts as empty text; a null doc_id loses to any other; rows
 that repeat both doc_id and text count once; an empty table gives an empty result; further columns
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ragweave.llm.common import materialize
 
-#: Winners broadcast at most, and counters of the sketch.
-HEAVY, COUNTERS = 256, 8192
+#: Candidates at most, counters of a sketch, and sketches merged in the tree's middle.
+HEAVY, COUNTERS, MIDDLE = 256, 2048, 64
 
 
 def _digest(text: str) -> F.Column:
@@ -26,34 +27,39 @@ def _digest(text: str) -> F.Column:
 
 
 def heavy_winners(digests: DataFrame, k: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
-    """(digest, keep_id, group_size) of the sketch's candidates, counted exactly; at most ``k`` rows."""
-    found = digests.agg(F.expr(f"approx_top_k(text_sha256, {k}, {counters})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
-    return digests.join(F.broadcast(found), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("heavy_id"), F.count("*").alias("heavy_size"))
+    """(text_sha256, heavy_id, heavy_size) of the sketch's candidates, counted exactly.
+
+    The sketch works on 60-bit prefixes, of which it names at most ``k``; equal prefixes of different
+    digests would only add a row.
+    """
+    head = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
+    keyed = digests.withColumn("__head", head)
+    part = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(MIDDLE)).alias("p")).agg(F.expr(f"approx_top_k_accumulate(__head, {counters})").alias("s"))
+    found = part.groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {k})")).alias("top")).select(F.col("top.item").alias("__head"))
+    return keyed.join(F.broadcast(found), "__head", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("heavy_id"), F.count("*").alias("heavy_size"))
 
 
 def annotate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_sha256")).distinct()
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and n_rows that repeat it."""
+    digests = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows"))
     digests = materialize(digests, "digests")
     marked = digests.join(F.broadcast(heavy_winners(digests, k)), "text_sha256", "left")
     copies = Window.partitionBy("text_sha256")
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     heavy = marked.filter("heavy_size is not null").withColumns({"keep_id": F.col("heavy_id"), "group_size": F.col("heavy_size")})
     light = marked.filter("heavy_size is null").withColumns({"keep_id": F.max("doc_id").over(copies), "group_size": F.count("*").over(copies)})
-    return heavy.unionByName(light).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*out)
+    both = heavy.unionByName(light).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return both.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id has; all columns stay.
 
-    Only ids of dropped rows are joined back, so texts move at most once and not at all where Spark
-    broadcasts that list under its own size check.
+    Only ids and digests of the rows concerned are joined back, so a text moves at most once, and not
+    at all where Spark broadcasts that list under its own size check.
     """
-    tagged = docs.withColumn("__digest", _digest(text_col))
-    gone = annotate_copies(docs, id_col, text_col, k).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = lambda right: F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    left = tagged.join(gone, same(gone), "left_anti")
-    twice = tagged.groupBy(F.col(id_col).alias("__id"), F.col("__digest").alias("__sha")).count().filter("count > 1").select("__id", "__sha")
-    once = left.join(twice, same(twice), "left_anti")
-    repeated = left.join(twice, same(twice), "left_semi").dropDuplicates([id_col, "__digest"])
-    return once.unionByName(repeated).drop("__digest")
+    tagged = docs.withColumn("__sha", _digest(text_col))
+    found = materialize(annotate_copies(docs, id_col, text_col, k).filter("not kept or n_rows > 1").selectExpr("doc_id __id", "text_sha256 __digest", "kept __kept"), "copies")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
+    once = tagged.join(found, same, "left_anti")
+    repeated = tagged.join(found.filter("__kept"), same, "left_semi").dropDuplicates([id_col, "__sha"])
+    return once.unionByName(repeated).drop("__sha")
