@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import materialize
+from ragweave.llm.common import free_name, materialize
 
 #: Candidates at most, counters of a sketch, and sketches merged in the tree's middle.
 HEAVY, COUNTERS, MIDDLE = 256, 2048, 64
@@ -57,9 +57,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only ids and digests of the rows concerned are joined back, so a text moves at most once, and not
     at all where Spark broadcasts that list under its own size check.
     """
-    tagged = docs.withColumn("__sha", _digest(text_col))
-    found = materialize(annotate_copies(docs, id_col, text_col, k).filter("not kept or n_rows > 1").selectExpr("doc_id __id", "text_sha256 __digest", "kept __kept"), "copies")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
+    sha, other, digest, kept = (free_name(docs, x) for x in ("sha", "other_id", "other_sha", "other_kept"))
+    tagged = docs.withColumn(sha, _digest(text_col))
+    found = annotate_copies(docs, id_col, text_col, k).filter("not kept or n_rows > 1")
+    found = materialize(found.select(F.col("doc_id").alias(other), F.col("text_sha256").alias(digest), F.col("kept").alias(kept)), "copies")
+    same = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(sha) == F.col(digest))
     once = tagged.join(found, same, "left_anti")
-    repeated = tagged.join(found.filter("__kept"), same, "left_semi").dropDuplicates([id_col, "__sha"])
-    return once.unionByName(repeated).drop("__sha")
+    repeated = tagged.join(found.filter(F.col(kept)), same, "left_semi").dropDuplicates([id_col, sha])
+    return once.unionByName(repeated).drop(sha)

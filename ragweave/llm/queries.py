@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import byte_bpe, chat, exact_dup, language_id, telephony
+from ragweave.llm import byte_bpe, chat, exact_dup, language_id, near_dup, repeats, telephony
 
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows, BYTES, PATTERN), BYTES)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_documents(spark, sf_dir), k=4)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
@@ -35,6 +39,10 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_features(telephony.store_texts(_documents(spark, sf_dir)))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), BYTES, PATTERN)
 
@@ -45,8 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_telephony_audio": op5_telephony_audio,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
