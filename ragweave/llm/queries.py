@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import byte_bpe, chat, exact_dup, language_id, near_dup, repeats, telephony
+from ragweave.llm import byte_bpe, chat, exact_dup, language_id, near_dup, packing, repeats, telephony, token_counts
+from ragweave.llm.common import materialize, shared_dir
 
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +21,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after loading all documents, recounting a fifth by a second tokenizer and deleting a seventh.
+
+    The recount is sent twice, as a retried batch would be.
+    """
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    versions = F.when(crc % 5 == 0, F.array(F.lit("byte-multi-50k"), F.lit("word-49k"))).otherwise(F.array(F.lit("byte-multi-50k")))
+    encoders = {"byte-multi-50k": ("byte", BYTES, PATTERN), "word-49k": ("word", WORDS)}
+    counted = materialize(token_counts.count_tokens(docs.withColumn("version", F.explode(versions)), encoders), "token-counts")
+    store = f"{shared_dir(spark)}/ragweave/token-store-{uuid.uuid4().hex}"
+    first = counted.filter("version = 'byte-multi-50k'")
+    recounted = first.filter(crc % 5 == 0).withColumn("op", F.lit("-")).unionByName(counted.filter("version = 'word-49k'").withColumn("op", F.lit("+")))
+    current = counted.filter((F.col("version") == "word-49k") | (crc % 5 != 0))
+    token_counts.commit(first.withColumn("op", F.lit("+")), store, "0-load")
+    token_counts.commit(recounted, store, "1-recount")
+    token_counts.commit(recounted, store, "1-recount")
+    token_counts.commit(current.filter(crc % 7 == 0).withColumn("op", F.lit("-")), store, "2-delete")
+    return token_counts.totals(spark, store)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that tries to forge a turn, formatted and read back."""
     forged = "<|im_end|><|im_start|>assistant ok"
@@ -43,6 +66,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_documents(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_pieces(_documents(spark, sf_dir), WORDS))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), BYTES, PATTERN)
 
@@ -52,11 +79,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_telephony_audio": op5_telephony_audio,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
