@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Lists that ``scratch`` blocks fill with the tables written inside them.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables that ``materialize`` writes inside, for ``discard`` once nothing reads them."""
+    own: list[DataFrame] = []
+    _SCRATCH.append(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.remove(own)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage.
 
@@ -33,6 +49,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ragweave_path = path
+    for own in _SCRATCH:
+        own.append(out)
     return out
 
 

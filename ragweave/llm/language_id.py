@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ragweave.llm.common import materialize
+from ragweave.llm.common import free_name, materialize
 
 SAMPLE, GRAMS, SIZES, SLOTS, HASHES = 4000, 20_000, (3, 5), 1 << 18, 3
 LETTER = re.compile(r"[^\W\d_]")
@@ -150,23 +151,28 @@ def _mean_shares(rows: DataFrame, model: Model) -> dict[str, float]:
     return {r["lang"]: r["m"] for r in rows.mapInArrow(run, "lang string, share double").groupBy("lang").agg(F.avg("share").alias("m")).collect()}
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with lang_pred and score; the text is the only input."""
-    from pyspark.sql import types as T
-
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with columns ``names``: language and score; the text is the only input."""
     rest = docs if keep_text else docs.drop(text_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rest.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t) for t in batch.column(text_col).to_pylist()]
             part = batch if keep_text else batch.drop_columns([text_col])
-            part = part.append_column("lang_pred", pa.array([x[0] for x in found], pa.string()))
-            yield part.append_column("score", pa.array([x[1] for x in found], pa.float64()))
+            part = part.append_column(names[0], pa.array([x[0] for x in found], pa.string()))
+            yield part.append_column(names[1], pa.array([x[1] for x in found], pa.float64()))
 
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """``docs`` whose text has a language with a score above ``least``; all columns stay."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = predict(docs, model, text_col, names=(lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) > least)).drop(lang, score)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

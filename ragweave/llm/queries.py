@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import byte_bpe, chat, exact_dup, language_id, near_dup, packing, repeats, telephony, token_counts
+from ragweave.llm import byte_bpe, chat, exact_dup, language_id, licenses, near_dup, packing, repeats, telephony, token_counts
 from ragweave.llm.common import materialize, shared_dir
 
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +74,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), BYTES, PATTERN)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return licenses.summary(docs, licenses.train(docs))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.annotate_copies(_documents(spark, sf_dir)).drop("n_rows")
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scans": op9_license_scans,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
