@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import tokens
-from ragweave.llm.common import discard, materialize
+from ragweave.llm.common import discard, materialize, ragged, row_blocks, text_views
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 20_000, 2, 2
 #: Solutions on an island, children in an epoch, share of a parent's bins that crossover injects.
 POPULATION, CHILDREN, INJECTED = 3, 4, 0.4
 WELL_FILLED = 0.97
+#: Bytes of texts that are encoded at once.
+BLOCK = 1 << 22
 
 Bins = list[list[int]]
 
@@ -124,21 +126,24 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """Pieces of each document's ids and the end id; only longer documents are cut."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.word_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for i, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a : a + 4 * capacity]
-                        out.append((doc, i, a // 4, len(own) // 4, zlib.crc32(own)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in PIECES.split(", ")])
+            _, offsets = text_views(batch.column(1))
+            for a, b in row_blocks(offsets, BLOCK):
+                ids, ends = coder.encode_column(batch.column(1).slice(a, b - a))
+                ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4")
+                ends = ends + np.arange(len(ends))
+                counts = -(-np.diff(ends) // capacity)
+                row = np.repeat(np.arange(b - a), counts)
+                piece = ragged(np.zeros(b - a, np.int64), counts)
+                start = piece * capacity
+                first = ends[row] + start
+                length = np.minimum(ends[row + 1] - first, capacity)
+                crc = [zlib.crc32(ids[x : x + n]) for x, n in zip(first.tolist(), length.tolist())]
+                doc = batch.column(0).slice(a, b - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

@@ -16,8 +16,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from ragweave.llm.common import ragged
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
@@ -169,7 +173,11 @@ class ByteDecoder:
 
 
 #: Characters whose normal form, case and class all tools agree on; other texts go to the library whole.
-USUAL = regex.compile(r"[\t\n\r\x20-\x7e -ſ‐-‧€]*")
+USUAL = regex.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*")
+
+
+#: Marks at the end of a word that are tokens of their own after a letter.
+TAIL = ".,;:!?"
 
 
 class WordEncoder(Encoder):
@@ -188,6 +196,66 @@ class WordEncoder(Encoder):
     def whole(self, text: str) -> list[int] | None:
         return None if USUAL.fullmatch(text) else self.library.encode(text, add_special_tokens=False).ids
 
+    def _cores(self, cores: list[str]) -> list[bytes]:
+        """Packed ids of lower-cased words."""
+        known = self.known
+        if len(known) > MOST_PIECES:
+            known.clear()
+        new = [c for c in cores if c not in known]
+        if new:
+            known |= {c: self._pack(e.ids) for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        packed = [known[c] for c in cores]
+        for c in new:
+            if len(c) > LONGEST_PIECE:
+                del known[c]
+        return packed
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct lower-cased words, concatenated, and how many each has; a mark at the end is apart."""
+        trimmed = pc.utf8_rtrim(words, TAIL)
+        apart = pc.and_(pc.equal(pc.subtract(pc.utf8_length(words), pc.utf8_length(trimmed)), 1), pc.match_substring_regex(trimmed, r"\p{L}$"))
+        cores = pc.if_else(apart, trimmed, words).dictionary_encode()
+        packed = self._cores(cores.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        at = cores.indices.to_numpy()
+        mark = apart.to_numpy(zero_copy_only=False)
+        counts = sizes[at] + mark
+        ids = np.empty(int(counts.sum()), "<u4")
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        ids[ragged(starts, sizes[at])] = np.frombuffer(b"".join(packed), "<u4")[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        last = pc.utf8_slice_codeunits(words.filter(apart), -1, 1 << 30).to_pylist()
+        marks = dict(zip(TAIL, self._cores(list(TAIL))))
+        ids[ends[mark] - 1] = np.frombuffer(b"".join([marks[x] for x in last]), "<u4")
+        return ids, counts
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, and where each text's begin and end; null counts as empty.
+
+        Words are told apart by Arrow's dictionary, so Python sees each word of the column once.
+        """
+        column = pc.fill_null(column, "")
+        odd = np.flatnonzero(~pc.match_substring_regex(column, "^(?:" + USUAL.pattern + ")$").to_numpy(zero_copy_only=False))
+        usual = column
+        if len(odd):
+            mask = np.zeros(len(column), bool)
+            mask[odd] = True
+            usual = pc.if_else(pa.array(mask), "", column)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(usual))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = split.flatten()
+        words = words.dictionary_encode()
+        own, sizes = self._words(words.dictionary) if len(words.dictionary) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        at = words.indices.to_numpy()
+        ids = own[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds]
+        if not len(odd):
+            return ids, ends
+        parts = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for i in odd:
+            parts[i] = np.array(self.whole(column[int(i)].as_py()) or [], "<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
 
 @functools.lru_cache(maxsize=4)
 def byte_encoder(path: str, pattern: str) -> ByteEncoder:
