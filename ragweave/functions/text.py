@@ -124,3 +124,29 @@ def name_uuid(x: Column | str) -> Column:
     """A UUID-shaped id made from a SHA-1 of the text: equal texts, equal ids."""
     h = F.sha1(_c(x).cast("binary"))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def strip_links(x: Column | str) -> Column:
+    """Markdown links to their text; asterisks at the ends go."""
+    return F.regexp_replace(F.regexp_replace(_c(x), r"\[([^\[\]]+)\]\([^)]+\)", "$1"), r"^\*+|\*+$", "")
+
+
+def slide_headings(x: Column | str) -> Column:
+    """Headings one level down, slide comments to headings of the first level."""
+    lower = F.regexp_replace(_c(x), r"(?m)^(#{1,6})", "#$1")
+    return F.regexp_replace(lower, r"<!-- Slide number: ([0-9]+) -->", "# Slide $1")
+
+
+def drop_picture_marks(x: Column | str) -> Column:
+    """Marks that stand for omitted pictures of a converted page."""
+    return F.trim(F.regexp_replace(_c(x), r"==> picture \[[0-9]+ x [0-9]+\][^<\n]*<==", ""))
+
+
+def stream_tokens(x: Column | str) -> Column:
+    """Pieces as a generator would send them: a word and the white space after it."""
+    return F.regexp_extract_all(_c(x), F.lit(r"(\S+\s?)"), F.lit(1))
+
+
+def flushed_sentences(x: Column | str) -> Column:
+    """Parts that end at a stop mark, as a speech queue would flush them; the rest is a part."""
+    return F.filter(F.regexp_extract_all(_c(x), F.lit("([^.?!。，！]*[.?!。，！]|[^.?!。，！]+$)"), F.lit(1)), lambda p: F.trim(p) != "")

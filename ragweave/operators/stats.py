@@ -45,3 +45,11 @@ def load_test(rows: DataFrame, users: int) -> DataFrame:
     names = ["inputs", "outputs", "first", "last", "next"]
     out = [f(F.col(c)).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("p90", lambda x: F.percentile(x, 0.9)))]
     return each.agg(*out, (F.lit(users) / F.avg("next")).alias("tokens_per_second"))
+
+
+def ingestion_report(rows: DataFrame, steps: list[str]) -> DataFrame:
+    """Rows of files with their step times in ms, and a row TOTAL of sums."""
+    total = rows.agg(*[F.sum(c).alias(c) for c in ("file_size", "total_chunks", *steps)]).withColumn("file_name", F.lit("TOTAL"))
+    names = ["file_name", "file_size", "total_chunks", *steps]
+    sums = [sum((F.coalesce(F.col(s), F.lit(0)) for s in steps[1:]), F.coalesce(F.col(steps[0]), F.lit(0))).alias("total")]
+    return rows.select(*names, *sums).unionByName(total.select(*names, *sums))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragweave.operators import catalog, models, prompts, stats
+from ragweave.operators import catalog, models, prompts, records, stats
 from ragweave.plans import pipeline
 from ragweave.plans.registry import query, table
 
@@ -186,3 +186,33 @@ def pipeline_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     branches = {"named": lambda d: d.select("doc_id", F.upper("lang").alias("name")), "sized": lambda d: d.select("doc_id", (F.col("n_chars") * 2).alias("size"))}
     found = pipeline.ensemble(table(spark, sf_dir, "documents"), branches, ["doc_id"])
     return found.select("doc_id", "named.name", "sized.size")
+
+
+@query("""SELECT 'conv-' || conv_id || '.txt' AS filename, turn, text AS prompt_text FROM conversations WHERE contains(text, 'the th') AND role = 'user'""")
+def prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as stored prompts, by a part of their text."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.format_string("conv-%d.txt", "conv_id").alias("filename"), "turn", F.col("text").alias("prompt_text"))
+    return records.find_prompts(rows, text="the th")
+
+
+@query("""SELECT conv_id AS history_id, conv_id % 7 AS user_id, CASE WHEN conv_id % 7 = 3 AND conv_id = 10 THEN 'renamed' ELSE 'chat ' || conv_id END AS name, len(list(text)) AS n
+    FROM conversations WHERE NOT (conv_id % 7 = 4 AND conv_id = 11) GROUP BY conv_id""")
+def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of seven users: one renamed by its owner, one removed; others' requests change nothing."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("history_id")).agg(F.count("*").alias("n"))
+    rows = rows.select("history_id", (F.col("history_id") % 7).alias("user_id"), F.format_string("chat %d", "history_id").alias("name"), "n")
+    rows = records.renamed(records.renamed(rows, "3", "10", "renamed"), "5", "10", "stolen")
+    return records.removed(records.removed(rows, "4", "11"), "6", "12")
+
+
+@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE n_chars > 100) AS n_ready, CASE WHEN count(*) = count(*) FILTER (WHERE n_chars > 100) THEN 'Ready' ELSE 'Failed' END AS status FROM documents GROUP BY source""")
+def readiness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.readiness(table(spark, sf_dir, "documents"), "source", F.col("n_chars") > 100)
+
+
+@query("""WITH r AS (SELECT 'doc-' || doc_id AS file_name, n_chars AS file_size, n_chars // 500 AS total_chunks, n_chars % 100 AS extraction, n_chars % 77 AS embedding FROM documents)
+    SELECT *, extraction + embedding AS total FROM r UNION ALL SELECT 'TOTAL', sum(file_size)::BIGINT, sum(total_chunks)::BIGINT, sum(extraction)::BIGINT, sum(embedding)::BIGINT, sum(extraction + embedding)::BIGINT FROM r""")
+def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("n_chars")
+    rows = table(spark, sf_dir, "documents").select(F.format_string("doc-%d", "doc_id").alias("file_name"), c.alias("file_size"), F.floor(c / 500).alias("total_chunks"), (c % 100).alias("extraction"), (c % 77).alias("embedding"))
+    return stats.ingestion_report(rows, ["extraction", "embedding"])

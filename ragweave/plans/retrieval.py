@@ -183,3 +183,10 @@ def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = Window.partitionBy("label").orderBy("vec_id")
     steps = e.select("label", "vec_id", V.distance("embedding", F.lead("embedding").over(line)).alias("step"))
     return chunks.semantic_groups(steps, "label", "vec_id", "step").select("label", "vec_id", "is_break", "part")
+
+
+@query("""SELECT doc_id, source, lang, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)""")
+def siblings_under_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in the same file (source) and under the same header (lang)."""
+    docs = table(spark, sf_dir, "documents").withColumn("start", F.col("doc_id"))
+    return search.with_siblings(docs, ["source", "lang"], "start", "doc_id").select("doc_id", "source", "lang", "previous_id", "next_id")

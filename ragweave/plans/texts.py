@@ -153,3 +153,24 @@ def extract_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").filter(F.length("html") > 0)
     uploads = pages.select(F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".txt")).alias("filename"), F.base64(F.col("html").cast("binary")).alias("data64"))
     return files.extract(files.decode(uploads), "filename").select("filename", "text")
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || left(text, 60), '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain, regexp_replace('# ' || left(text, 20), '(?m)^(#{1,6})', '#\\1', 'g') AS lower_heading FROM documents""")
+def markdown_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    linked = F.concat(F.lit("[see](http://x) "), F.substring("text", 1, 60))
+    return docs.select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(F.concat(F.lit("# "), F.substring("text", 1, 20))).alias("lower_heading"))
+
+
+@query("""SELECT conv_id, turn, len(regexp_extract_all(text, '([^ \\t\\n\\r\\f\\v]+[ \\t\\n\\r\\f\\v]?)', 1))::INTEGER AS n_tokens,
+    len(list_filter(regexp_extract_all(text, '([^.?!。，！]*[.?!。，！]|[^.?!。，！]+$)', 1), lambda p: trim(p) <> ''))::INTEGER AS n_sentences FROM conversations WHERE text IS NOT NULL""")
+def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("text is not null")
+    return turns.select("conv_id", "turn", F.size(X.stream_tokens("text")).alias("n_tokens"), F.size(X.flushed_sentences("text")).alias("n_sentences"))
+
+
+@query()
+def speech_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns cut for speech at 128 characters."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return turns.select("conv_id", "turn", F.posexplode(chunks.sentence_pack("text", 128)).alias("part", "speech"))

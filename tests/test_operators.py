@@ -239,3 +239,21 @@ def test_pipelines(spark):
         pipeline.Graph().add("a", lambda d: d, "nothing").order(set())
     found = rows.withColumn("j", F.lit('{"a": {"b": "x"}}')).filter(pipeline.json_condition("j", "$.a.b", "x") & pipeline.json_condition("j", "$.a"))
     assert found.count() == 4
+
+
+def test_records(spark):
+    from ragweave.operators import records
+
+    rows = spark.createDataFrame([("h", "u", "old", [("q", "a")]), ("i", "v", "x", None)], "history_id string, user_id string, name string, messages array<struct<question: string, answer: string>>")
+    assert {r.name for r in records.renamed(rows, "u", "h", "new").collect()} == {"new", "x"}
+    assert records.owned(rows, "v").count() == 1 and records.owned(rows, "v", "h").count() == 0
+    new = spark.createDataFrame([("h", 2, "q3", "a3"), ("h", 1, "q2", "a2"), ("i", 1, "z", "z")], "history_id string, n int, question string, answer string")
+    got = {r.history_id: [m.question for m in r.messages] for r in records.appended(rows, new).collect()}
+    assert got == {"h": ["q", "q2", "q3"], "i": ["z"]}
+    for name in (" ", "x" * 251):
+        with pytest.raises(ValueError):
+            records.renamed(rows, "u", "h", name)
+    shots = spark.createDataFrame([("s1", 1, {"llm": "r1"}), ("s2", 2, {"llm": "r2", "rerank": "r3"})], "snapshot_id string, timestamp int, refs map<string, string>")
+    parts = spark.createDataFrame([("r1", "a"), ("r2", "b"), ("r3", "c")], "ref string, parameters string")
+    assert {(r.name, r.parameters) for r in records.current_settings(shots, parts).collect()} == {("llm", "b"), ("rerank", "c")}
+    assert len(records.grid({"a": [1, 2], "b": [3, 4, 5]})) == 6

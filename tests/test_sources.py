@@ -95,3 +95,17 @@ def test_watermarked_windows(spark, tmp_path, sf):
     assert spark.table(name).agg(F.sum("n")).first()[0] == rows.count()
     log = spark.createDataFrame([("x", 1, "uploaded"), ("x", 2, "error"), ("y", 1, "ingested")], "id string, ts int, status string")
     assert {(r.id, r.status) for r in events.status_machine(log).collect()} == {("x", "error"), ("y", "ingested")}
+
+
+def test_dumps_and_audio(spark, tmp_path):
+    import struct
+
+    from ragweave.sources import dumps
+
+    (tmp_path / "d.xml").write_text("<w><page><title>T</title><revision><text>[[Hi]] {x}</text></revision></page><page><title>E</title><revision><text> </text></revision></page></w>")
+    assert [(r.title, r.text) for r in dumps.encyclopedia_texts(spark, f"file://{tmp_path}/d.xml").collect()] == [("T", "Hi x")]
+    wave = lambda d: b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", len(d)) + d
+    parts = spark.createDataFrame([("r", 1, bytearray(wave(b"cd"))), ("r", 0, bytearray(wave(b"ab")))], "request_id string, part int, audio binary")
+    assert bytes(dumps.merged_audio(parts).first().audio).endswith(b"data\x04\0\0\0abcd")
+    with pytest.raises(ValueError):
+        dumps.merge_waves([wave(b"a"), wave(b"b").replace(struct.pack("<I", 8000), struct.pack("<I", 9000))])
