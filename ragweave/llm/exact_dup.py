@@ -54,8 +54,9 @@ def annotate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id has; all columns stay.
 
-    Only ids and digests of the rows concerned are joined back, so a text moves at most once, and not
-    at all where Spark broadcasts that list under its own size check.
+    Only ids and digests of the rows concerned are joined back, so a text moves once, and not at all
+    where Spark broadcasts that list under its own size check. Rows that repeat both id and text, if there
+    are any, are joined and reduced to one apart from the others.
     """
     sha, other, digest, kept = (free_name(docs, x) for x in ("sha", "other_id", "other_sha", "other_kept"))
     tagged = docs.withColumn(sha, _digest(text_col))
@@ -63,5 +64,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(found.select(F.col("doc_id").alias(other), F.col("text_sha256").alias(digest), F.col("kept").alias(kept)), "copies")
     same = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(sha) == F.col(digest))
     once = tagged.join(found, same, "left_anti")
+    if found.filter(F.col(kept)).isEmpty():  # no row repeats another in id and text
+        return once.drop(sha)
     repeated = tagged.join(found.filter(F.col(kept)), same, "left_semi").dropDuplicates([id_col, sha])
     return once.unionByName(repeated).drop(sha)
