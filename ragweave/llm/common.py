@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once, unless the session says otherwise than Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 #: Lists that ``scratch`` blocks fill with the tables written inside them.
 _SCRATCH: list[list[DataFrame]] = []
 
@@ -124,5 +135,7 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 50) ->
         if now == seal:
             break
         seal = now
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().selectExpr("node", "node component")
     return cur.selectExpr("u node", "v component").union(roots)
