@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ragweave.llm import exact_dup, language_id, near_dup, packing, repeats
-from ragweave.llm.common import discard, materialize, scratch
+from ragweave.llm.common import discard, materialize, scratch, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,6 +28,7 @@ def _stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
             table = _left.pop()
             if table.sparkSession.sparkContext is spark.sparkContext and table._ragweave_path.rpartition("/")[2] not in read:
                 discard(table)
+        small_batches(spark)
         with scratch() as own:
             out = work(docs)
         _left.extend(own)
