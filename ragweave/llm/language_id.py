@@ -17,12 +17,12 @@ rows: every text is ``und``; very long texts are taken in blocks, whole; further
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ragweave.llm.common import free_name, materialize
 
 SAMPLE, GRAMS, SIZES, SLOTS, HASHES = 4000, 20_000, (3, 5), 1 << 18, 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII that isn't a letter becomes a space; bytes of other characters stay.
 CLASS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 BLOCK = 1 << 20
