@@ -241,12 +241,13 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, k: int = ANCHOR) -> DataF
     """(doc_id, uid, spans) with the byte ranges [first, stop) of documents (doc_id, uid, text)."""
     where = F.xxhash64("doc_id", "uid", "place")
     every = materialize(find_anchors(keyed, span, k), "anchors")
-    twice = every.groupBy("anchor").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x <> y").select("anchor")
+    # tables of their own, so that joins with them have plain exchanges, whose hot anchors Spark can split
+    twice = materialize(every.groupBy("anchor").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x <> y").select("anchor"), "twice")
     places = materialize(every.join(twice, "anchor", "left_semi"), "places")
     discard(every)
     contexts = places.groupBy("anchor", "context").agg(F.min(where).alias("x"), F.max(where).alias("y"))
     contexts = materialize(contexts, "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    several = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "several")
     settled = places.join(contexts.filter("x <> y").select("anchor", "context"), ["anchor", "context"], "left_semi")
     left, right = F.shiftright("place", SHIFT).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
     at = F.shiftright("place", 2 * SHIFT)
