@@ -154,6 +154,8 @@ def _mean_shares(rows: DataFrame, model: Model) -> dict[str, float]:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with columns ``names``: language and score; the text is the only input."""
     rest = docs if keep_text else docs.drop(text_col)
+    if taken := {n.lower() for n in names} & {c.lower() for c in rest.columns}:
+        raise ValueError(f"the input has columns {sorted(taken)} already")
     schema = T.StructType([*rest.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

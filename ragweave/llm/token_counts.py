@@ -32,6 +32,8 @@ def count_tokens(docs: DataFrame, encoders: dict[str, tuple], text_col: str = "t
 
     ``encoders``: version to ("byte", path, pattern) or ("word", path). Null text has 0 tokens.
     """
+    if "n_tokens" in docs.columns:
+        raise ValueError("the input has a column n_tokens already")
     schema = T.StructType([*docs.drop(text_col).schema.fields, T.StructField("n_tokens", T.LongType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
