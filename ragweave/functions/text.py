@@ -7,19 +7,50 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a header or footer line looks like, in the order of removal.
+#: White space that all dialects here read alike.
+WHITE = r"[ \t\n\r\f\x0B]"
+
+# Headers and footers, in the order of removal; case is ignored and lines are anchored.
 BOILERPLATE = (
-    r"^.*confidential.*$",
-    r"^.*proprietary.*$",
-    r"^.*copyright.*[0-9]{4}.*$",
-    r"^.*all rights reserved.*$",
-    r"^Sent from my .*$",
-    r"^.*\.{5,}.*$",
-    r"^--\s*$",
+    rf"^{WHITE}*confidential{WHITE}*$",
+    rf"^{WHITE}*proprietary{WHITE}*$",
+    rf"\b(copyright|©|\(c\))\b.{{0,100}}?(?:19[0-9]{{2}}|20[0-9]{{2}})(?:{WHITE}*[-–—]{WHITE}*(?:19[0-9]{{2}}|20[0-9]{{2}}))?",
+    rf"^{WHITE}*all rights reserved\b{WHITE}*",
+    rf"\n+{WHITE}*Sent from my.*?$",
+    r"\.{5,}",
+    rf"\n+--{WHITE}*\n.*$",
 )
 
-#: Common English words that don't add to a segment's rank.
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
+# Words that don't add to a segment's rank.
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "with", "by")
+
+# Languages that translation knows, by code.
+LANGUAGES = {
+    "ar": "Arabic",
+    "cs": "Czech",
+    "da": "Danish",
+    "en": "English",
+    "et": "Estonian",
+    "fi": "Finnish",
+    "fr": "French",
+    "de": "German",
+    "el": "Greek",
+    "he": "Hebrew",
+    "hu": "Hungarian",
+    "it": "Italian",
+    "lv": "Latvian",
+    "lt": "Lithuanian",
+    "no": "Norwegian",
+    "fa": "Persian",
+    "pl": "Polish",
+    "pt": "Portuguese",
+    "ro": "Romanian",
+    "ru": "Russian",
+    "sk": "Slovak",
+    "es": "Spanish",
+    "sv": "Swedish",
+    "zh": "Chinese",
+}
 
 
 def _c(x: Column | str) -> Column:
@@ -45,11 +76,17 @@ def clean_scanned(x: Column | str) -> Column:
 
 
 def strip_lines(x: Column | str, patterns: Iterable[str] = BOILERPLATE, custom: Iterable[str] = ()) -> Column:
-    """Lines that match a pattern go (case ignored); blank lines that are left collapse."""
+    """Whatever matches a pattern goes, pattern by pattern; case is ignored and only a line feed ends a line."""
     out = _c(x)
     for p in (*patterns, *custom):
-        out = F.regexp_replace(out, f"(?im){p}", "")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+        out = F.regexp_replace(out, f"(?imd){p}", "")
+    return out
+
+
+def language_name(code: Column | str) -> Column:
+    """The name of a language code, or empty."""
+    names = F.create_map(*[F.lit(v) for pair in LANGUAGES.items() for v in pair])
+    return F.coalesce(names[_c(code)], F.lit(""))
 
 
 def compression_ratio(before: Column | str, after: Column | str) -> Column:
@@ -69,14 +106,14 @@ def bind(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct runs of ``n`` tokens; all tokens together if there are fewer."""
+    """Distinct runs of ``n`` tokens; the distinct tokens if there are fewer."""
     return bind(tokens, lambda t: _ngrams(t, n))
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
     size = F.size(tokens)
     many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size > 0, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(size >= n, many).otherwise(tokens))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -87,11 +124,13 @@ def overlap(a: Column, b: Column) -> Column:
 
 def segment_rank(x: Column | str) -> Column:
     """Length, weighted by how many of the words aren't stop words; not yet divided by the largest."""
-    tokens = words(x)
-    size = F.size(tokens)
-    content = F.size(F.filter(tokens, lambda w: ~w.isin(STOP_WORDS)))
     length = F.length(_c(x))
-    return F.when(size > 0, 0.7 * length + 0.3 * (content / size) * length).otherwise(0.0)
+
+    def rank(tokens: Column) -> Column:
+        content = F.size(F.filter(tokens, lambda w: ~w.isin(list(STOP_WORDS))))
+        return F.when(F.size(tokens) > 0, 0.7 * length + 0.3 * (content / F.size(tokens)) * length).otherwise(0.7 * length)
+
+    return bind(F.regexp_extract_all(F.lower(_c(x)), F.lit(r"(?U)(\w+)"), F.lit(1)), rank)
 
 
 def extension(path: Column | str) -> Column:

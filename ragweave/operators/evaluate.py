@@ -20,12 +20,13 @@ def ranking_scores(retrieved: DataFrame, golds: DataFrame, depth: int = 10) -> D
     """hits_4, hits_10, map_10, mrr_10 of each query that has golds.
 
     ``retrieved``: query_id, rank, text; ``golds``: query_id, gold. A gold counts at the first rank whose
-    text holds it; precision at a rank is the golds first found there by the rank.
+    text holds it; precision at a rank is the golds first found there by the rank, and the sum of these is
+    divided by all golds given (repeats included), at most ``depth``.
     """
     pairs = retrieved.filter(F.col("rank") <= depth).join(golds.select("query_id", "gold").distinct(), "query_id")
     found = pairs.filter(F.contains(without_none("text"), F.col("gold"))).groupBy("query_id", "gold").agg(F.min("rank").alias("rank"))
     per = found.groupBy("query_id").agg(F.min("rank").alias("first"), F.sum(1 / F.col("rank")).alias("gain"))
-    sizes = golds.groupBy("query_id").agg(F.countDistinct("gold").alias("n"))
+    sizes = golds.groupBy("query_id").agg(F.count("gold").alias("n"))
     both = sizes.join(per, "query_id", "left")
     return both.select(
         "query_id",

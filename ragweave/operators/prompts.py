@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 PLACEHOLDER = re.compile(r"\{(\w+)\}")
 OPTIONAL = "conversation_history"
+# Fixed value: the answer that stands for a blocked one in stored conversations.
+BLOCKED = "I'm sorry, I cannot assist you with your prompt."
+# Labels of the turns by language.
+LABELS = {"en": ("User", "Assistant"), "pl": ("Użytkownik", "Asystent")}
 
 
 def check_template(template: str, expected: Iterable[str]) -> None:
@@ -44,11 +48,12 @@ def render(template: str, values: dict[str, Column | str]) -> Column:
 
 
 def context_entry(citation: str = "citation_id", source: str = "source", text: str = "text", headers: Iterable[str] = ()) -> Column:
-    """``[1] (source)``, section and content lines of one document; bare text if the source is unknown."""
+    """``[1] (source)``, section and content lines of one document; section and text alone if the source is unknown."""
     section = F.concat_ws(" > ", *headers) if headers else F.lit("")
     head = F.format_string("[%d] (%s)", F.col(citation), F.col(source))
     lines = F.concat_ws("\n", head, F.when(section != "", F.concat(F.lit("Section: "), section)), F.concat(F.lit("Content: "), F.col(text)))
-    return F.when(F.col(source).isNull() | (F.col(source) == ""), F.col(text)).otherwise(lines)
+    bare = F.concat(F.when(section != "", F.concat(F.lit("\nSection: "), section)).otherwise(""), F.col(text))
+    return F.when(F.col(source).isNull() | (F.col(source) == ""), bare).otherwise(lines)
 
 
 def context(rows: DataFrame, entry: Column, group: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -64,15 +69,16 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return ahead.filter("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def recent(pairs: DataFrame, k: int = 3, refusals: Iterable[str] = ()) -> DataFrame:
+def recent(pairs: DataFrame, k: int = 3, refusals: Iterable[str] = (BLOCKED,)) -> DataFrame:
     """The last ``k`` exchanges of each conversation, without those whose answer is a refusal."""
-    kept = pairs.filter(~F.col("answer").isin(list(refusals))) if refusals else pairs
+    kept = pairs.filter(~F.coalesce(F.col("answer").isin(list(refusals)), F.lit(False))) if refusals else pairs
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return kept.withColumn("back", F.row_number().over(last)).filter(F.col("back") <= k)
 
 
-def history(pairs: DataFrame, k: int = 3, user: str = "User", assistant: str = "Assistant", refusals: Iterable[str] = ()) -> DataFrame:
+def history(pairs: DataFrame, k: int = 3, language: str = "en", refusals: Iterable[str] = (BLOCKED,)) -> DataFrame:
     """(conv_id, history): the last exchanges as labelled lines, oldest first."""
+    user, assistant = LABELS[language]
     line = F.concat(F.lit(f"{user}: "), F.coalesce("question", F.lit("")), F.lit(f"\n{assistant}: "), F.coalesce("answer", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return recent(pairs, k, refusals).groupBy("conv_id").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("history"))

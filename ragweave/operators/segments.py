@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
 
-_SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
 
 
 def _grams(segment: str, n: int = 3) -> frozenset[str]:
-    tokens = _SPACE.sub(" ", segment.lower()).strip().split(" ")
-    return frozenset(" ".join(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))) if tokens != [""] else frozenset()
+    tokens = segment.lower().split()
+    return frozenset(tokens if len(tokens) < n else (" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)))
 
 
 def _rank(segment: str) -> float:
-    tokens = segment.lower().split()
+    tokens = _WORD.findall(segment.lower())
     content = sum(t not in X.STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
     return 0.7 * len(segment) + 0.3 * content * len(segment)
 
@@ -31,8 +31,9 @@ def distinct_segments(text: str, threshold: float = 0.95, sentences: bool = Fals
     Better is a higher rank, or earlier at equal rank; survivors keep their order. An index from trigrams
     to kept segments finds those that share any, so segments that share none are never compared.
     """
-    parts = [p.strip() for p in (re.split(r"(?<=[.!?])\s+", text) if sentences else re.split(r"\n\s*\n", text))]
-    parts = [p for p in parts if p]
+    parts = [p for p in (re.split(r"(?<=[.!?])\s+", text) if sentences else re.split(r"\n\s*\n", text)) if p.strip()]
+    if len(parts) < 2:
+        return (" " if sentences else "\n\n").join(parts)
     grams = [_grams(p) for p in parts]
     kept: list[int] = []
     by: dict[str, list[int]] = {}

@@ -28,9 +28,9 @@ _SPACE = "'[ \\t\\n\\r\\f\\v]+'"
 
 def _scores_sql(order: str) -> str:
     return f"""r AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id {order}) AS rank, trim(regexp_replace(regexp_replace(text, '\\bNone\\b', '', 'g'), {_SPACE}, ' ', 'g'), ' ') AS t FROM documents),
-    g AS (SELECT DISTINCT source AS query_id, trim(left(trim(regexp_replace(text, {_SPACE}, ' ', 'g'), ' '), 25), ' ') AS gold FROM documents WHERE doc_id % 3 = 0),
+    g0 AS (SELECT source AS query_id, trim(left(trim(regexp_replace(text, {_SPACE}, ' ', 'g'), ' '), 25), ' ') AS gold FROM documents WHERE doc_id % 3 = 0), g AS (SELECT DISTINCT * FROM g0),
     f AS (SELECT g.query_id, gold, min(rank) AS rank FROM g JOIN r ON r.query_id = g.query_id AND rank <= 10 AND contains(t, gold) GROUP BY ALL),
-    p AS (SELECT query_id, min(rank) AS first, sum(1 / rank) AS gain FROM f GROUP BY query_id), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY query_id),
+    p AS (SELECT query_id, min(rank) AS first, sum(1 / rank) AS gain FROM f GROUP BY query_id), n AS (SELECT query_id, count(*) AS n FROM g0 GROUP BY query_id),
     s AS (SELECT n.query_id, coalesce((first <= 4)::INTEGER, 0) AS hits_4, coalesce((first <= 10)::INTEGER, 0) AS hits_10, coalesce(gain / least(n, 10), 0)::DOUBLE AS map_10, coalesce(1 / first, 0)::DOUBLE AS mrr_10 FROM n LEFT JOIN p ON n.query_id = p.query_id)"""
 
 

@@ -14,7 +14,6 @@ NOTICES = (r"^.*licensed under.*$", r"^.*released under.*$")
 STRIPPED = "text"
 for _p in (*X.BOILERPLATE, *NOTICES):
     STRIPPED = f"regexp_replace({STRIPPED}, '(?im){_p}', '', 'g')"
-STRIPPED = f"trim(regexp_replace({STRIPPED}, '\\n{{3,}}', E'\\n\\n', 'g'), ' ')"
 
 
 @query(f"SELECT doc_id, md5({STRIPPED}) AS stripped_md5, length({STRIPPED})::BIGINT AS stripped_length FROM documents")
@@ -77,7 +76,7 @@ def dedup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents),
-    g AS (SELECT doc_id, source, CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) ELSE [] END AS g FROM s),
+    g AS (SELECT doc_id, source, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) ELSE w END) AS g FROM s),
     p AS (SELECT doc_id, g, lead(doc_id) OVER k AS next_id, lead(g) OVER k AS h FROM g WINDOW k AS (PARTITION BY source ORDER BY doc_id))
     SELECT doc_id, next_id, round(CASE WHEN len(g) = 0 AND len(h) = 0 THEN 1 WHEN len(g) = 0 OR len(h) = 0 THEN 0 ELSE len(list_intersect(g, h)) / least(len(g), len(h)) END, 6)::DOUBLE AS overlap FROM p WHERE next_id IS NOT NULL""")
 def trigram_overlap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,3 +173,15 @@ def speech_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns cut for speech at 128 characters."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return turns.select("conv_id", "turn", F.posexplode(chunks.sentence_pack("text", 128)).alias("part", "speech"))
+
+
+@query("""SELECT doc_id, round(0.7::DOUBLE * length(text) + 0.3::DOUBLE * (CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'with', 'by'))) / len(w) ELSE 0 END) * length(text), 4)::DOUBLE AS rank
+    FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '([\\p{L}\\p{M}\\p{N}_]+)', 1) AS w FROM documents)""")
+def segment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents ranked as segments."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.segment_rank("text"), 4).alias("rank"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE '' END AS language FROM documents""")
+def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.language_name("lang").alias("language"))
