@@ -185,20 +185,21 @@ def fit(samples: list[str], seed: int = 7) -> Model:
     rows = []
     for text, _ in examples:
         words, _ = _of(text)
-        rows.append(np.concatenate(features(words, np.array([0]))) if len(words) else np.zeros(0, np.int64))
+        rows.append(np.concatenate(features(words, np.array([0]))) if len(words) else np.zeros(1, np.int64))
     labels = np.array([y for _, y in examples])
     cut = len(rows) * 4 // 5
     used, columns = np.unique(np.concatenate(rows), return_inverse=True)
     sizes = np.array([len(r) for r in rows])
-    at = np.repeat(np.arange(len(rows)), sizes)
-    train = at < cut
+    starts = np.cumsum(sizes) - sizes
+    taught = int(starts[cut]) if cut < len(rows) else len(columns)
+    order = np.argsort(columns[:taught], kind="stable")
+    of_row = np.repeat(np.arange(len(rows)), sizes)[:taught][order]
+    own, edges = np.unique(columns[:taught][order], return_index=True)
     w, b = np.zeros((len(used), len(families))), np.zeros(len(families))
     target = np.eye(len(families))[labels]
 
     def logits() -> np.ndarray:
-        z = np.zeros((len(rows), len(families)))
-        np.add.at(z, at, w[columns])
-        return z + b
+        return np.add.reduceat(w[columns], starts, axis=0) + b
 
     slope_w, slope_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(ROUNDS):
@@ -207,7 +208,7 @@ def fit(samples: list[str], seed: int = 7) -> Model:
         gap = (e / e.sum(1, keepdims=True) - target) / np.maximum(sizes, 1)[:, None]
         gap[cut:] = 0
         grad = np.zeros_like(w)
-        np.add.at(grad, columns[train], gap[at[train]])
+        grad[own] = np.add.reduceat(gap[of_row], edges, axis=0)
         grad, grad_b = grad + DECAY * w, gap.sum(0)
         slope_w, slope_b = 0.9 * slope_w + 0.1 * grad, 0.9 * slope_b + 0.1 * grad_b
         w -= RATE * slope_w
