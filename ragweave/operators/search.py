@@ -119,11 +119,12 @@ def search(corpus: DataFrame, query: list[float], kind: str = "similarity", k: i
 
 
 def fit_cells(sample: DataFrame, cells: int, rounds: int = 8, most: int = 20_000, seed: int = 3, vec_col: str = "embedding") -> list[list[float]]:
-    """Centres of an inverted-file index, by k-means on at most ``most`` rows taken by a hash of the vector."""
+    """Centres of an inverted-file index, by k-means on about ``most`` rows taken by a hash of the vector."""
     import numpy as np
 
-    rows = sample.select(vec_col).orderBy(F.xxhash64(vec_col)).limit(most).collect()
-    x = np.array([r[0] for r in rows], float)
+    share = min(1.0, most / max(1, sample.count()))
+    rows = sample.select(vec_col).filter(F.pmod(F.xxhash64(vec_col), F.lit(1 << 20)) < share * (1 << 20)).collect()
+    x = np.array(sorted(list(r[0]) for r in rows), float)
     if not len(x):
         return []
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
