@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Samples whose features are computed at once.
+FEATURE_BLOCK = 1 << 20
+
 # Format tags of RIFF files.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 
@@ -156,13 +159,14 @@ def resample(samples: np.ndarray, rate: int, target: int, block: int = 1 << 16)
         return samples.astype(np.int16)
     bank = _bank(up, down)
     half = bank.shape[1] // 2
-    padded = np.pad(samples.astype(np.float64), half, "edge")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half)
     n = len(samples) * up // down
     out = np.empty(n, np.int16)
     for a in range(0, n, block):
         k = np.arange(a, min(n, a + block)) * down
-        out[a : a + block] = np.clip(np.rint(np.einsum("ij,ij->i", windows[k // up + 1], bank[k % up])), -32768, 32767)
+        first = int(k[0]) // up - half + 1
+        near = samples[np.clip(np.arange(first, int(k[-1]) // up + half + 1), 0, len(samples) - 1)].astype(np.float64)
+        windows = np.lib.stride_tricks.sliding_window_view(near, 2 * half)
+        out[a : a + block] = np.clip(np.rint(np.einsum("ij,ij->i", windows[k // up - int(k[0]) // up], bank[k % up])), -32768, 32767)
     return out
 
 
@@ -194,9 +198,13 @@ def payload(text: bytes, unit: int = 64) -> bytes:
 
 def feature(samples: np.ndarray, target: np.ndarray) -> str:
     """Peak, mean square and zero crossings of the samples, and a checksum of the resampled ones."""
-    x = samples.astype(np.int64)
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={len(x)} peak={int(np.abs(x).max())} ms={int((x * x).sum()) // len(x)} zc={crossings} m={len(target)} crc={zlib.crc32(target.astype('<i2').tobytes()):08x}"
+    peak = power = crossings = 0
+    for a in range(0, len(samples), FEATURE_BLOCK):
+        x = samples[a : a + FEATURE_BLOCK + 1].astype(np.int64)  # one more, for the crossing into the next block
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[:FEATURE_BLOCK]
+        peak, power = max(peak, int(np.abs(x).max())), power + int((x * x).sum())
+    return f"n={len(samples)} peak={peak} ms={power // len(samples)} zc={crossings} m={len(target)} crc={zlib.crc32(target.astype('<i2').tobytes()):08x}"
 
 
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -77,7 +77,7 @@ def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
     spark = changes.sparkSession
     if batch_id in committed(spark, store):
         return False
-    rollup(changes).coalesce(1).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    rollup(changes).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
     return True
 
 
@@ -92,4 +92,4 @@ def totals(spark: SparkSession, store: str) -> DataFrame:
 
 def compact(spark: SparkSession, store: str, target: str) -> None:
     """Write the totals of ``store`` as one batch of a new store."""
-    totals(spark, store).coalesce(1).write.parquet(f"{target}/batch=compacted")
+    totals(spark, store).write.parquet(f"{target}/batch=compacted")

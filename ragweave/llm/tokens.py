@@ -235,6 +235,9 @@ class WordEncoder(Encoder):
         Words are told apart by Arrow's dictionary, so Python sees each word of the column once.
         """
         column = pc.fill_null(column, "")
+        if len(column) == 1 and column.nbytes > 8 * BLOCK:  # a very long text, block by block
+            parts = [self.encode_column(pa.array([b]))[0] for b in blocks(column[0].as_py())]
+            return np.concatenate(parts), np.array([0, sum(map(len, parts))])
         odd = np.flatnonzero(~pc.match_substring_regex(column, "^(?:" + USUAL.pattern + ")$").to_numpy(zero_copy_only=False))
         usual = column
         if len(odd):

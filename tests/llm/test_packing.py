@@ -66,3 +66,15 @@ def test_crossover_and_evolution_keep_every_item():
     best = packing.evolve(lengths, 100, 3, [b])
     assert Counter(x for s in best for x in s) == lengths and packing.fitness(best, 100) >= packing.fitness(b, 100)
     assert packing.unpack_solution(packing.pack_solution(best)) == best
+
+
+def test_a_very_long_text_is_encoded_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    coder = tokens.word_encoder(WORDS)
+    text = "Some words, and é more. " * 300 + "漢 字"
+    whole, _ = coder.encode_column(pa.array([text]))
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    monkeypatch.setattr(tokens.blocks, "__defaults__", (100,))
+    ids, ends = coder.encode_column(pa.array([text]))
+    assert ids.tolist() == whole.tolist() and ends.tolist() == [0, len(ids)]
