@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragweave.functions import vectors as V
 
@@ -18,7 +24,7 @@ def knn(corpus: DataFrame, query: list[float], k: int, metric: str = "cosine", w
         raise ValueError("k must be positive")
     rows = corpus if where is None else corpus.filter(where)
     target = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("distance", V.distance(vec_col, target, metric)).orderBy("distance", id_col).limit(k)
+    return rows.withColumn("distance", V.distance(vec_col, target, metric)).filter("distance is not null").orderBy("distance", id_col).limit(k)
 
 
 def nearest_within(corpus: DataFrame, query: list[float], k: int, threshold: float | None, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -29,23 +35,72 @@ def nearest_within(corpus: DataFrame, query: list[float], k: int, threshold: flo
     return knn(corpus, query, k, metric, V.distance(vec_col, target, metric) <= threshold, id_col, vec_col)
 
 
+def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """(rows, queries) distances of doubles; not a number where cosine has a zero vector."""
+    if metric == "l2":
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (x @ q.T), 0))
+    dots = x @ q.T
+    if metric == "ip":
+        return 1 - dots
+    if metric != "cosine":
+        raise ValueError(f"unknown metric {metric}")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - dots / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :])
+
+
+def _nearest_of_batches(corpus: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+    """(query_id, id, distance): each query's ``k`` nearest rows of every batch, ties by id."""
+    step = max(1, (1 << 22) // len(ids))  # distances held at once
+    schema = T.StructType([T.StructField("query_id", T.LongType()), corpus.schema[id_col], T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+            batch = batch.filter(pc.and_kleene(pc.is_valid(batch.column(0)), pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])))
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(names, kind="stable")
+            d = _distances(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float), q, metric)[order]
+            best = np.argsort(np.nan_to_num(d, nan=np.inf), axis=0, kind="stable")[:k] if len(d) <= 4 * k else _least(d, k)
+            found = np.take_along_axis(d, best, 0)
+            asked = np.repeat(np.asarray(ids, np.int64)[None, :], len(best), 0)
+            good = ~np.isnan(found)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[good]), batch.column(0).take(pa.array(order[best[good]])), pa.array(found[good])], schema.names)
+
+    return corpus.select(id_col, vec_col).mapInArrow(run, schema)
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Rows of each column's ``k`` least values, ties by row."""
+    d = np.nan_to_num(d, nan=np.inf)
+    out = np.empty((k, d.shape[1]), np.int64)
+    limit = np.partition(d, k - 1, axis=0)[k - 1]
+    for c in range(d.shape[1]):
+        near = np.flatnonzero(d[:, c] <= limit[c])
+        out[:, c] = near[np.argsort(d[near, c], kind="stable")[:k]]
+    return out
+
+
 def knn_each(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` nearest corpus rows of every query (query_id, query_vec): query_id, id, distance, rank.
+    """The ``k`` nearest corpus rows of every query (query_id long, query_vec): query_id, id, distance, rank.
 
-    Queries are broadcast in blocks of a fixed size, so what is sent doesn't grow with them; each task
-    keeps its own ``k`` best of a query before the shuffle (a group limit under the window).
+    Queries go to the tasks in blocks of about ``block`` vectors, so what is sent doesn't grow with them.
+    A batch of rows is one matrix product against a block and gives each query's ``k`` best of the batch,
+    so pairs are neither sorted nor shuffled.
     """
     n = queries.count()
     blocks = max(1, -(-n // block))
-    out = None
+    found = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = corpus.select(F.col(id_col), F.col(vec_col)).join(F.broadcast(part.select("query_id", "query_vec")))
-        scored = pairs.select("query_id", id_col, V.distance(vec_col, "query_vec", metric).alias("distance"))
-        best = Window.partitionBy("query_id").orderBy("distance", id_col)
-        found = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = part.select("query_id", "query_vec").collect()
+        if rows:
+            near = _nearest_of_batches(corpus, [r[0] for r in rows], np.array([r[1] for r in rows], float), k, metric, id_col, vec_col)
+            found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = corpus.select(F.lit(0).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
+    best = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def with_siblings(chunks: DataFrame, file_cols: list[str], order_col: str, id_col: str) -> DataFrame:
@@ -66,7 +121,7 @@ def hierarchical(summaries: DataFrame, chunks: DataFrame, query: list[float], k_
     top = summaries.withColumn("summary_distance", V.distance(vec_col, target, metric)).orderBy("summary_distance", *keys).limit(k_summaries)
     under = chunks.join(F.broadcast(top.select(*keys, "summary_distance")), keys)
     best = Window.partitionBy(*keys).orderBy("distance", id_col)
-    scored = under.withColumn("distance", V.distance(vec_col, target, metric)).withColumn("rank", F.row_number().over(best))
+    scored = under.withColumn("distance", V.distance(vec_col, target, metric)).filter("distance is not null").withColumn("rank", F.row_number().over(best))
     return scored.filter(F.col("rank") <= k_chunks)
 
 
@@ -75,7 +130,6 @@ def mmr(candidates: DataFrame, query: list[float], k: int, weight: float = 0.5,
 
     Greedy by nature; the candidates are one query's top rows, so one task holds ``fetch_k`` vectors.
     """
-    import numpy as np
     import pandas as pd
 
     target = np.asarray(query, float)
@@ -120,8 +174,6 @@ def search(corpus: DataFrame, query: list[float], kind: str = "similarity", k: i
 
 def fit_cells(sample: DataFrame, cells: int, rounds: int = 8, most: int = 20_000, seed: int = 3, vec_col: str = "embedding") -> list[list[float]]:
     """Centres of an inverted-file index, by k-means on about ``most`` rows taken by a hash of the vector."""
-    import numpy as np
-
     share = min(1.0, most / max(1, sample.count()))
     rows = sample.select(vec_col).filter(F.pmod(F.xxhash64(vec_col), F.lit(1 << 20)) < share * (1 << 20)).collect()
     x = np.array(sorted(list(r[0]) for r in rows), float)
@@ -148,6 +200,6 @@ def knn_cells(corpus: DataFrame, queries: DataFrame, centres: list[list[float]],
     """Approximate ``knn_each``: every row is indexed in its cell, a query looks into ``probes`` cells."""
     indexed = assign_cells(corpus, centres, 1, vec_col).select(id_col, vec_col, F.col("cells")[0].alias("cell"))
     asked = assign_cells(queries, centres, probes, "query_vec").select("query_id", "query_vec", F.explode("cells").alias("cell"))
-    scored = indexed.join(asked, "cell").select("query_id", id_col, V.distance(vec_col, "query_vec").alias("distance"))
+    scored = indexed.join(asked, "cell").select("query_id", id_col, V.distance(vec_col, "query_vec").alias("distance")).filter("distance is not null")
     best = Window.partitionBy("query_id").orderBy("distance", id_col)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -128,6 +128,18 @@ def test_blocks_of_queries_and_recall(spark, sf):
     assert len(near & whole) / len(whole) >= 0.9
 
 
+def test_batch_search_equals_single_searches(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(40)] + [(90, None), (91, [1.0]), (92, [0.0, 0.0]), (93, [5.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 2.0])], "query_id long, query_vec array<float>")
+    for metric in ("cosine", "l2", "ip"):
+        got = {(r.query_id, r.rank): (r.vec_id, round(r.distance, 6)) for r in search.knn_each(table, asked, 6, metric).collect()}
+        for q in asked.collect():
+            want = search.knn(table, q.query_vec, 6, metric).collect()
+            assert [got[(q.query_id, i + 1)] for i in range(6)] == [(w.vec_id, round(w.distance, 6)) for w in want]
+    assert search.knn_each(table, asked.limit(0), 3).count() == 0 and search.knn_each(table.limit(0), asked, 3).count() == 0
+
+
 def test_distances(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0))
     assert round(one(spark, V.distance(a, b)), 6) == 0.4 and one(spark, V.distance(a, b, "ip")) == -2.0
