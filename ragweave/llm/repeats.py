@@ -29,7 +29,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,7 +153,7 @@ CONTEXTS = "anchor long, doc_id long, uid long, place long, bytes binary"
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """The bytes of the contexts at places wanted (anchor, doc_id, uid, place)."""
+    """The bytes of the contexts at places wanted (anchor, doc_id, uid, place), for each row that is the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([anchor, batch.column("doc_id").take(index), batch.column("uid").take(index), pa.array(place), pa.array(cut, pa.binary())], ["anchor", "doc_id", "uid", "place", "bytes"])
 
     lists = wanted.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    both = _join_docs(docs.dropDuplicates(["doc_id", "uid"]), lists, "inner")
+    both = _join_docs(docs, lists, "inner")
     return both.select("doc_id", "uid", "text", "places").mapInArrow(run, CONTEXTS)
 
 
@@ -180,6 +182,9 @@ def _by_columns(contexts: DataFrame, span: int) -> DataFrame:
 
     def solve(tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables)
+        doc = table.column("doc_id")
+        places = pd.DataFrame({"id": pc.fill_null(doc, 0).to_numpy(), "no_id": pc.is_null(doc).to_numpy()} | {c: table.column(c).to_numpy() for c in ("anchor", "uid", "place")})
+        table = table.take(np.flatnonzero(~places.duplicated().to_numpy()))  # rows that repeat a document
         place = table.column("place").to_numpy()
         at, left, right = place >> 20, (place >> SHIFT) & 1023, place & 1023
         group = np.unique(table.column("anchor").to_numpy(), return_inverse=True)[1]
