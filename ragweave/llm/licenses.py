@@ -14,7 +14,8 @@ table of each feature's largest weight against ``unknown`` gives a bound that th
 
 Results in special cases: null or empty text has no units; a text without licence words has no
 findings; rows that repeat are scanned each; an empty table trains on templates alone; a very
-long text is scanned whole, at once; further columns are ignored.
+long text is scanned in pieces that end at a line or, where a line is longer than a piece, at a space;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import bytehash
-from ragweave.llm.common import row_blocks, text_views
+from ragweave.llm.common import discard, materialize, row_blocks, text_views
 
 # Short notices of common licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -117,6 +118,23 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bytehash.Prefix(low).windows(x, y), first, row[first], np.stack([a[first], b[last]], 1)
 
 
+def pieces(data: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that end at a line end, else at a space, else at the next space."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        if end < len(data):
+            for breaks in (_LINE, bytehash.SPACE):
+                if len(found := np.flatnonzero(breaks[data[at:end]])):
+                    end = at + int(found[-1]) + 1
+                    break
+            else:
+                while end < len(data) and not bytehash.SPACE[data[end]]:
+                    end += 1
+        yield at, min(end, len(data))
+        at = end
+
+
 def features(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed unigram and bigram of each word (a unit's last word has the bigram of an end)."""
     following = np.zeros(len(words), np.uint64)
@@ -225,7 +243,11 @@ def fit(samples: list[str], seed: int = 7) -> Model:
 
 
 def sample_units(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[str]:
-    """At most ``4 * sample`` units of about ``sample`` rows, all parts of a text alike, by hashes."""
+    """About ``4 * sample`` units of about ``sample`` rows, all parts of a text alike, by hashes.
+
+    Rows and units are counted first and taken by a share of their hashes, so what the driver gets doesn't
+    grow with the input or its tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +262,11 @@ def sample_units(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     n = docs.count()
     share = min(1.0, sample / max(1, n))
     taken = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < share * (1 << 20)).select(text_col)
-    units_of = taken.mapInArrow(run, "key long, unit string").dropDuplicates(["key"]).orderBy("key").limit(4 * sample)
-    return [r["unit"] for r in units_of.collect()]
+    found = materialize(taken.mapInArrow(run, "key long, unit string").dropDuplicates(["key"]), "license-units")
+    share = min(1.0, 4 * sample / max(1, found.count()))
+    rows = found.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).collect()
+    discard(found)
+    return [r["unit"] for r in sorted(rows, key=lambda r: r["key"])]
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -287,6 +312,15 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     out.append((r, int(u - begin[r]), int(place[u, 0] - offsets[r]), int(place[u, 1] - offsets[r]), model.families[f], float(q[f]), share, share >= CONTAINED))
         return count, out
 
+    def of_long(data: np.ndarray) -> tuple[int, list[tuple]]:
+        """As ``findings`` for one long row, piece by piece."""
+        count, out = 0, []
+        for a, b in pieces(data):
+            n, found = findings(data[a:b], np.array([0, b - a]))
+            out += [(0, u + count, x + a, y + a, *rest) for _, u, x, y, *rest in found]
+            count += int(n[0])
+        return count, out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("unit", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("contained", pa.float64()), ("confirmed", pa.bool_())]))
         names = [x.name for x in kind.value_type]
@@ -294,7 +328,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             data, offsets = text_views(batch.column(1))
             ids = batch.column(0).cast(pa.int64())
             for a, b in row_blocks(offsets, BLOCK):
-                count, found = findings(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                part = data[offsets[a] : offsets[b]]
+                if b - a == 1 and len(part) > BLOCK:
+                    n, found = of_long(part)
+                    count = np.array([n])
+                else:
+                    count, found = findings(part, offsets[a : b + 1] - offsets[a])
                 lists: list[list[dict]] = [[] for _ in range(b - a)]
                 for r, *rest in found:
                     lists[r].append(dict(zip(names, rest)))

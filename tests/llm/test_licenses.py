@@ -65,3 +65,12 @@ def test_units_end_at_lines_and_sentences():
     assert parts[:2] == ["One two.", "three"] and max(len(p.split()) for p in parts) == licenses.LONGEST
     assert len(words) == 104 and (row == 0).all()
     assert bytehash.word_hashes(np.frombuffer(b"one", np.uint8), np.array([0, 3]))[1].tolist() == [1]
+
+
+def test_long_texts_are_scanned_in_pieces(spark, model):
+    text = ("plain words without any meaning\n" * 50_000) + "Released under the MIT License.\n" + "x" * 1_200_000 + " All rights reserved."
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row.n_units == 50_003 and [text.encode()[f.first : f.stop] for f in row.findings if f.family == "mit"] == [b"Released under the MIT License."]
+    data = np.frombuffer(text.encode(), np.uint8)
+    cut = list(licenses.pieces(data))
+    assert cut[0][0] == 0 and cut[-1][1] == len(data) and all(b == c for (_, b), (c, _) in zip(cut, cut[1:]))
