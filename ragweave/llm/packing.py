@@ -35,7 +35,7 @@ CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 20_000, 2, 2
 POPULATION, CHILDREN, INJECTED = 3, 4, 0.4
 WELL_FILLED = 0.97
 #: Bytes of texts that are encoded at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 
 Bins = list[list[int]]
 

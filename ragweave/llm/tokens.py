@@ -13,7 +13,7 @@ import functools
 import os
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from ragweave.llm.common import ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: Pieces kept by a worker, and the longest that is kept.
-MOST_PIECES, LONGEST_PIECE = 400_000, 48
+#: Pieces in each of the two generations that a worker keeps, and the longest that is kept.
+MOST_PIECES, LONGEST_PIECE = 300_000, 48
 #: Characters of a text that are cut into pieces at once.
 BLOCK = 1 << 20
 #: A place where every pattern here ends a piece: a space between a visible character and a letter.
@@ -52,6 +52,16 @@ class Encoder:
 
     def __init__(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _missing(self, pieces: Iterable[str]) -> list[str]:
+        """Pieces that aren't known. A full generation becomes the older one, whose used pieces come back."""
+        if len(self.known) > MOST_PIECES:
+            self.known, self.older = {}, self.known
+        new = set(pieces).difference(self.known)
+        used = new.intersection(self.older)
+        self.known |= {p: self.older[p] for p in used}
+        return list(new - used)
 
     def pieces(self, block: str) -> list[str]:
         """The parts of a block that are encoded apart; they may leave out what yields no ids."""
@@ -70,10 +80,9 @@ class Encoder:
             yield self._pack(ids)
             return
         for block in blocks(text):
-            pieces, known = self.pieces(block), self.known
-            if len(known) > MOST_PIECES:
-                known.clear()
-            if new := list(set(pieces).difference(known)):
+            pieces = self.pieces(block)
+            new, known = self._missing(pieces), self.known
+            if new:
                 for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
                     known[piece] = self._pack(found.ids)
             yield b"".join(map(known.__getitem__, pieces))
@@ -198,10 +207,7 @@ class WordEncoder(Encoder):
 
     def _cores(self, cores: list[str]) -> list[bytes]:
         """Packed ids of lower-cased words."""
-        known = self.known
-        if len(known) > MOST_PIECES:
-            known.clear()
-        new = [c for c in cores if c not in known]
+        new, known = self._missing(cores), self.known
         if new:
             known |= {c: self._pack(e.ids) for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
         packed = [known[c] for c in cores]
