@@ -6,22 +6,24 @@ common power and mixed; all arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C1B)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up = np.full(n, BASE, np.uint64)
-    up[0] = 1
-    down = np.full(n, INVERSE, np.uint64)
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_table: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, from one table that grows by doubling."""
+    if not _table or len(_table[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        up = np.full(size, BASE, np.uint64)
+        down = np.full(size, INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _table[:] = [np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)]
+    return _table[0][:n], _table[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,8 +40,7 @@ class Prefix:
     """Prefix sums of one block of bytes."""
 
     def __init__(self, data: np.ndarray):
-        bits = max(16, int(len(data) + 1).bit_length())
-        self.up, self.down = _powers(bits)
+        self.up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
 

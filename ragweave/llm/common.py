@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -143,6 +143,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 length = np.minimum(ends[row + 1] - first, capacity)
                 crc = [zlib.crc32(ids[x : x + n]) for x, n in zip(first.tolist(), length.tolist())]
                 doc = batch.column(0).slice(a, b - a).take(pa.array(row))
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)

@@ -26,7 +26,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces in each of the two generations that a worker keeps, and the longest that is kept.
-MOST_PIECES, LONGEST_PIECE = 300_000, 48
+MOST_PIECES, LONGEST_PIECE = 200_000, 48
 #: Characters of a text that are cut into pieces at once.
 BLOCK = 1 << 20
 #: A place where every pattern here ends a piece: a space between a visible character and a letter.
