@@ -242,8 +242,10 @@ class WordEncoder(Encoder):
         """
         column = pc.fill_null(column, "")
         if len(column) == 1 and column.nbytes > 8 * BLOCK:  # a very long text, block by block
-            parts = [self.encode_column(pa.array([b]))[0] for b in blocks(column[0].as_py())]
-            return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+            cut = list(blocks(column[0].as_py()))
+            if len(cut) > 1:  # a text without seams stays whole and is encoded like any other
+                parts = [self.encode_column(pa.array([b]))[0] for b in cut]
+                return np.concatenate(parts), np.array([0, sum(map(len, parts))])
         odd = np.flatnonzero(~pc.match_substring_regex(column, "^(?:" + USUAL.pattern + ")$").to_numpy(zero_copy_only=False))
         usual = column
         if len(odd):

@@ -78,3 +78,14 @@ def test_a_very_long_text_is_encoded_in_blocks(monkeypatch):
     monkeypatch.setattr(tokens.blocks, "__defaults__", (100,))
     ids, ends = coder.encode_column(pa.array([text]))
     assert ids.tolist() == whole.tolist() and ends.tolist() == [0, len(ids)]
+
+
+@pytest.mark.parametrize("text", ["漢字" * 900, "1,22,333\n" * 300, "word\n" * 400, "QUJD" * 700, "Some words here. " * 40 + "漢" * 2000, "two words " * 90 + "12;" * 900])
+def test_a_very_long_text_without_seams_is_encoded_whole(monkeypatch, text):
+    import pyarrow as pa
+
+    coder = tokens.word_encoder(WORDS)
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    monkeypatch.setattr(tokens.blocks, "__defaults__", (100,))
+    ids, ends = coder.encode_column(pa.array([text]))
+    assert ids.tolist() == coder.library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
