@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
@@ -16,6 +16,11 @@ for _p in (*X.BOILERPLATE, *NOTICES):
     STRIPPED = f"regexp_replace({STRIPPED}, '(?im){_p}', '', 'g')"
 
 
+def _digests(*names: str) -> list[Column]:
+    """md5 and length of each text column."""
+    return [c for n in names for c in (F.md5(F.col(n).cast("binary")).alias(f"{n}_md5"), F.length(n).cast("long").alias(f"{n}_length"))]
+
+
 @query(f"SELECT doc_id, md5({STRIPPED}) AS stripped_md5, length({STRIPPED})::BIGINT AS stripped_length FROM documents")
 def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +41,14 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.substring("text", 1, 200)).alias("clean"), X.single_line(F.substring("text", 1, 80)).alias("line"))
 
 
+@query("""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS clean, replace(text, E'\\n', ' ') AS line FROM documents)
+    SELECT doc_id, md5(clean) AS clean_md5, length(clean)::BIGINT AS clean_length, md5(line) AS line_md5, length(line)::BIGINT AS line_length FROM t""")
+def normalize_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``normalize_text``, of whole texts."""
+    made = table(spark, sf_dir, "documents").select("doc_id", X.normalized("text").alias("clean"), X.single_line("text").alias("line"))
+    return made.select("doc_id", *_digests("clean", "line"))
+
+
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents),
     s AS (SELECT doc_id, w, unnest(range(0, len(w), 224)) AS f FROM t)
     SELECT doc_id, (f // 224)::INTEGER AS chunk, f::INTEGER AS first_token, least(f + 256, len(w))::INTEGER AS last_token, md5(array_to_string(w[f + 1 : f + 256], ' ')) AS chunk_md5 FROM s""")
@@ -161,6 +174,16 @@ def markdown_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(F.concat(F.lit("# "), F.substring("text", 1, 20))).alias("lower_heading"))
 
 
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || text, '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain,
+    regexp_replace(regexp_replace('# ' || text, '(?m)^(#{1,6})', '#\\1', 'g'), '<!-- Slide number: ([0-9]+) -->', '# Slide \\1', 'g') AS lower_heading FROM documents)
+    SELECT doc_id, md5(plain) AS plain_md5, length(plain)::BIGINT AS plain_length, md5(lower_heading) AS lower_heading_md5, length(lower_heading)::BIGINT AS lower_heading_length FROM t""")
+def markdown_cleanup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``markdown_cleanup``, of whole texts."""
+    linked, headed = F.concat(F.lit("[see](http://x) "), "text"), F.concat(F.lit("# "), "text")
+    made = table(spark, sf_dir, "documents").select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(headed).alias("lower_heading"))
+    return made.select("doc_id", *_digests("plain", "lower_heading"))
+
+
 @query("""SELECT conv_id, turn, len(regexp_extract_all(text, '([^ \\t\\n\\r\\f\\v]+[ \\t\\n\\r\\f\\v]?)', 1))::INTEGER AS n_tokens,
     len(list_filter(regexp_extract_all(text, '([^.?!。，！]*[.?!。，！]|[^.?!。，！]+$)', 1), lambda p: trim(p) <> ''))::INTEGER AS n_sentences FROM conversations WHERE text IS NOT NULL""")
 def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
