@@ -134,7 +134,7 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reachable from the first one over the links between pages."""
     pages = table(spark, sf_dir, "pages")
     start = pages.orderBy("page_id").limit(1).select("url")
-    return web.crawl(start, web.links(pages), 5)
+    return web.crawl(start, web.links(pages), 10)
 
 
 @query("""WITH a AS (SELECT 'file' AS kind, doc_id AS id, left(text, 30) AS title FROM documents UNION ALL SELECT 'link', page_id, left(url, 30) FROM pages

@@ -52,7 +52,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 def crawl(start: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(url, depth) reachable from ``start`` (url) over ``edges`` (url, link), each at its least depth.
 
-    The visited set is checkpointed every round, so the plan doesn't grow with the depth.
+    The visited set is checkpointed every round (locally without a checkpoint folder), so the plan
+    doesn't grow with the depth.
     """
     seen = start.select("url").distinct().withColumn("depth", F.lit(0))
     front = seen
@@ -62,9 +63,8 @@ def crawl(start: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        if seen.sparkSession.sparkContext.getCheckpointDir():
-            seen = seen.checkpoint()
-            front = seen.filter(F.col("depth") == d)
+        seen = seen.checkpoint() if seen.sparkSession.sparkContext.getCheckpointDir() else seen.localCheckpoint()
+        front = seen.filter(F.col("depth") == d)
     return seen
 
 

@@ -19,3 +19,15 @@ def test_cleaning_sees_the_whole_text(spark, tmp_path):
     assert (got.clean_md5, got.clean_length, got.line_md5) == (md5(clean), len(clean), md5(text.replace("\n", " ")))
     (got,) = QUERIES["markdown_cleanup_whole"](spark, str(tmp_path)).collect()
     assert got.plain_md5 == md5("see " + text.replace("[a](http://b)", "a")) and got.lower_heading_md5 == md5("## " + text.replace("\n#", "\n##"))
+
+
+def test_crawl_reaches_ten_links_deep(spark, tmp_path):
+    edges = {i: [i + 1, i - 2] for i in range(13)} | {0: [1], 1: [2]}
+    pages = [(i, f"http://a.b/{i}.html", "".join(f'<a href="/{j}.html">x</a>' for j in to)) for i, to in edges.items()]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want, front = {0: 0}, [0]
+    for d in range(1, 11):
+        front = [j for i in front for j in edges[i] if j not in want]
+        want |= dict.fromkeys(front, d)
+    got = {r.url: r.depth for r in QUERIES["crawl_pages"](spark, str(tmp_path)).collect()}
+    assert got == {f"http://a.b/{i}.html": d for i, d in want.items()} and len(got) == 11
