@@ -87,3 +87,21 @@ def history(pairs: DataFrame, k: int = 3, language: str = "en", refusals: Iterab
 def translation_languages(rows: DataFrame, question: str = "question_lang", answer: str = "answer_lang") -> DataFrame:
     """source_lang and target_lang of a translation: to the question's language; equal ones start from English."""
     return rows.withColumns({"target_lang": F.col(question), "source_lang": F.when(F.col(question) == F.col(answer), F.lit("en")).otherwise(F.col(answer))})
+
+
+def with_next(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: ``value`` of the next row by a numeric ``order``, whatever its gaps; null at the end.
+
+    Ranges of ``order`` are windows of their own; a small table of their first rows says what follows each.
+    Rows without ``order`` come last, equal ones by ``value``.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(order).cast("double")))
+    dealt = rows.withColumn("__range", F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(above))
+    key = [F.col(order).isNull(), F.col(order), F.col(value)]
+    firsts = dealt.groupBy("__range").agg(F.min(F.struct(key[0].alias("none"), key[1].alias("at"), key[2].alias("value"))).alias("first"))
+    ahead = firsts.select("__range", F.lead("first").over(Window.orderBy("__range"))["value"].alias("__after"))
+    inside = F.lead(F.struct(F.col(value).alias("value"))).over(Window.partitionBy("__range").orderBy(*key))
+    found = dealt.withColumn("__inside", inside).join(ahead, "__range")
+    return found.withColumn(name, F.when(F.col("__inside").isNull(), F.col("__after")).otherwise(F.col("__inside.value"))).drop("__range", "__inside", "__after")

@@ -146,8 +146,8 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The question's language is that of the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("answer_lang"))
-    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("answer_lang").alias("question_lang"))
-    return prompts.translation_languages(docs.join(following, "doc_id")).select("doc_id", "target_lang", "source_lang")
+    rows = prompts.with_next(docs, "doc_id", "answer_lang", "question_lang").filter("question_lang is not null")
+    return prompts.translation_languages(rows).select("doc_id", "target_lang", "source_lang")
 
 
 @query()

@@ -31,3 +31,18 @@ def test_crawl_reaches_ten_links_deep(spark, tmp_path):
         want |= dict.fromkeys(front, d)
     got = {r.url: r.depth for r in QUERIES["crawl_pages"](spark, str(tmp_path)).collect()}
     assert got == {f"http://a.b/{i}.html": d for i, d in want.items()} and len(got) == 11
+
+
+def test_translation_pairs_cross_gaps_of_ids(spark, tmp_path):
+    rows = [(7 * i + i % 3, "en de fr es".split()[i * i % 4]) for i in range(60)] + [(7, "de"), (10**12, "fr"), (None, "es")]
+    spark.createDataFrame(rows, "doc_id long, lang string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    line = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = [(i, q, "en" if q == a else a) for (i, a), (_, q) in zip(line, line[1:])]
+    got = [(r.doc_id, r.target_lang, r.source_lang) for r in QUERIES["translation_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_translation_pairs_of_few_documents(spark, tmp_path):
+    for n in (0, 1):
+        spark.createDataFrame([(4, "en")][:n], "doc_id long, lang string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        assert QUERIES["translation_pairs"](spark, f"{tmp_path}/{n}").collect() == []
