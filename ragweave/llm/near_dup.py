@@ -15,8 +15,9 @@ counted, so a cluster of m members gives at most m - 1 links and no pairs of cop
 
 Results in special cases: null or empty text, and text without words, has an empty set and is linked
 with nothing; fewer words than a shingle are one shingle; a null doc_id links like others but its
-class is the smallest id that isn't null; rows with equal doc_id are one document for linking; an
-empty table gives an empty result; further columns are ignored by ``classes``.
+class is the smallest id that isn't null, or null where all are; rows with equal doc_id and different
+texts link apart; an empty table gives an empty result; further columns are ignored by ``classes``.
+``keep_one`` keeps rows that share the first id and text of a class, and one row of a class without ids.
 """
 
 from __future__ import annotations
@@ -82,16 +83,20 @@ def children(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, nodes array<long>, tokens binary"
+SKETCH = "doc_id long, mark long, n_shingles long, set_a long, set_b long, nodes array<long>, tokens binary"
+
+
+def _mark(text: str) -> F.Column:
+    return F.xxhash64(text)
 
 
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, set fingerprint, root nodes and min-wise tokens of each document."""
+    """Text hash (mark), set size, set fingerprint, root nodes and min-wise tokens of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_views(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
+            ids, marks = batch.column(0).cast(pa.int64()), batch.column(2)
             for a, b in row_blocks(offsets, BLOCK):
                 sets, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 mixed = bytehash.mix(sets)
@@ -103,16 +108,17 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
+                        marks.slice(a, b - a),
                         pa.array(sizes),
                         pa.array(seals[0]),
                         pa.array(seals[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * nodes.shape[1]), pa.array(nodes.reshape(-1))),
                         pa.array([x.tobytes() for x in tokens], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "nodes", "tokens"],
+                    ["doc_id", "mark", "n_shingles", "set_a", "set_b", "nodes", "tokens"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, SKETCH)
+    return docs.select(id_col, text_col, _mark(text_col)).mapInArrow(run, SKETCH)
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -203,7 +209,10 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) with the packed sets of the representatives in ``wanted`` (rep, seal)."""
+    """(rep, shingles) with the packed sets of the representatives in ``wanted`` (rep, seal, id, mark).
+
+    A representative's text is found by id and text hash, so null and repeated ids are found too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +225,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
                 rows = [(i, s) for i, s in rows if np.sum(s, dtype=np.uint64).view(np.int64) == seals[i]]
                 yield pa.RecordBatch.from_arrays([reps.take(pa.array([i for i, _ in rows], pa.int64())), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["rep", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return texts.join(wanted, "rep").select("rep", "seal", "text").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    texts = docs.select(F.col(id_col).cast("long").alias("own"), _mark(text_col).alias("own_mark"), F.col(text_col).alias("text"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))
+    return texts.join(wanted, same).select("rep", "seal", "text").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
 def _links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,25 +285,55 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     return found.unionByName(_clusters(_block_groups(rows, large))).distinct()
 
 
-def classes(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
+def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, and (first_id, first_mark): the class's first row, null ids last.
+
+    A representative is a distinct set under a written row number, so ids may be null or repeated.
+    """
     drawn = materialize(sketch(docs, k, id_col, text_col), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
-    reps = drawn.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"), F.first("tokens").alias("tokens"))
-    reps = materialize(reps, "representatives")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark"))
+    reps = drawn.filter("n_shingles > 0").groupBy(*key).agg(first.alias("first"), F.first("nodes").alias("nodes"), F.first("tokens").alias("tokens"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     found = materialize(candidate_clusters(reps).withColumn("cluster", F.xxhash64("members")), "clusters")
-    wanted = found.select(F.explode("members").alias("rep")).distinct().join(reps.select("rep", F.col("set_a").alias("seal")), "rep")
+    wanted = found.select(F.explode("members").alias("rep")).distinct().join(reps.select("rep", F.col("set_a").alias("seal"), "first.id", "first.mark"), "rep")
     sets = materialize(_sets_of(docs, wanted, k, id_col, text_col), "sets")
     links = materialize(_links(found, sets), "links")
     discard(sets)
     parts = connected_components(links, "parts").groupBy("node").agg(F.min("component").alias("component"))
-    named = reps.select(*key, "rep").join(parts, reps["rep"] == parts["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = drawn.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    parts = materialize(parts.join(reps.select(F.col("rep").alias("node"), "first"), "node"), "members")
+    firsts = parts.groupBy("component").agg(F.min("first").alias("class_first"))
+    joined = parts.join(firsts, "component").select("node", "class_first")
+    named = reps.select(*key, "rep", "first").join(joined, reps["rep"] == joined["node"], "left").select(*key, F.coalesce("class_first", "first").alias("first"))
+    out = drawn.select("doc_id", "mark", *key).join(named, key, "left")
+    lone = F.col("first").isNull()
+    return out.select("doc_id", "mark", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"), *[F.when(lone, F.col(own)).otherwise(F.col(f"first.{x}")).alias(f"first_{x}") for x, own in (("id", "doc_id"), ("mark", "mark"))])
+
+
+def classes(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document; kept are the rows that ``keep_one`` chooses from."""
+    found = _classes(docs, k, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", _is_first().alias("kept"))
+
+
+def _is_first() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each class; all columns stay."""
-    gone = classes(docs, k, id_col, text_col).filter("not kept").select("doc_id").distinct()
-    gone = materialize(gone.withColumnRenamed("doc_id", free_name(docs, "gone")), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone.columns[0]]), "left_anti")
+    """``docs`` without all but the smallest doc_id of each class; all columns stay.
+
+    Rows go by id and text hash. Equal rows of a class without any id, if there are any, are joined and
+    reduced to one apart from the others.
+    """
+    mark, other, other_mark, kept = (free_name(docs, x) for x in ("mark", "gone", "gone_mark", "gone_kept"))
+    found = _classes(docs, k, id_col, text_col).withColumn("kept", _is_first())
+    found = found.filter("not kept or (doc_id is null and n_shingles > 0)").groupBy("doc_id", "mark", "kept").agg(F.count("*").alias("n")).filter("not kept or n > 1")
+    found = materialize(found.select(F.col("doc_id").alias(other), F.col("mark").alias(other_mark), F.col("kept").alias(kept)), "gone")
+    tagged = docs.withColumn(mark, _mark(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(other)) & (F.col(mark) == F.col(other_mark))
+    once = tagged.join(found, same, "left_anti")
+    if found.filter(F.col(kept)).isEmpty():  # no row without an id repeats another
+        return once.drop(mark)
+    repeated = tagged.join(found.filter(F.col(kept)), same, "left_semi").dropDuplicates([mark])
+    return once.unionByName(repeated).drop(mark)

@@ -75,3 +75,28 @@ def test_forest_is_exact():
         a, b = own[i], own[j]
         own = [b if x == a else x for x in own]
     assert len(set(own)) == len(set(part)) and all((own[i] == own[j]) == (part[i] == part[j]) for i in range(40) for j in range(40))
+
+
+def near_copies(base, n):
+    """Texts of 40 words whose pairs are all similar enough, each with a word of its own at the end."""
+    return [" ".join([f"{base}{i}" for i in range(40)] + [f"own{base}{j}"]) for j in range(n)]
+
+
+def test_null_ids_link_and_leave_one(spark):
+    a, b, c = near_copies("a", 3), near_copies("b", 3), near_copies("c", 2)
+    rows = [(None, a[0]), (None, a[1]), (7, a[2]), (None, b[0]), (None, b[0]), (None, b[1]), (None, b[2]), (None, c[0]), (None, c[0]), (None, None), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dup.classes(table)
+    assert found.count() == len(rows) and found.filter("component_id = 7").count() == 3
+    left = [tuple(r) for r in near_dup.keep_one(table, k=4).collect()]
+    assert (7, a[2]) in left and sum(t in a for _, t in left) == sum(t in b for _, t in left) == sum(t in c for _, t in left) == 1
+    assert sum(t is None for _, t in left) == 2
+
+
+def test_one_id_on_two_texts_keeps_both_links(spark):
+    a, b = near_copies("a", 2), near_copies("b", 3)
+    rows = [(5, a[0]), (5, b[0]), (3, a[1]), (9, b[1]), (8, b[2]), (8, "a text that nothing else is like")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.classes(table).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (8, 8, True), (9, 5, False)]
+    assert sorted(tuple(r) for r in near_dup.keep_one(table, k=4).collect()) == sorted([rows[1], rows[2], rows[5]])
