@@ -26,10 +26,15 @@ def cite(rows: DataFrame, source: Column | str, group: str = "query_id", rank: s
     return rows.withColumn("first_rank", first).withColumn("citation_id", F.dense_rank().over(Window.partitionBy(group).orderBy("first_rank"))).drop("first_rank")
 
 
-def merge_siblings(hits: DataFrame, siblings: DataFrame, group: str = "query_id", hit: str = "hit_id", rank: str = "rank", start: str = "start_index", text: str = "text") -> DataFrame:
-    """One row per hit: its text and its siblings' in order of start, joined by spaces; later equal texts go."""
+def merge_siblings(hits: DataFrame, siblings: DataFrame, group: str = "query_id", hit: str = "hit_id", rank: str = "rank", start: str = "start_index", text: str = "text", digest: bool = False) -> DataFrame:
+    """One row per hit: its text and its siblings' in order of start, joined by spaces; later equal texts go.
+
+    With ``digest``, combined_md5 and combined_length instead of combined_text, so that long texts aren't dealt out again.
+    """
     parts = hits.select(group, hit, rank, start, text).unionByName(siblings.join(hits.select(group, hit, rank), [group, hit]).select(group, hit, rank, start, text))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(start), F.lit(0)).alias("s"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
     merged = parts.groupBy(group, hit, rank).agg(joined.alias("combined_text"))
-    first = F.row_number().over(Window.partitionBy(group, "combined_text").orderBy(rank))
+    if digest:
+        merged = merged.select(group, hit, rank, F.md5(F.col("combined_text").cast("binary")).alias("combined_md5"), F.length("combined_text").cast("long").alias("combined_length"))
+    first = F.row_number().over(Window.partitionBy(group, "combined_md5" if digest else "combined_text").orderBy(rank))
     return merged.withColumn("n", first).filter("n = 1").drop("n")

@@ -135,6 +135,21 @@ def prompt_context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.context(rows, prompts.context_entry(), "lang")
 
 
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, dense_rank() OVER (PARTITION BY lang ORDER BY source) AS c FROM documents),
+    e AS (SELECT lang, rank, CASE WHEN source IS NULL OR source = '' THEN text ELSE '[' || c || '] (' || source || E')\\nContent: ' || text END AS e FROM d WHERE rank <= 5),
+    a AS (SELECT lang, string_agg(e, E'\\n\\n' ORDER BY rank) AS context FROM e GROUP BY lang)
+    SELECT lang, md5(context) AS context_md5, length(context)::BIGINT AS context_length FROM a""")
+def prompt_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``prompt_context_format``, of whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    top = docs.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter("rank <= 5")
+    cited = docs.select(F.col("lang").alias("of"), F.col("source").alias("cited")).distinct()
+    cited = cited.withColumn("citation_id", F.dense_rank().over(Window.partitionBy("of").orderBy(F.asc_nulls_last("cited"))))
+    rows = top.join(cited, F.col("lang").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("cited")))
+    made = prompts.context(rows, prompts.context_entry(), "lang")
+    return made.select("lang", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.length("context").cast("long").alias("context_length"))
+
+
 @query("SELECT conv_id, turn, trim('Context: none' || E'\\n' || 'Question: ' || coalesce(text, '') || E'\\nHistory: ', ' ') AS prompt FROM conversations WHERE role = 'user'")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = "Context: none\nQuestion: {question}\nHistory: {conversation_history}"

@@ -136,6 +136,19 @@ def combine_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.merge_siblings(hits, near, "source").select("source", "hit_id", "combined_text")
 
 
+@query("""WITH n AS (SELECT h.doc_id AS hit_id, h.source, d.doc_id AS s, d.text FROM documents h JOIN documents d ON d.source = h.source AND d.doc_id BETWEEN h.doc_id - 20 AND h.doc_id + 20),
+    c AS (SELECT source, hit_id, coalesce(string_agg(text, ' ' ORDER BY s, text), '') AS t FROM n GROUP BY source, hit_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY hit_id) AS n FROM c)
+    SELECT source, hit_id, md5(t) AS combined_md5, length(t)::BIGINT AS combined_length FROM r WHERE n = 1""")
+def combine_siblings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``combine_siblings``, of whole texts; every document is a hit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    hits = docs.select("source", F.col("doc_id").alias("hit_id"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("start_index"), "text")
+    reach = docs.select("source", F.col("doc_id").alias("hit_id"), F.explode(F.expr("sequence(doc_id - 20, doc_id + 20)")).alias("doc_id")).filter("doc_id <> hit_id")
+    near = reach.join(docs, ["source", "doc_id"]).select("source", "hit_id", F.col("doc_id").alias("start_index"), "text")
+    return rerank.merge_siblings(hits, near, "source", digest=True).select("source", "hit_id", "combined_md5", "combined_length")
+
+
 @query("""SELECT doc_id, source FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id END AS file_id, source FROM documents)
     WHERE file_id IS NULL OR (source IN ('src1', 'src2', 'src3') AND source IN ('src2', 'src3', 'src4'))""")
 def filter_rbac_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,33 @@ def retrieval_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(f"{n}_gain", 6).alias(f"{n}_gain") for n in names])
 
 
+def _benchmark_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is asked for every passage of the benchmark, whole."""
+    asked = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id")).distinct()
+    passages = table(spark, sf_dir, "benchmark").select(X.collapse("text").alias("gold")).filter("gold <> ''")
+    return asked.crossJoin(passages)
+
+
+def _benchmark_sql(order: str) -> str:
+    old = _scores_sql(order)
+    a, b = old.index("g0 AS"), old.index(" g AS")
+    return old[:a] + f"g0 AS (SELECT query_id, gold FROM (SELECT DISTINCT source AS query_id FROM documents), (SELECT trim(regexp_replace(text, {_SPACE}, ' ', 'g'), ' ') AS gold FROM benchmark) WHERE gold <> '')," + old[b:]
+
+
+@query(f"WITH {_benchmark_sql('ASC')} SELECT query_id, hits_4, hits_10, round(map_10, 6) AS map_10, round(mrr_10, 6) AS mrr_10 FROM s")
+def retrieval_benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.ranking_scores(_retrieved(spark, sf_dir), _benchmark_golds(spark, sf_dir))
+    return found.select("query_id", "hits_4", "hits_10", F.round("map_10", 6).alias("map_10"), F.round("mrr_10", 6).alias("mrr_10"))
+
+
+@query(f"WITH a AS (WITH {_benchmark_sql('ASC')} SELECT * FROM s), b AS (WITH {_benchmark_sql('DESC')} SELECT * FROM s) SELECT " + ", ".join(f"round((SELECT avg({n}) FROM b) - (SELECT avg({n}) FROM a), 6)::DOUBLE AS {n}_gain" for n in ("hits_4", "hits_10", "map_10", "mrr_10")))
+def retrieval_benchmark_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golds = _benchmark_golds(spark, sf_dir)
+    names = ["hits_4", "hits_10", "map_10", "mrr_10"]
+    found = evaluate.gains(evaluate.ranking_scores(_retrieved(spark, sf_dir), golds), evaluate.ranking_scores(_retrieved(spark, sf_dir, True), golds), names)
+    return found.select(*[F.round(f"{n}_gain", 6).alias(f"{n}_gain") for n in names])
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next one of its source, as tokens."""
     docs = table(spark, sf_dir, "documents")

@@ -46,3 +46,22 @@ def test_translation_pairs_of_few_documents(spark, tmp_path):
     for n in (0, 1):
         spark.createDataFrame([(4, "en")][:n], "doc_id long, lang string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
         assert QUERIES["translation_pairs"](spark, f"{tmp_path}/{n}").collect() == []
+
+
+def test_siblings_that_differ_late_stay_and_all_documents_are_hits(spark, tmp_path):
+    same = "one opening line that many texts share, "
+    rows = [(i, "s", same + f"end {i}") for i in range(150, 400, 50)] + [(900, "s", "x"), (950, "s", "x"), (901, "t", "y")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.source, r.hit_id, r.combined_md5) for r in QUERIES["combine_siblings_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted((s, i, md5(t)) for i, s, t in rows if i != 950)
+
+
+def test_prompt_context_and_golds_are_whole(spark, tmp_path):
+    passage = "a passage that is " + "much " * 20 + "longer than its first characters"
+    docs = [(1, passage + " one", "en", "s"), (2, "before " + passage, "en", None), (4, passage[:60], "de", "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.lang: r.context_md5 for r in QUERIES["prompt_context_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"en": md5(f"[1] (s)\nContent: {passage} one\n\nbefore {passage}"), "de": md5(f"[1] (t)\nContent: {passage[:60]}")}
+    got = {r.query_id: (r.hits_4, r.map_10) for r in QUERIES["retrieval_benchmark_scores"](spark, str(tmp_path)).collect()}
+    assert got["s"] == (1, 1.0) and got["t"] == (0, 0.0)
