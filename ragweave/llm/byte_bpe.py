@@ -31,9 +31,10 @@ def _added(df: DataFrame, name: str) -> T.StructType:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with the packed ids of ``text_col`` as binary column ``out``; ``keep_text=False`` drops the text."""
+    merges = tokens.merge_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.byte_encoder(path, pattern)
+        coder = tokens.byte_encoder(path, pattern, merges)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

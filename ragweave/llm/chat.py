@@ -53,9 +53,10 @@ def reserved(path: str) -> tuple[int, int, int]:
 
 def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     """(conv_id, turn, role_ids, text_ids, loss) of rows (conv_id, turn, role, text)."""
+    merges = tokens.merge_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.byte_encoder(path, pattern)
+        coder = tokens.byte_encoder(path, pattern, merges)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)

@@ -35,6 +35,7 @@ def count_tokens(docs: DataFrame, encoders: dict[str, tuple], text_col: str = "t
     if "n_tokens" in docs.columns:
         raise ValueError("the input has a column n_tokens already")
     schema = T.StructType([*docs.drop(text_col).schema.fields, T.StructField("n_tokens", T.LongType(), True)])
+    encoders = {v: (*e, tokens.merge_ranks(e[1])) if e[0] == "byte" else e for v, e in encoders.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = {"byte": tokens.byte_encoder, "word": tokens.word_encoder}

@@ -58,10 +58,13 @@ class Encoder:
         """Pieces that aren't known. A full generation becomes the older one, whose used pieces come back."""
         if len(self.known) > MOST_PIECES:
             self.known, self.older = {}, self.known
-        new = set(pieces).difference(self.known)
-        used = new.intersection(self.older)
-        self.known |= {p: self.older[p] for p in used}
-        return list(new - used)
+        known, older = self.known, self.older
+        new = {p for p in pieces if p not in known}
+        if not new or not older:
+            return list(new)
+        used = {p: older[p] for p in new if p in older}  # never a walk over ``older``, which is large
+        known |= used
+        return [p for p in new if p not in used]
 
     def pieces(self, block: str) -> list[str]:
         """The parts of a block that are encoded apart; they may leave out what yields no ids."""
@@ -122,6 +125,17 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+@functools.lru_cache(maxsize=4)
+def merge_ranks(path: str) -> bytes:
+    """The ranks of both parts of each token that a merge makes, by rank, packed as 32-bit integers.
+
+    It takes seconds, so the driver makes it once and the tasks get it with their function.
+    """
+    ranks = read_ranks(path)
+    parts = (_last_merge(t, ranks) for t in sorted(ranks, key=ranks.get) if len(t) > 1)
+    return np.array([(ranks[a], ranks[b]) for a, b in parts], "<i4").tobytes()
+
+
 #: Characters beyond the first plane: those that this Python doesn't know yet have no settled class.
 FAR = regex.compile(r"[\U00010000-\U0010ffff]")
 
@@ -133,16 +147,16 @@ class ByteEncoder(Encoder):
     Unicode versions differ about its class.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, merges: bytes | None = None):
         import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         super().__init__()
         ranks, shown = read_ranks(path), byte_characters()
-        name = lambda raw: "".join(shown[b] for b in raw)
-        merges = [tuple(map(name, _last_merge(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
+        names = {r: "".join(map(shown.__getitem__, t)) for t, r in ranks.items()}
+        pairs = np.frombuffer(merge_ranks(path) if merges is None else merges, "<i4").reshape(-1, 2).tolist()
         self.pattern = regex.compile(pattern)
-        self.library = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, merges, ignore_merges=True))
+        self.library = Tokenizer(models.BPE({n: r for r, n in names.items()}, [(names[a], names[b]) for a, b in pairs], ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.other = functools.cache(lambda: tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
 
@@ -269,8 +283,9 @@ class WordEncoder(Encoder):
 
 
 @functools.lru_cache(maxsize=4)
-def byte_encoder(path: str, pattern: str) -> ByteEncoder:
-    return ByteEncoder(path, pattern)
+def byte_encoder(path: str, pattern: str, merges: bytes | None = None) -> ByteEncoder:
+    """The encoder of this worker; ``merges`` are those of ``merge_ranks``, made here where they aren't given."""
+    return ByteEncoder(path, pattern, merges)
 
 
 @functools.lru_cache(maxsize=4)

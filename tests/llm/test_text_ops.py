@@ -59,6 +59,30 @@ def test_long_texts_are_cut_at_seams():
         assert b"".join(coder.encode(["a" * 100, "a" * 100])[:1]) == coder.encode(["a" * 100])[0]
 
 
+class Unwalked(dict):
+    """A dict of known pieces that may be looked up but never walked over."""
+
+    def __iter__(self):
+        raise AssertionError("walked over all known pieces")
+
+    keys = items = values = __iter__
+
+
+def test_known_pieces_are_looked_up_and_never_walked(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 20)
+    texts = [f"piece{i} of {i % 7} and it's {'x' * (i % 60)}" for i in range(200)]
+    for coder in (tokens.ByteEncoder(BYTES, PATTERN), tokens.WordEncoder(WORDS)):
+        alone = [coder.encode([t])[0] for t in texts]
+        coder.known, coder.older = Unwalked(), Unwalked((p, x) for p, x in coder.older.items())
+        for t, want in zip(texts[:30], alone):
+            assert coder.encode([t]) == [want]
+
+
+def test_encoder_from_given_merges_equals_one_that_makes_them():
+    one, other = tokens.ByteEncoder(BYTES, PATTERN), tokens.ByteEncoder(BYTES, PATTERN, tokens.merge_ranks(BYTES))
+    assert one.encode(ODD) == other.encode(ODD)
+
+
 def test_word_encoder_equals_library():
     coder = tokens.word_encoder(WORDS)
     texts = [t or "" for t in ODD] + ["İΣΑΣ Σ", "It's WE'LL 'S..!", "a b c"]
