@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.plans.registry import query, table
+from ragweave.storage import fresh_path
 from ragweave.streaming import events
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="ragweave-")
-    return f"{base.rstrip('/')}/ragweave/{name}-{uuid.uuid4().hex}"
-
-
 _ACTION = "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'put' ELSE 'delete' END"
 
 
@@ -38,7 +28,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 10 ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND {_ACTION} = 'put'""")
 def events_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of notification files folded into the catalogue, two files at a time."""
-    source, store = _folder(spark, "messages"), _folder(spark, "catalogue")
+    source, store = fresh_path(spark, "messages"), fresh_path(spark, "catalogue")
     _messages(spark, sf_dir).repartition(4).write.parquet(source)
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).parquet(source)
     events.maintain(events.storage_events(stream), store, store + "-checkpoint").awaitTermination()

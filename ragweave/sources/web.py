@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.functions.text import collapse
+from ragweave.storage import discard, materialize
 
 
 def valid_url(x: Column | str) -> Column:
@@ -52,19 +53,18 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 def crawl(start: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(url, depth) reachable from ``start`` (url) over ``edges`` (url, link), each at its least depth.
 
-    The visited set is checkpointed every round (locally without a checkpoint folder), so the plan
-    doesn't grow with the depth.
+    Links and each round's pages are tables in the shared folder, so no round recomputes the ones before
+    and a lost executor costs its tasks only.
     """
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    edges = materialize(edges.select("url", "link").distinct(), "links")
+    seen = front = materialize(start.select("url").distinct().withColumn("depth", F.lit(0)), "crawled")
     for d in range(1, depth + 1):
-        found = front.select("url").join(edges, "url").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-        front = found.withColumn("depth", F.lit(d))
+        found = front.select("url").join(edges, "url").select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
+        front = materialize(found.withColumn("depth", F.lit(d)), "crawled")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        seen = seen.checkpoint() if seen.sparkSession.sparkContext.getCheckpointDir() else seen.localCheckpoint()
-        front = seen.filter(F.col("depth") == d)
+    discard(edges)
     return seen
 
 

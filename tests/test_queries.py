@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -42,8 +45,21 @@ def test_query(spark, sf, views, name):
     assert rows == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
 
 
-def test_entry_point_works_without_the_training_data_package(spark):
+def test_entry_point(spark):
     import __spark_entry__
 
     assert set(REGISTRY.QUERIES) <= set(__spark_entry__.queries()) and set(REGISTRY.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("left", ["nothing", "an empty folder"])
+def test_entry_point_without_the_training_data_package(tmp_path, left):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/ragweave", tmp_path / "ragweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    if left == "an empty folder":
+        (tmp_path / "ragweave/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) < set(e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout
+    assert said.split() == sorted(REGISTRY.QUERIES)
