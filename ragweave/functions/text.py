@@ -100,6 +100,11 @@ def words(x: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(x)), r"\s+"), lambda w: w != "")
 
 
+def first_tokens(x: Column | str, n: int) -> Column:
+    """The first ``n`` runs of visible characters, joined by spaces."""
+    return F.array_join(F.slice(F.filter(F.split(_c(x), r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
 def bind(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f(x)`` with ``x`` evaluated once, also where ``f`` uses it inside a lambda."""
     return F.transform(F.array(x), f)[0]

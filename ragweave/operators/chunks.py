@@ -1,18 +1,19 @@
 """Splitting texts into chunks: by separators, headers, tokens, sentences and meaning.
 
 Splits that built-in functions can say are Column expressions; those that carry state along a text are
-``mapInPandas`` over whole rows, one row's text at a time.
+``mapInArrow`` over whole rows, one row's text at a time, and carry the columns to keep along.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ragweave.functions.text import bind
 
@@ -132,44 +133,92 @@ def sentences_packed(text: str, size: int, overlap: int = 0, count: Callable[[st
 CHUNKS = T.ArrayType(T.StructType([T.StructField("start_index", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-def _exploded(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[str], list[tuple]], names: list[str]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), 128):
-                part = frame.iloc[a : a + 128]
-                out = [(i, n, *row) for i, text in zip(part[id_col], part[text_col]) if text for n, row in enumerate(make(text))]
-                yield pd.DataFrame(out, columns=[id_col, "chunk", *names])
-
-    key = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {key}, chunk int, {schema}")
-
-
-def recursive(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk, start_index, chunk_text) of every text; blank texts have no chunks."""
+def _exploded(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[str], list[tuple]], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per part that ``make`` cuts from a text: the id, the columns to ``keep``, chunk number, and the part's columns."""
+    made = T.StructType.fromDDL(f"chunk int, {schema}")
+    own = [f.name for f in made]
+    names = [id_col, *(k for k in keep if k != id_col)]
+    clash = {n.lower() for n in names} & {n.lower() for n in own}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are those of chunks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(made)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                rows, out = [], []
+                for i, text in enumerate(part.column(text_at).to_pylist()):
+                    cut = make(text) if text else []
+                    rows += [i] * len(cut)
+                    out += [(n, *c) for n, c in enumerate(cut)]
+                index = pa.array(rows, pa.int32())
+                columns = [pa.array([x[j] for x in out], kinds.field(j).type) for j in range(len(own))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(index) for c in range(text_at)), *columns], [*names, *own])
+
+    text_at = len(names)
+    return df.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, T.StructType([*(df.schema[n] for n in names), *made]))
+
+
+def recursive(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kept columns, chunk, start_index, chunk_text) of every text; blank texts have no chunks."""
     _check(size, overlap)
-    return _exploded(df, id_col, text_col, "start_index int, chunk_text string", lambda t: split_recursive(t, size, overlap), ["start_index", "chunk_text"])
+    return _exploded(df, id_col, text_col, "start_index int, chunk_text string", lambda t: split_recursive(t, size, overlap), keep)
 
 
-def markdown(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def markdown(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """As ``recursive`` under Markdown headings, with columns header1 to header7."""
     _check(size, overlap)
-    names = [f"header{d}" for d in range(1, 8)]
     make = lambda t: [(s, c, *(h.get(d) for d in range(1, 8))) for s, c, h in split_markdown(t, size, overlap)]
-    return _exploded(df, id_col, text_col, "start_index int, chunk_text string, " + ", ".join(f"{n} string" for n in names), make, ["start_index", "chunk_text", *names])
+    return _exploded(df, id_col, text_col, "start_index int, chunk_text string, " + ", ".join(f"header{d} string" for d in range(1, 8)), make, keep)
 
 
-def sentences(df: DataFrame, size: int, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk, chunk_text, first_token, last_token) by whole sentences."""
-    return _exploded(df, id_col, text_col, "chunk_text string, first_token int, last_token int", lambda t: sentences_packed(t, size, overlap), ["chunk_text", "first_token", "last_token"])
+def sentences(df: DataFrame, size: int, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kept columns, chunk, chunk_text, first_token, last_token) by whole sentences."""
+    return _exploded(df, id_col, text_col, "chunk_text string, first_token int, last_token int", lambda t: sentences_packed(t, size, overlap), keep)
 
 
-def by_extension(df: DataFrame, size: int, overlap: int, name_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_extension(df: DataFrame, size: int, overlap: int, name_col: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Markdown splitting for Markdown-like files, recursive for others; one schema."""
     from ragweave.functions.text import extension
 
     marked = extension(name_col).isin(".md", ".adoc", ".html")
-    plain = recursive(df.filter(~F.coalesce(marked, F.lit(False))), size, overlap, id_col, text_col)
-    return markdown(df.filter(marked), size, overlap, id_col, text_col).unionByName(plain, allowMissingColumns=True)
+    plain = recursive(df.filter(~F.coalesce(marked, F.lit(False))), size, overlap, id_col, text_col, keep)
+    return markdown(df.filter(marked), size, overlap, id_col, text_col, keep).unionByName(plain, allowMissingColumns=True)
+
+
+Splitter = Callable[..., DataFrame]
+SPLITTERS: dict[str, Splitter] = {"recursive": recursive, "markdown": markdown, "sentences": sentences}
+
+
+def register_splitter(name: str, splitter: Splitter) -> None:
+    """Add a splitter (df, size, overlap, id_col, text_col, keep) by name."""
+    SPLITTERS[name] = splitter
+
+
+def split(df: DataFrame, name: str, size: int, overlap: int, **options: object) -> DataFrame:
+    """``df`` split by the splitter of that name; an unknown one is an error."""
+    if name not in SPLITTERS:
+        raise ValueError(f"unknown splitter {name}")
+    return SPLITTERS[name](df, size, overlap, **options)
+
+
+def with_metadata(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunk rows that carry every other column of their document; a chunk's own columns win over equal names."""
+    own = {"chunk", "start_index", "chunk_text"}
+    keep = [c for c in df.columns if c not in (id_col, text_col) and c.lower() not in own]
+    return recursive(df, size, overlap, id_col, text_col, keep)
+
+
+def hierarchical_pages(pages: DataFrame, summarize: Callable[[DataFrame, str], DataFrame], size: int = 1000, overlap: int = 200, id_col: str = "doc_id", page_col: str = "page", text_col: str = "text") -> DataFrame:
+    """(id, page, summary, chunk, start_index, text): a summary (1) of each page and the chunks (0) it splits into.
+
+    ``summarize(df, text_col)`` replaces that column by its summary. Chunks never cross pages.
+    """
+    short = summarize(pages.select(id_col, page_col, F.col(text_col).alias("text")), "text")
+    short = short.select(id_col, page_col, F.lit(1).alias("summary"), F.lit(0).alias("chunk"), F.lit(0).alias("start_index"), "text")
+    parts = recursive(pages, size, overlap, id_col, text_col, [page_col])
+    return short.unionByName(parts.select(id_col, page_col, F.lit(0).alias("summary"), "chunk", "start_index", F.col("chunk_text").alias("text")))
 
 
 def token_windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -195,13 +244,33 @@ def fixed_tokens(df: DataFrame, size: int, overlap: int, id_col: str = "doc_id",
 def pool_spans(vectors: DataFrame, spans: DataFrame, group: str, dims: int, position: str = "position", vec_col: str = "embedding") -> DataFrame:
     """(group, span, pooled): mean of the vectors at positions [first, last) of each span; empty spans go.
 
-    Positions are averaged coordinate by coordinate, pre-aggregated, so a span's rows never meet as rows.
+    A span is exploded to its positions, which meet vectors by equality, so a group's vectors and spans are
+    never paired. Coordinates are averaged each, pre-aggregated, so a span's rows never meet as rows.
     """
-    inside = vectors.join(spans.select(group, "span", "first", "last"), group).filter((F.col(position) >= F.col("first")) & (F.col(position) < F.col("last")))
+    at = spans.filter("last > first").select(group, "span", F.explode(F.sequence(F.col("first").cast("long"), F.col("last").cast("long") - 1)).alias("__at"))
+    inside = vectors.withColumn("__at", F.col(position).cast("long")).join(at, [group, "__at"])
     means = [F.avg(F.col(vec_col)[i].cast("double")).alias(f"v{i}") for i in range(dims)]
     return inside.groupBy(group, "span").agg(*means).select(group, "span", F.array(*[f"v{i}" for i in range(dims)]).alias("pooled"))
 
 
+def late_chunks(texts: DataFrame, embed_tokens: Callable[[DataFrame], DataFrame], size: int, overlap: int, dims: int, macro: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk, chunk_text, embedding): token vectors of whole macro-chunks, pooled by the chunks inside them.
+
+    A text's white-space tokens go to the model in macro-chunks of ``macro`` tokens, so that every token sees
+    its surroundings; ``embed_tokens`` turns rows (id, macro, token array) into rows (id, macro, position,
+    embedding) with positions inside the macro-chunk. Chunks of ``size`` tokens are windows of a macro-chunk.
+    """
+    if macro < size:
+        raise ValueError("a macro-chunk holds at least a chunk")
+    words = texts.select(id_col, F.filter(F.split(text_col, r"\s+"), lambda w: w != "").alias("tokens"))
+    parts = words.select(id_col, F.posexplode(token_windows(F.col("tokens"), macro, 0)).alias("macro", "w")).select(id_col, "macro", F.col("w.tokens").alias("tokens"))
+    spans = parts.select(id_col, "macro", F.posexplode(token_windows(F.col("tokens"), size, overlap)).alias("n", "w"))
+    key = F.struct(id_col, "macro")
+    spans = spans.select(key.alias("part"), F.col("n").alias("span"), F.col("w.first").alias("first"), (F.col("w.first") + F.size("w.tokens")).alias("last"), F.array_join("w.tokens", " ").alias("chunk_text"))
+    pooled = pool_spans(embed_tokens(parts).select(key.alias("part"), "position", "embedding"), spans, "part", dims)
+    return pooled.join(spans.select("part", "span", "chunk_text"), ["part", "span"]).select(F.col(f"part.{id_col}").alias(id_col), F.struct("part.macro", "span").alias("chunk"), "chunk_text", F.col("pooled").alias("embedding"))
+
+
 def semantic_groups(steps: DataFrame, group: str, position: str, distance: str, percentile: float = 0.95) -> DataFrame:
     """``steps`` with is_break and part: a part ends where the distance to the next row is above the percentile."""
     limits = steps.groupBy(group).agg(F.percentile(F.col(distance), percentile).alias("limit"))
@@ -227,17 +296,27 @@ def semantic(df: DataFrame, embed: Callable[[DataFrame, str], DataFrame], buffer
     return grouped.groupBy(id_col, "part").agg(text.alias("chunk_text"))
 
 
+# Where speech may be cut, after sentence ends and commas.
+SPEECH_CUTS = r"(?<=[.!?])\s+|(?<=,)\s+"
+
+
 def sentence_pack(x: Column | str, size: int) -> Column:
-    """Array of speech parts: cut after sentence ends and commas, joined by spaces up to ``size`` characters."""
-    pieces = F.filter(F.split(F.col(x) if isinstance(x, str) else x, r"(?<=[.!?])\s+|(?<=,)\s+"), lambda p: F.trim(p) != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["held"]) + 1 + F.length(p) <= size
-        return (
-            F.when(acc["held"] == "", F.struct(acc["done"].alias("done"), p.alias("held")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["held"], p).alias("held")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["held"])).alias("done"), p.alias("held")))
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))))
+    """Array of speech parts: cut after sentence ends and commas, joined by spaces up to ``size`` characters.
+
+    A pass over the pieces' lengths numbers the part of each piece; texts are joined once, at the end.
+    """
+    pieces = F.filter(F.split(F.col(x) if isinstance(x, str) else x, SPEECH_CUTS), lambda p: F.trim(p) != "")
+
+    def parts(p: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("firsts"), F.lit(0).alias("held"), F.lit(0).alias("at"))
+
+        def step(acc: Column, n: Column) -> Column:
+            new = (acc["at"] == 0) | (acc["held"] + 1 + n > size)
+            firsts = F.when(new, F.concat(acc["firsts"], F.array(acc["at"]))).otherwise(acc["firsts"])
+            return F.struct(firsts.alias("firsts"), F.when(new, n).otherwise(acc["held"] + 1 + n).alias("held"), (acc["at"] + 1).alias("at"))
+
+        firsts = F.aggregate(F.transform(p, lambda t: F.length(t)), start, step, lambda acc: acc["firsts"])
+        ends = F.concat(F.slice(firsts, 2, F.greatest(F.size(firsts) - 1, F.lit(0))), F.array(F.size(p)))
+        return F.transform(F.arrays_zip(firsts.alias("a"), ends.alias("b")), lambda z: F.array_join(F.slice(p, z["a"] + 1, z["b"] - z["a"]), " "))
+
+    return bind(pieces, lambda p: F.when(F.size(p) > 0, parts(p)).otherwise(F.array().cast("array<string>")))

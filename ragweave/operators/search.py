@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragweave.functions import vectors as V
+from ragweave.storage import fresh_path
 
 #: Query vectors that are broadcast at once; more are taken in blocks of this many.
 QUERY_BLOCK = 4096
@@ -84,21 +85,30 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
 def knn_each(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest corpus rows of every query (query_id long, query_vec): query_id, id, distance, rank.
 
-    Queries go to the tasks in blocks of about ``block`` vectors, so what is sent doesn't grow with them.
-    A batch of rows is one matrix product against a block and gives each query's ``k`` best of the batch,
-    so pairs are neither sorted nor shuffled.
+    A batch of rows is one matrix product against a block of about ``block`` query vectors and gives each
+    query's ``k`` best of the batch, so pairs are neither sorted nor shuffled. More queries are taken block
+    by block: the driver holds one block, and what a block finds is added to a table in the shared folder,
+    so neither its memory nor the plan grows with them.
     """
     n = queries.count()
     blocks = max(1, -(-n // block))
-    found = None
+    schema = T.StructType([T.StructField("query_id", T.LongType()), corpus.schema[id_col], T.StructField("distance", T.DoubleType())])
+    spark, path, found = corpus.sparkSession, None, None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = part.select("query_id", "query_vec").collect()
-        if rows:
-            near = _nearest_of_batches(corpus, [r[0] for r in rows], np.array([r[1] for r in rows], float), k, metric, id_col, vec_col)
-            found = near if found is None else found.unionByName(near)
+        if not rows:
+            continue
+        near = _nearest_of_batches(corpus, [r[0] for r in rows], np.array([r[1] for r in rows], float), k, metric, id_col, vec_col)
+        if blocks == 1:
+            found = near
+        else:
+            path = path or fresh_path(spark, "nearest")
+            near.write.mode("append").parquet(path)
+    if path:
+        found = spark.read.schema(schema).parquet(path)
     if found is None:
-        found = corpus.select(F.lit(0).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("distance")).limit(0)
+        found = spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -173,9 +183,10 @@ def search(corpus: DataFrame, query: list[float], kind: str = "similarity", k: i
 
 
 def fit_cells(sample: DataFrame, cells: int, rounds: int = 8, most: int = 20_000, seed: int = 3, vec_col: str = "embedding") -> list[list[float]]:
-    """Centres of an inverted-file index, by k-means on about ``most`` rows taken by a hash of the vector."""
+    """Centres of an inverted-file index, by k-means on about ``most`` distinct vectors taken by a hash."""
+    sample = sample.select(vec_col).distinct()
     share = min(1.0, most / max(1, sample.count()))
-    rows = sample.select(vec_col).filter(F.pmod(F.xxhash64(vec_col), F.lit(1 << 20)) < share * (1 << 20)).collect()
+    rows = sample.filter(F.pmod(F.xxhash64(vec_col), F.lit(1 << 20)) < share * (1 << 20)).collect()
     x = np.array(sorted(list(r[0]) for r in rows), float)
     if not len(x):
         return []

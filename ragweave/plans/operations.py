@@ -126,12 +126,19 @@ def history_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, dense_rank() OVER (PARTITION BY lang ORDER BY source) AS c FROM documents),
-    e AS (SELECT lang, rank, CASE WHEN source IS NULL OR source = '' THEN left(text, 50) ELSE '[' || c || '] (' || source || E')\\nContent: ' || left(text, 50) END AS e FROM d WHERE rank <= 5)
+    e AS (SELECT lang, rank, CASE WHEN source IS NULL OR source = '' THEN text ELSE '[' || c || '] (' || source || E')\\nContent: ' || text END AS e FROM d WHERE rank <= 5)
     SELECT lang, string_agg(e, E'\\n\\n' ORDER BY rank) AS context FROM e GROUP BY lang""")
 def prompt_context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contexts(spark, sf_dir)
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first documents of each language as context; ids are ranked, only these bring their text."""
     docs = table(spark, sf_dir, "documents")
-    line = Window.partitionBy("lang").orderBy("doc_id")
-    rows = docs.withColumns({"rank": F.row_number().over(line), "citation_id": F.dense_rank().over(Window.partitionBy("lang").orderBy("source")), "text": F.substring("text", 1, 50)}).filter("rank <= 5")
+    top = docs.select("doc_id", "lang", "source", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("rank")).filter("rank <= 5")
+    cited = docs.select(F.col("lang").alias("of"), F.col("source").alias("cited")).distinct()
+    cited = cited.withColumn("citation_id", F.dense_rank().over(Window.partitionBy("of").orderBy(F.asc_nulls_last("cited"))))
+    rows = top.join(cited, F.col("lang").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("cited"))).join(docs.select("doc_id", "text"), "doc_id")
     return prompts.context(rows, prompts.context_entry(), "lang")
 
 
@@ -140,14 +147,8 @@ def prompt_context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     a AS (SELECT lang, string_agg(e, E'\\n\\n' ORDER BY rank) AS context FROM e GROUP BY lang)
     SELECT lang, md5(context) AS context_md5, length(context)::BIGINT AS context_length FROM a""")
 def prompt_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``prompt_context_format``, of whole texts."""
-    docs = table(spark, sf_dir, "documents")
-    top = docs.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter("rank <= 5")
-    cited = docs.select(F.col("lang").alias("of"), F.col("source").alias("cited")).distinct()
-    cited = cited.withColumn("citation_id", F.dense_rank().over(Window.partitionBy("of").orderBy(F.asc_nulls_last("cited"))))
-    rows = top.join(cited, F.col("lang").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("cited")))
-    made = prompts.context(rows, prompts.context_entry(), "lang")
-    return made.select("lang", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.length("context").cast("long").alias("context_length"))
+    """``prompt_context_format`` as digests and lengths."""
+    return _contexts(spark, sf_dir).select("lang", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.length("context").cast("long").alias("context_length"))
 
 
 @query("SELECT conv_id, turn, trim('Context: none' || E'\\n' || 'Question: ' || coalesce(text, '') || E'\\nHistory: ', ' ') AS prompt FROM conversations WHERE role = 'user'")
@@ -165,7 +166,8 @@ def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.translation_languages(rows).select("doc_id", "target_lang", "source_lang")
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, array_to_string(flatten(list_transform(range(0, len(w), 400), lambda f: w[f + 1 : f + 12]))[1:12], ' ') AS summary FROM w WHERE len(w) > 0""")
 def summaries_map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in summaries of documents by the words that begin their chunks."""
     from ragweave.operators import chunks
@@ -174,7 +176,10 @@ def summaries_map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.summarize(made, models.first_words(12))
 
 
-@query()
+@query("""WITH c AS (SELECT * FROM (VALUES ('de', ['der', 'die', 'und', 'das', 'ein', 'nicht']), ('en', ['the', 'and', 'of', 'to', 'was', 'is']), ('es', ['el', 'de', 'que', 'y', 'los', 'una']), ('fr', ['le', 'la', 'et', 'les', 'des', 'une'])) AS c(l, words)),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents),
+    v AS (SELECT doc_id, l, len(list_filter(w, lambda x: list_contains(words, x))) AS n FROM w, c)
+    SELECT doc_id, l AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, l) AS k FROM v) WHERE k = 1""")
 def langdetect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in language detection by common words."""
     common = {"de": ["der", "die", "und", "das", "ein", "nicht"], "en": ["the", "and", "of", "to", "was", "is"], "es": ["el", "de", "que", "y", "los", "una"], "fr": ["le", "la", "et", "les", "des", "une"]}

@@ -122,14 +122,14 @@ def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.cite(hits, "source").select("query_id", "doc_id", "citation_id")
 
 
-@query("""WITH h AS (SELECT doc_id, source, left(text, 40) AS text FROM documents WHERE doc_id % 100 = 0),
-    n AS (SELECT h.doc_id AS hit_id, h.source, d.doc_id AS s, left(d.text, 40) AS text FROM h JOIN documents d ON d.source = h.source AND d.doc_id BETWEEN h.doc_id - 20 AND h.doc_id + 20),
+@query("""WITH h AS (SELECT doc_id, source, text FROM documents WHERE doc_id % 100 = 0),
+    n AS (SELECT h.doc_id AS hit_id, h.source, d.doc_id AS s, d.text AS text FROM h JOIN documents d ON d.source = h.source AND d.doc_id BETWEEN h.doc_id - 20 AND h.doc_id + 20),
     c AS (SELECT source, hit_id, string_agg(text, ' ' ORDER BY s, text) AS combined_text FROM n GROUP BY source, hit_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY source, combined_text ORDER BY hit_id) AS n FROM c)
     SELECT source, hit_id, combined_text FROM r WHERE n = 1""")
 def combine_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits: documents whose id is divisible by 100; siblings: up to 20 ids away in the same source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     hits = docs.filter("doc_id % 100 = 0").select(F.col("source"), F.col("doc_id").alias("hit_id"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("start_index"), "text")
     reach = hits.select("source", "hit_id", F.explode(F.expr("sequence(hit_id - 20, hit_id + 20)")).alias("doc_id")).filter("doc_id <> hit_id")
     near = reach.join(docs, ["source", "doc_id"]).select("source", "hit_id", F.col("doc_id").alias("start_index"), "text")
@@ -141,7 +141,7 @@ def combine_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY hit_id) AS n FROM c)
     SELECT source, hit_id, md5(t) AS combined_md5, length(t)::BIGINT AS combined_length FROM r WHERE n = 1""")
 def combine_siblings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``combine_siblings``, of whole texts; every document is a hit."""
+    """Like ``combine_siblings``, as digests; every document is a hit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     hits = docs.select("source", F.col("doc_id").alias("hit_id"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("start_index"), "text")
     reach = docs.select("source", F.col("doc_id").alias("hit_id"), F.explode(F.expr("sequence(doc_id - 20, doc_id + 20)")).alias("doc_id")).filter("doc_id <> hit_id")
@@ -176,15 +176,18 @@ def filter_permission_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p FROM embeddings),
     u AS (SELECT label, (p // 4)::INTEGER AS span, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM n)
-    SELECT label, span, round(avg(x), 5) AS first_dim FROM u WHERE i = 1 GROUP BY label, span""")
+    SELECT label, span, (i - 1)::INTEGER AS dim, round(avg(x), 5) + 0.0 AS mean FROM u GROUP BY label, span, i""")
 def span_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of four vectors of a label; the first coordinate of each mean."""
+    """Spans of four vectors of a label; all coordinates of each mean."""
     e = table(spark, sf_dir, "embeddings")
+    dims = len(_vector(e))
     line = Window.partitionBy("label").orderBy("vec_id")
-    rows = e.withColumn("position", F.row_number().over(line) - 1)
-    spans = rows.groupBy("label").agg(F.count("*").alias("n")).select("label", F.explode(F.expr("sequence(0, cast((n - 1) / 4 as int))")).alias("span"))
+    places = e.select("label", "vec_id", (F.row_number().over(line) - 1).alias("position"))
+    spans = places.groupBy("label").agg(F.count("*").alias("n")).select("label", F.explode(F.expr("sequence(0, cast((n - 1) / 4 as int))")).alias("span"))
     spans = spans.select("label", "span", (F.col("span") * 4).alias("first"), (F.col("span") * 4 + 4).alias("last"))
-    return chunks.pool_spans(rows, spans, "label", 1).select("label", "span", F.round(F.col("pooled")[0], 5).alias("first_dim"))
+    rows = places.join(e.select("vec_id", "embedding"), "vec_id")
+    pooled = chunks.pool_spans(rows, spans, "label", dims)
+    return pooled.select("label", "span", F.posexplode("pooled").alias("dim", "mean")).withColumn("mean", F.round("mean", 5) + 0.0)
 
 
 @query("""WITH s AS (SELECT label, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)) AS step FROM embeddings),

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
-from ragweave.operators import evaluate
+from ragweave.operators import evaluate, prompts
 from ragweave.plans.registry import query, table
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, descending: bool = False) -> DataFrame:
-    """Documents by source; the source is the query."""
+    """The ten first documents of each source, which is the query; ids are ranked, only these ten bring their text."""
     docs = table(spark, sf_dir, "documents")
     line = Window.partitionBy("source").orderBy(F.desc("doc_id") if descending else F.asc("doc_id"))
-    return docs.select(F.col("source").alias("query_id"), F.row_number().over(line).alias("rank"), "text")
+    top = docs.select("doc_id", F.col("source").alias("query_id"), F.row_number().over(line).alias("rank")).filter("rank <= 10")
+    return top.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "rank", "text")
 
 
 def _golds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's golds: the first words of every third of its documents."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
-    return docs.select(F.col("source").alias("query_id"), X.collapse(F.substring(X.collapse("text"), 1, 25)).alias("gold"))
+    """Each source's golds: its documents of good quality, whole."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").join(good, "doc_id")
+    return docs.select(F.col("source").alias("query_id"), X.collapse("text").alias("gold"))
 
 
 _SPACE = "'[ \\t\\n\\r\\f\\v]+'"
@@ -28,7 +32,7 @@ _SPACE = "'[ \\t\\n\\r\\f\\v]+'"
 
 def _scores_sql(order: str) -> str:
     return f"""r AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id {order}) AS rank, trim(regexp_replace(regexp_replace(text, '\\bNone\\b', '', 'g'), {_SPACE}, ' ', 'g'), ' ') AS t FROM documents),
-    g0 AS (SELECT source AS query_id, trim(left(trim(regexp_replace(text, {_SPACE}, ' ', 'g'), ' '), 25), ' ') AS gold FROM documents WHERE doc_id % 3 = 0), g AS (SELECT DISTINCT * FROM g0),
+    g0 AS (SELECT source AS query_id, trim(regexp_replace(text, {_SPACE}, ' ', 'g'), ' ') AS gold FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), g AS (SELECT DISTINCT * FROM g0),
     f AS (SELECT g.query_id, gold, min(rank) AS rank FROM g JOIN r ON r.query_id = g.query_id AND rank <= 10 AND contains(t, gold) GROUP BY ALL),
     p AS (SELECT query_id, min(rank) AS first, sum(1 / rank) AS gain FROM f GROUP BY query_id), n AS (SELECT query_id, count(*) AS n FROM g0 GROUP BY query_id),
     s AS (SELECT n.query_id, coalesce((first <= 4)::INTEGER, 0) AS hits_4, coalesce((first <= 10)::INTEGER, 0) AS hits_10, coalesce(gain / least(n, 10), 0)::DOUBLE AS map_10, coalesce(1 / first, 0)::DOUBLE AS mrr_10 FROM n LEFT JOIN p ON n.query_id = p.query_id)"""
@@ -75,12 +79,13 @@ def retrieval_benchmark_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(f"{n}_gain", 6).alias(f"{n}_gain") for n in names])
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next one of its source, as tokens."""
+def _pairs(spark: SparkSession, sf_dir: str, tokens: Callable[[str], Column] = X.words) -> DataFrame:
+    """Each document against the next one of its source, as tokens; only ids are put in order."""
     docs = table(spark, sf_dir, "documents")
-    line = Window.partitionBy("source").orderBy("doc_id")
-    both = docs.select(F.col("doc_id").alias("pair_id"), X.words("text").alias("hypothesis"), F.lead("text").over(line).alias("next"))
-    return both.filter("next is not null").select("pair_id", "hypothesis", X.words("next").alias("reference"))
+    ids = prompts.with_next(docs.select("doc_id", "source"), "doc_id", "doc_id", "next_id", ["source"]).filter("next_id is not null")
+    texts = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next")).filter("next is not null")
+    both = ids.select(F.col("doc_id").alias("pair_id"), "next_id").join(texts, "next_id").join(docs.select(F.col("doc_id").alias("pair_id"), "text"), "pair_id")
+    return both.select("pair_id", tokens("text").alias("hypothesis"), tokens("next").alias("reference"))
 
 
 _PAIRS = f"""d AS (SELECT doc_id AS pair_id, list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda w: w <> '') AS h, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents),
@@ -103,9 +108,29 @@ def bleu_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.ngram_matches(_pairs(spark, sf_dir), 2).select("pair_id", "matched", "total")
 
 
-@query()
+def _tokens_13a(text: str) -> str:
+    """SQL of a text's 13a tokens."""
+    for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    for pattern, put in evaluate.RULES_13A:
+        text = f"regexp_replace({text}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return f"list_filter(regexp_split_to_array({text}, {_SPACE}), lambda w: w <> '')"
+
+
+def _grams_sql(side: str) -> str:
+    return " UNION ALL ".join(f"SELECT pair_id, {n} AS n, unnest(list_transform(range(1, len({side}) - {n - 2}), lambda i: array_to_string({side}[i : i + {n - 1}], ' '))) AS g FROM p" for n in range(1, 5))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS pair_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
+    p AS (SELECT pair_id, {_tokens_13a('a')} AS h, {_tokens_13a('b')} AS r FROM d WHERE b IS NOT NULL),
+    x AS (SELECT pair_id, n, g, count(*) AS c FROM ({_grams_sql('h')}) GROUP BY ALL), y AS (SELECT pair_id, n, g, count(*) AS c FROM ({_grams_sql('r')}) GROUP BY ALL),
+    m AS (SELECT x.n, sum(least(x.c, coalesce(y.c, 0))) AS m, sum(x.c) AS t FROM x LEFT JOIN y ON x.pair_id = y.pair_id AND x.n = y.n AND x.g = y.g GROUP BY x.n),
+    z AS (SELECT sum(len(h)) AS hl, sum(len(r)) AS rl FROM p), k AS (SELECT hl, rl, CASE WHEN hl > rl THEN 1 ELSE exp(1 - rl / hl) END AS bp FROM z)
+    SELECT round(bp * (SELECT exp(sum(ln(m / t)) / 4) FROM m), 6)::DOUBLE AS bleu, round(bp, 6)::DOUBLE AS brevity_penalty, hl::BIGINT AS hypothesis_length, rl::BIGINT AS reference_length FROM k""")
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.bleu(_pairs(spark, sf_dir), 2)
+    """Up to four tokens at once, by the 13a rules."""
+    found = evaluate.bleu(_pairs(spark, sf_dir, evaluate.tokens_13a), 4)
+    return found.select(F.round("bleu", 6).alias("bleu"), F.round("brevity_penalty", 6).alias("brevity_penalty"), "hypothesis_length", "reference_length")
 
 
 @query()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
-from ragweave.operators import chunks, models, segments
+from ragweave.operators import chunks, models, prompts, segments
 from ragweave.plans.registry import query, table
 from ragweave.sources import files, web
 
@@ -36,15 +36,15 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.sum("original_length").alias("original"), F.sum("compressed_length").alias("compressed"), F.round(ratio, 6).alias("ratio"), F.round(F.min("compression_ratio"), 6).alias("least_ratio"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(left(text, 200), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS clean, replace(left(text, 80), E'\\n', ' ') AS line FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS clean, replace(text, E'\\n', ' ') AS line FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.substring("text", 1, 200)).alias("clean"), X.single_line(F.substring("text", 1, 80)).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalized("text").alias("clean"), X.single_line("text").alias("line"))
 
 
 @query("""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS clean, replace(text, E'\\n', ' ') AS line FROM documents)
     SELECT doc_id, md5(clean) AS clean_md5, length(clean)::BIGINT AS clean_length, md5(line) AS line_md5, length(line)::BIGINT AS line_length FROM t""")
 def normalize_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``normalize_text``, of whole texts."""
+    """``normalize_text`` as digests and lengths."""
     made = table(spark, sf_dir, "documents").select("doc_id", X.normalized("text").alias("clean"), X.single_line("text").alias("line"))
     return made.select("doc_id", *_digests("clean", "line"))
 
@@ -62,6 +62,34 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.recursive(table(spark, sf_dir, "documents"), 512, 64)
 
 
+@query()
+def chunk_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that carry language, source and size of their document."""
+    return chunks.with_metadata(table(spark, sf_dir, "documents"), 512, 64)
+
+
+@query()
+def hierarchical_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 40 lines: a stand-in summary of each and the chunks that it splits into."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    page = F.floor(F.col("line") / 40).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    pages = lines.groupBy("doc_id", page.alias("page")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return chunks.hierarchical_pages(pages, lambda df, c: df.withColumn(c, X.first_tokens(c, 12)), 1000, 200)
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents),
+    m AS (SELECT doc_id, (f // 1024)::INTEGER AS macro, w[f + 1 : f + 1024] AS w FROM (SELECT *, unnest(range(0, len(w), 1024)) AS f FROM w)),
+    s AS (SELECT doc_id, macro, (f // 224)::INTEGER AS span, w[f + 1 : f + 256] AS w FROM (SELECT *, unnest(range(0, len(w), 224)) AS f FROM m))
+    SELECT doc_id, macro, span, md5(array_to_string(w, ' ')) AS chunk_md5, round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 5) AS first_dim FROM s""")
+def late_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token vectors of macro-chunks of 1024 tokens (a stand-in: a token's length) pooled over windows of 256."""
+    model = lambda parts: parts.select("doc_id", "macro", F.posexplode("tokens").alias("position", "w")).withColumn("embedding", F.array(F.length("w").cast("float")))
+    made = chunks.late_chunks(table(spark, sf_dir, "documents"), model, 256, 32, 1, macro=1024)
+    return made.select("doc_id", "chunk.macro", "chunk.span", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"), F.round(F.col("embedding")[0], 5).alias("first_dim"))
+
+
 @query()
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown: each first line is a heading."""
@@ -93,10 +121,11 @@ def dedup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc_id, g, lead(doc_id) OVER k AS next_id, lead(g) OVER k AS h FROM g WINDOW k AS (PARTITION BY source ORDER BY doc_id))
     SELECT doc_id, next_id, round(CASE WHEN len(g) = 0 AND len(h) = 0 THEN 1 WHEN len(g) = 0 OR len(h) = 0 THEN 0 ELSE len(list_intersect(g, h)) / least(len(g), len(h)) END, 6)::DOUBLE AS overlap FROM p WHERE next_id IS NOT NULL""")
 def trigram_overlap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of word trigrams of each document and the next one of its source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.ngrams(X.words("text"), 3).alias("g"))
-    line = Window.partitionBy("source").orderBy("doc_id")
-    pairs = docs.withColumns({"next_id": F.lead("doc_id").over(line), "h": F.lead("g").over(line)}).filter("next_id is not null")
+    """Overlap of word trigrams of each document and the next one of its source; only ids are put in order."""
+    docs = table(spark, sf_dir, "documents")
+    ids = prompts.with_next(docs.select("doc_id", "source"), "doc_id", "doc_id", "next_id", ["source"]).filter("next_id is not null").select("doc_id", "next_id")
+    grams = docs.select("doc_id", X.ngrams(X.words("text"), 3).alias("g"))
+    pairs = ids.join(grams.select(F.col("doc_id").alias("next_id"), F.col("g").alias("h")), "next_id").join(grams, "doc_id")
     return pairs.select("doc_id", "next_id", F.round(X.overlap(F.col("g"), F.col("h")), 6).alias("overlap"))
 
 
@@ -129,7 +158,13 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.main_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS site, html FROM pages),
+    h AS (SELECT url, site, unnest(regexp_extract_all(html, 'href=\\x22([^\\x22]*)\\x22', 1)) AS href FROM p), f AS (SELECT *, regexp_replace(href, '#.*$', '') AS bare FROM h WHERE NOT starts_with(href, 'mailto:')),
+    w AS (SELECT url, site, CASE WHEN regexp_matches(bare, '^https?://') THEN bare WHEN starts_with(bare, '/') THEN site || bare ELSE site || '/' || bare END AS link FROM f WHERE bare <> ''),
+    l AS (SELECT DISTINCT url, link FROM w WHERE regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) = site
+        AND lower(regexp_extract(link, '://[^/]+/(?:.*/)?[^/?]*(\\.[A-Za-z0-9]+)(?:\\?.*)?$', 1)) IN ('', '.html', '.htm')),
+    r(url, depth) AS (SELECT arg_min(url, page_id), 0 FROM pages UNION SELECT l.link, r.depth + 1 FROM r JOIN l ON l.url = r.url WHERE r.depth < 10)
+    SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reachable from the first one over the links between pages."""
     pages = table(spark, sf_dir, "pages")
@@ -162,23 +197,23 @@ def except_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def extract_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as uploaded files of two types, decoded and loaded."""
-    pages = table(spark, sf_dir, "pages").filter(F.length("html") > 0)
+    pages = table(spark, sf_dir, "pages")
     uploads = pages.select(F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".txt")).alias("filename"), F.base64(F.col("html").cast("binary")).alias("data64"))
     return files.extract(files.decode(uploads), "filename").select("filename", "text")
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || left(text, 60), '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain, regexp_replace('# ' || left(text, 20), '(?m)^(#{1,6})', '#\\1', 'g') AS lower_heading FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || text, '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain,
+    regexp_replace(regexp_replace('# ' || text, '(?m)^(#{1,6})', '#\\1', 'g'), '<!-- Slide number: ([0-9]+) -->', '# Slide \\1', 'g') AS lower_heading FROM documents""")
 def markdown_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    linked = F.concat(F.lit("[see](http://x) "), F.substring("text", 1, 60))
-    return docs.select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(F.concat(F.lit("# "), F.substring("text", 1, 20))).alias("lower_heading"))
+    linked, headed = F.concat(F.lit("[see](http://x) "), "text"), F.concat(F.lit("# "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(headed).alias("lower_heading"))
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || text, '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain,
     regexp_replace(regexp_replace('# ' || text, '(?m)^(#{1,6})', '#\\1', 'g'), '<!-- Slide number: ([0-9]+) -->', '# Slide \\1', 'g') AS lower_heading FROM documents)
     SELECT doc_id, md5(plain) AS plain_md5, length(plain)::BIGINT AS plain_length, md5(lower_heading) AS lower_heading_md5, length(lower_heading)::BIGINT AS lower_heading_length FROM t""")
 def markdown_cleanup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``markdown_cleanup``, of whole texts."""
+    """``markdown_cleanup`` as digests and lengths."""
     linked, headed = F.concat(F.lit("[see](http://x) "), "text"), F.concat(F.lit("# "), "text")
     made = table(spark, sf_dir, "documents").select("doc_id", X.strip_links(linked).alias("plain"), X.slide_headings(headed).alias("lower_heading"))
     return made.select("doc_id", *_digests("plain", "lower_heading"))
@@ -191,7 +226,10 @@ def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.size(X.stream_tokens("text")).alias("n_tokens"), F.size(X.flushed_sentences("text")).alias("n_sentences"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), '(,)[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g') AS t FROM conversations WHERE role = 'assistant'),
+    p AS (SELECT conv_id, turn, list_filter(string_split(t, chr(1)), lambda x: trim(x, E' ') <> '') AS p FROM c),
+    r AS (SELECT conv_id, turn, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 128 THEN list_append(a[:-2], a[-1] || ' ' || x[1]) ELSE list_append(a, x[1]) END) AS parts FROM p WHERE len(p) > 0)
+    SELECT conv_id, turn, (i - 1)::INTEGER AS part, parts[i] AS speech FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM r)""")
 def speech_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns cut for speech at 128 characters."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")

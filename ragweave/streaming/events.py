@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ragweave.storage import discard, file_system, materialize
+
 RECORDS = "Records array<struct<eventName: string, eventTime: string, s3: struct<bucket: struct<name: string>, object: struct<key: string, size: bigint, eTag: string, sequencer: string>>>>"
 
 
@@ -42,36 +43,46 @@ def fold(state: DataFrame | None, events: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
 
 
+#: Slots that objects are dealt to by a hash; a batch rewrites only the slots of its objects.
+SLOTS = 256
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("bucket_name", "object_name"), F.lit(SLOTS)).cast("int")
+
+
 def maintain(events: DataFrame, store: str, checkpoint: str, trigger: dict[str, object] | None = None) -> StreamingQuery:
-    """Keep a versioned table of the newest event per object under ``store``.
+    """Keep a table of the newest event per object under ``store``, partitioned by slot.
 
-    A batch writes the version of its number, so a batch that runs again overwrites its own work only.
+    A batch folds its events into the slots they fall to and overwrites those. Folding takes the newest
+    event whatever was folded before, so a batch that runs again, in part or whole, changes nothing.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = _versions(spark, store, number)
-        state = spark.read.parquet(f"{store}/v={last}") if last is not None else None
-        fold(state, batch).write.mode("overwrite").parquet(f"{store}/v={number}")
+        now = materialize(batch.withColumn("slot", _slot()), "events")
+        slots = [r[0] for r in now.select("slot").distinct().collect()]  # at most SLOTS
+        state = _state(spark, store)
+        held = None if state is None else state.filter(F.col("slot").isin(slots))
+        folded = materialize(fold(held, now).withColumn("slot", _slot()), "folded")
+        folded.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(store)
+        discard(now)
+        discard(folded)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _versions(spark, store: str, below: int | None = None) -> int | None:  # noqa: ANN001
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def _state(spark: SparkSession, store: str) -> DataFrame | None:
+    fs, make = file_system(spark, store)
+    if not fs.exists(make(store)) or not fs.globStatus(make(f"{store}/slot=*")):
         return None
-    found = [int(x.getPath().getName()[2:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("v=")]
-    done = [n for n in found if fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f"{store}/v={n}/_SUCCESS")) and (below is None or n < below)]
-    return max(done, default=None)
+    return spark.read.parquet(store)
 
 
-def catalogue(spark, store: str) -> DataFrame | None:  # noqa: ANN001
+def catalogue(spark: SparkSession, store: str) -> DataFrame | None:
     """Objects that exist now; None before the first batch."""
-    last = _versions(spark, store)
-    return None if last is None else spark.read.parquet(f"{store}/v={last}").filter("action = 'put'")
+    state = _state(spark, store)
+    return None if state is None else state.filter("action = 'put'").drop("slot")
 
 
 def tumbling(events: DataFrame, width: str, late: str, time_col: str, group: list[str], value: str) -> DataFrame:
@@ -81,6 +92,33 @@ def tumbling(events: DataFrame, width: str, late: str, time_col: str, group: lis
     return timed.groupBy(F.window(time_col, width), *group).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), *group, "n", "total")
 
 
+def sliding(events: DataFrame, width: str, step: str, late: str, time_col: str, group: list[str], value: str) -> DataFrame:
+    """As ``tumbling`` over windows of ``width`` that begin every ``step``."""
+    timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    timed = timed.withWatermark(time_col, late) if events.isStreaming else timed
+    return timed.groupBy(F.window(time_col, width, step), *group).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), *group, "n", "total")
+
+
+def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, reach: str, late: str) -> DataFrame:
+    """Pairs of rows with equal ``keys`` where the right one comes at most ``reach`` after the left one.
+
+    Of streams, both sides have a watermark, so that state that can't match any more goes.
+    """
+    sides = [d.withColumn(t, F.col(t).cast("timestamp")) for d, t in ((left, left_time), (right, right_time))]
+    a, b = (d.withWatermark(t, late) if d.isStreaming else d for d, t in zip(sides, (left_time, right_time)))
+    b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    near = (F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {reach}"))
+    return a.join(b, [*same, near]).drop(*[f"__{k}" for k in keys])
+
+
+def progress(batches: DataFrame, job: str = "job_id", done: str = "n_done", total: str = "n_total") -> DataFrame:
+    """(job, done, total, share, finished) of jobs from rows that report batches of finished parts."""
+    sums = batches.groupBy(job).agg(F.sum(done).cast("long").alias("done"), F.max(total).cast("long").alias("total"))
+    share = F.when(F.col("total") > 0, F.least(F.col("done") / F.col("total"), F.lit(1.0))).otherwise(1.0)
+    return sums.withColumns({"share": share, "finished": F.col("done") >= F.col("total")})
+
+
 def sessions(events: DataFrame, gap: str, late: str, time_col: str, key: str) -> DataFrame:
     """Runs of a key's events with less than ``gap`` between them."""
     timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
