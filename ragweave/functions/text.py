@@ -164,10 +164,28 @@ def milliseconds(start: Column | str, end: Column | str) -> Column:
     return F.coalesce((micros / 1000).cast("long"), F.lit(0).cast("long"))
 
 
-def name_uuid(x: Column | str) -> Column:
-    """A UUID-shaped id made from a SHA-1 of the text: equal texts, equal ids."""
-    h = F.sha1(_c(x).cast("binary"))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+# The RFC 4122 namespaces of names.
+NAMESPACES = {"dns": "6ba7b8109dad11d180b400c04fd430c8", "url": "6ba7b8119dad11d180b400c04fd430c8"}
+
+
+def name_uuid(x: Column | str, namespace: str = "dns") -> Column:
+    """The version 5 UUID of a name in a namespace (RFC 4122): equal names, equal ids."""
+    h = F.lower(F.sha1(F.concat(F.unhex(F.lit(NAMESPACES[namespace])), _c(x).cast("binary"))))
+    variant = F.lower(F.conv(F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 8, 10, 16))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def epoch_seconds(x: Column | str) -> Column:
+    """Seconds since 1970, with fractions, of a timestamp."""
+    return F.unix_micros(_c(x).cast("timestamp")) / 1e6
+
+
+def setting(x: Column | str) -> Column:
+    """A setting's text as (number, flag, text): quotes around it go; digits are a number, true and false a flag."""
+    bare = F.regexp_replace(F.trim(_c(x)), "^([\"'])(.*)\\1$", "$2")
+    number = F.when(bare.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), bare.cast("double"))
+    flag = F.when(F.lower(bare).isin("true", "false"), F.lower(bare) == "true")
+    return F.struct(number.alias("number"), flag.alias("flag"), F.when(number.isNull() & flag.isNull(), bare).alias("text"))
 
 
 def strip_links(x: Column | str) -> Column:

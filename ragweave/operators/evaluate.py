@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,10 +126,109 @@ def rouge_l(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "
     return pairs.select(key, F.col(hypothesis).alias("h"), F.col(reference).alias("r")).mapInPandas(run, f"`{key}` {kind}, rouge_l double")
 
 
+def _union_common(r: list[str], hypotheses: list[list[str]]) -> set[int]:
+    """Places of ``r`` that a longest common subsequence with any of the sentences covers."""
+    covered: set[int] = set()
+    for h in hypotheses:
+        table = np.zeros((len(r) + 1, len(h) + 1), np.int32)
+        for i, x in enumerate(r):
+            same = np.array([x == y for y in h], bool)
+            for j in range(len(h)):
+                table[i + 1, j + 1] = table[i, j] + 1 if same[j] else max(table[i, j + 1], table[i + 1, j])
+        i, j = len(r), len(h)
+        while i and j:
+            if r[i - 1] == h[j - 1]:
+                covered.add(i - 1)
+                i, j = i - 1, j - 1
+            elif table[i - 1, j] >= table[i, j - 1]:
+                i -= 1
+            else:
+                j -= 1
+    return covered
+
+
+def rouge_lsum(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
+    """(key, rouge_lsum): F-measure of the union of longest common subsequences, line by line, of texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for h, r in zip(f["h"], f["r"]):
+                ours, theirs = ([line.lower().split() for line in (x or "").split("\n") if line.split()] for x in (h, r))
+                left, matched = Counter(t for line in ours for t in line), 0
+                for line in theirs:
+                    for i in sorted(_union_common(line, ours)):
+                        if left[line[i]] > 0:
+                            left[line[i]] -= 1
+                            matched += 1
+                sizes = sum(map(len, ours)) + sum(map(len, theirs))
+                out.append(2 * matched / sizes if matched else 0.0)
+            yield pd.DataFrame({key: f[key], "rouge_lsum": out})
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, F.col(hypothesis).alias("h"), F.col(reference).alias("r")).mapInPandas(run, f"`{key}` {kind}, rouge_lsum double")
+
+
+def bootstrap(scores: DataFrame, names: list[str], key: str, rounds: int = 100, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """(metric, low, mid, high) of means over resamples, by the Poisson bootstrap.
+
+    A row's weight in a round is drawn from its key and the round, so a rerun or another partitioning draws
+    the same; sums are pre-aggregated, and only ``rounds`` rows a metric are left to take quantiles of.
+    """
+    draw = (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    steps, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    weight = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s < draw))
+    rows = scores.select(key, *names).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight).filter("w > 0")
+    sums = rows.groupBy("round").agg(*[F.try_divide(F.sum(F.col(n) * F.col("w")), F.sum(F.when(F.col(n).isNotNull(), F.col("w")))).alias(n) for n in names])
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("mean")) for n in names])).alias("m")).select("m.*")
+    ends = [(1 - level) / 2, 0.5, (1 + level) / 2]
+    return long.groupBy("metric").agg(*[F.percentile("mean", q).alias(n) for q, n in zip(ends, ("low", "mid", "high"))])
+
+
+Metric = Callable[[DataFrame], DataFrame]
+METRICS: dict[str, Metric] = {
+    "rouge1": lambda pairs: rouge_n(pairs, 1).withColumnRenamed("rouge", "rouge1"),
+    "rouge2": lambda pairs: rouge_n(pairs, 2).withColumnRenamed("rouge", "rouge2"),
+    "rougeL": lambda pairs: rouge_l(pairs).withColumnRenamed("rouge_l", "rougeL"),
+}
+
+
+def register_metric(name: str, metric: Metric) -> None:
+    """Add a metric by name: pairs of token arrays in, (pair_id, name) out."""
+    METRICS[name] = metric
+
+
+def scored(pairs: DataFrame, names: Sequence[str], key: str = "pair_id") -> DataFrame:
+    """(key, a column of each named metric); an unknown one is an error."""
+    if lost := set(names) - set(METRICS):
+        raise ValueError(f"unknown metrics {sorted(lost)}")
+    out = pairs.select(key)
+    for name in names:
+        out = out.join(METRICS[name](pairs).select(key, name), key, "left")
+    return out
+
+
+def answerable(queries: DataFrame, excluded: Sequence[str] = (), kind: str = "question_type") -> DataFrame:
+    """Queries without those that have no answer (type null_query) and without the excluded types."""
+    return queries.filter(~F.coalesce(F.lower(F.trim(kind)).isin("null_query", *[e.strip().lower() for e in excluded]), F.lit(False)))
+
+
 def averages(scores: DataFrame, names: list[str]) -> DataFrame:
     return scores.agg(*[F.round(F.avg(n), 4).alias(n) for n in names], F.count("*").alias("num"))
 
 
-def judged(rows: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores from a pluggable judge that adds columns."""
-    return judge(rows)
+def judged(rows: DataFrame, judge: Callable[[list[str]], Sequence[str]], prompt: Column, names: Sequence[str], batch: int = 16) -> DataFrame:
+    """``rows`` with a number for each name, read from the judge's answer to ``prompt``.
+
+    The judge is a model behind a callable: prompts in, answers out. An answer is JSON with a member for each
+    name; what isn't a number between 0 and 1 is null.
+    """
+    from ragweave.operators.models import generated
+
+    said = generated(rows.withColumn("__prompt", prompt), "__prompt", judge, "__said", batch)
+    number = lambda n: F.get_json_object("__said", f"$.{n}").try_cast("double")
+    return said.withColumns({n: F.when(number(n).between(0, 1), number(n)) for n in names}).drop("__prompt", "__said")

@@ -27,6 +27,12 @@ def of_page(doc_id: str, page: int) -> Column:
     return F.coalesce((F.col("doc_id") == doc_id) & (F.col("page") == page) & (F.col("summary") == 0), F.lit(False))
 
 
+def header_like(header: Column | str, wanted: Column | str, edits: int = 1) -> Column:
+    """A header within ``edits`` edits of the one wanted, in whatever case; colons of that one don't count."""
+    own, other = (F.lower(F.col(x) if isinstance(x, str) else x) for x in (header, wanted))
+    return F.coalesce(F.levenshtein(own, F.replace(other, F.lit(":"), F.lit(""))) <= edits, F.lit(False))
+
+
 def requested(search_by: dict[str, object] | None, **names: str) -> Column | None:
     """The predicate of a request: bucket names win over bucket and object; None if nothing is asked."""
     if not search_by:

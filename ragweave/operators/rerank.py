@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_scored(rows: DataFrame, n: int, threshold: float | None = None, group: str = "query_id", score: str = "score", position: str = "position") -> DataFrame:
@@ -13,6 +18,27 @@ def top_scored(rows: DataFrame, n: int, threshold: float | None = None, group: s
     return out if threshold is None else out.filter(F.col(score) > threshold)
 
 
+def scored(rows: DataFrame, score: Callable[[list[str], list[str]], Sequence[float]], query: str = "query", text: str = "text", out: str = "score", batch: int = 32, logits: bool = False) -> DataFrame:
+    """``rows`` with the scorer's number for each (query, text), in batches; ``logits`` go through a sigmoid.
+
+    The scorer is a model behind a callable, as a cross-encoder: lists of queries and texts in, scores out.
+    Null counts as empty.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch):
+                part = whole.slice(a, batch)
+                asked, texts = ([x or "" for x in part.column(c).to_pylist()] for c in (query, text))
+                found = np.asarray(score(asked, texts), float)
+                if len(found) != part.num_rows:
+                    raise ValueError("a scorer gives one number for each pair")
+                yield part.append_column(out, pa.array(1 / (1 + np.exp(-found)) if logits else found))
+
+    return rows.mapInArrow(run, schema)
+
+
 def top_near(rows: DataFrame, n: int, group: str = "query_id", distance: str = "distance", position: str = "position") -> DataFrame:
     """The ``n`` nearest of each group; a missing distance is the farthest."""
     best = Window.partitionBy(group).orderBy(F.coalesce(F.col(distance).cast("double"), F.lit(float("inf"))), position)

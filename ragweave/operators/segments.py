@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,10 +19,14 @@ def _grams(segment: str, n: int = 3) -> frozenset[str]:
     return frozenset(tokens if len(tokens) < n else (" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)))
 
 
+# Weights of length and content in a segment's rank.
+LENGTH_WEIGHT, CONTENT_WEIGHT = 0.7, 0.3
+
+
 def _rank(segment: str) -> float:
     tokens = _WORD.findall(segment.lower())
     content = sum(t not in X.STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
-    return 0.7 * len(segment) + 0.3 * content * len(segment)
+    return LENGTH_WEIGHT * len(segment) + CONTENT_WEIGHT * content * len(segment)
 
 
 def distinct_segments(text: str, threshold: float = 0.95, sentences: bool = False, rank: Callable[[str], float] = _rank) -> str:
@@ -61,19 +65,31 @@ def drop_repeats(df: DataFrame, threshold: float = 0.95, sentences: bool = False
     return df.mapInPandas(run, df.schema)
 
 
-TECHNIQUES = ("header_footer_stripper", "ranking_aware_deduplication")
+Compressor = Callable[..., DataFrame]
+
+
+def _strip(df: DataFrame, text_col: str, custom_patterns: Sequence[str] = ()) -> DataFrame:
+    return df.withColumn(text_col, X.strip_lines(text_col, custom=custom_patterns))
+
+
+def _dedup(df: DataFrame, text_col: str, **parameters: object) -> DataFrame:
+    return drop_repeats(df, text_col=text_col, **parameters)
+
+
+COMPRESSORS: dict[str, Compressor] = {"header_footer_stripper": _strip, "ranking_aware_deduplication": _dedup}
+
+
+def register_compressor(name: str, compressor: Compressor) -> None:
+    """Add a technique (df, text_col, **parameters) by name."""
+    COMPRESSORS[name] = compressor
 
 
 def compress(df: DataFrame, techniques: list[dict[str, object]], text_col: str = "text") -> DataFrame:
     """Apply techniques in order; adds original_length, compressed_length, compression_ratio and techniques."""
     out = df.withColumn("original_length", F.length(text_col))
     for t in techniques:
-        name, parameters = t["name"], dict(t.get("parameters") or {})
-        if name == "header_footer_stripper":
-            out = out.withColumn(text_col, X.strip_lines(text_col, custom=parameters.get("custom_patterns", ())))
-        elif name == "ranking_aware_deduplication":
-            out = drop_repeats(out, text_col=text_col, **parameters)
-        else:
-            raise ValueError(f"unknown technique {name}")
+        if t["name"] not in COMPRESSORS:
+            raise ValueError(f"unknown technique {t['name']}")
+        out = COMPRESSORS[t["name"]](out, text_col, **dict(t.get("parameters") or {}))
     ratio = F.when(F.col("original_length") > 0, F.length(text_col) / F.col("original_length")).otherwise(1.0)
     return out.withColumns({"compressed_length": F.length(text_col), "compression_ratio": ratio, "techniques": F.lit(",".join(str(t["name"]) for t in techniques))})

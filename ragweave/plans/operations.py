@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragweave.functions import nested
+from ragweave.functions import text as X
 from ragweave.operators import catalog, models, prompts, records, stats
 from ragweave.plans import pipeline
 from ragweave.plans.registry import query, table
@@ -236,3 +238,36 @@ def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("n_chars")
     rows = table(spark, sf_dir, "documents").select(F.format_string("doc-%d", "doc_id").alias("file_name"), c.alias("file_size"), F.floor(c / 500).alias("total_chunks"), (c % 100).alias("extraction"), (c % 77).alias("embedding"))
     return stats.ingestion_report(rows, ["extraction", "embedding"])
+
+
+@query("""SELECT doc_id, concat_ws(' ', doc_id::VARCHAR, nullif(lang, ''), nullif(source, ''), n_chars::VARCHAR) AS flat FROM documents""")
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of nested rows as text, after the key ``id`` is dropped at every depth."""
+    inner = F.struct(F.lit("gone").alias("id"), "lang", F.array(F.struct(F.lit(0).alias("id"), "source", "n_chars")).alias("parts"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.struct("doc_id", inner.alias("inner"), F.lit("x").alias("id")).alias("row"))
+    rows = nested.drop_key(rows, "row", "id")
+    return rows.select("doc_id", nested.flatten_text(F.col("row"), rows.schema["row"].dataType).alias("flat"))
+
+
+@query("""SELECT doc_id, source AS own, lang AS lang FROM documents""")
+def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's map and a chunk's, whose entries win."""
+    low, high = F.create_map(F.lit("lang"), "lang", F.lit("own"), F.lit("document")), F.create_map(F.lit("own"), "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", nested.merge_maps(low, high).alias("m"))
+    return rows.select("doc_id", F.col("m")["own"].alias("own"), F.col("m")["lang"].alias("lang"))
+
+
+@query("""WITH h AS (SELECT page_id, url, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+    SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, url_encode(url) AS quoted FROM h""")
+def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 5 UUIDs and quoted forms of addresses."""
+    return table(spark, sf_dir, "pages").select("page_id", X.name_uuid("url", "url").alias("id"), F.url_encode("url").alias("quoted"))
+
+
+@query("""SELECT event_id, epoch_us(ts) / 1e6::DOUBLE AS seconds, (event_id % 10)::DOUBLE AS number, event_id % 3 = 0 AS flag FROM events""")
+def coerced_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as text, quoted or not, back as numbers and flags; times as seconds."""
+    e = table(spark, sf_dir, "events")
+    number = X.setting(F.concat(F.lit('"'), (F.col("event_id") % 10).cast("string"), F.lit('"')))["number"]
+    flag = X.setting(F.when(F.col("event_id") % 3 == 0, " True").otherwise("'false'"))["flag"]
+    return e.select("event_id", X.epoch_seconds("ts").alias("seconds"), number.alias("number"), flag.alias("flag"))

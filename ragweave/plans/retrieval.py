@@ -206,3 +206,25 @@ def siblings_under_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in the same file (source) and under the same header (lang)."""
     docs = table(spark, sf_dir, "documents").withColumn("start", F.col("doc_id"))
     return search.with_siblings(docs, ["source", "lang"], "start", "doc_id").select("doc_id", "source", "lang", "previous_id", "next_id")
+
+
+@query("""WITH q AS (SELECT conv_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS q FROM conversations WHERE role = 'user' AND turn = 0),
+    b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS b FROM benchmark),
+    s AS (SELECT query_id, item_id, round(1 / (1 + exp(-(len(list_intersect(q, b))::DOUBLE - 2))), 6) AS score FROM q, b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s)
+    SELECT query_id, item_id, score, rank FROM r WHERE rank <= 3""")
+def rerank_with_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First questions against the passages of the benchmark by a stand-in scorer: shared words less two, as a logit."""
+
+    def score(asked: list[str], texts: list[str]) -> list[float]:
+        return [len(set(q.lower().split()) & set(t.lower().split())) - 2.0 for q, t in zip(asked, texts)]
+
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    pairs = rerank.scored(asked.join(F.broadcast(passages)), score, logits=True).withColumn("score", F.round("score", 6))
+    return rerank.top_scored(pairs, 3, None, "query_id", "score", "item_id").select("query_id", "item_id", "score", "rank")
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE levenshtein(lower(lang), 'ex') <= 1""")
+def filter_fuzzy_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as headers; the one asked for has a slip and a colon."""
+    return table(spark, sf_dir, "documents").filter(filters.header_like("lang", F.lit("Ex:"))).select("doc_id", "lang")

@@ -141,3 +141,26 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic, count(*) AS num FROM labels")
 def eval_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.averages(table(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
+@query(f"""WITH {_PAIRS}, a AS (SELECT pair_id, unnest(list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1])) AS g FROM p), b AS (SELECT pair_id, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS g FROM p),
+    x AS (SELECT pair_id, g, count(*) AS c FROM a GROUP BY ALL), y AS (SELECT pair_id, g, count(*) AS c FROM b GROUP BY ALL),
+    m AS (SELECT x.pair_id, sum(least(x.c, coalesce(y.c, 0))) AS m FROM x LEFT JOIN y ON x.pair_id = y.pair_id AND x.g = y.g GROUP BY x.pair_id)
+    SELECT p.pair_id, round(coalesce(CASE WHEN m > 0 THEN 2 * m / (greatest(len(h) - 1, 0) + greatest(len(r) - 1, 0)) END, 0), 6)::DOUBLE AS rouge2 FROM p LEFT JOIN m ON p.pair_id = m.pair_id""")
+def rouge2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.scored(_pairs(spark, sf_dir), ["rouge2"]).select("pair_id", F.round("rouge2", 6).alias("rouge2"))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE lower(trim(event_type)) NOT IN ('signup', 'error', 'null_query')""")
+def eval_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as questions of a type; two types are excluded."""
+    return evaluate.answerable(table(spark, sf_dir, "events"), [" Signup", "error"], "event_type").select("event_id", "event_type")
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 1.0 ELSE 0.25 END::DOUBLE AS faithfulness, CASE WHEN toxic = 1 THEN NULL ELSE 0.5 END::DOUBLE AS relevance FROM labels""")
+def eval_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by a stand-in judge that answers in JSON; an answer that isn't a number is null."""
+    answer = lambda prompts: ['{"faithfulness": %s, "relevance": %s}' % ("1.0" if "quality=1" in p else "0.25", '"none"' if "toxic=1" in p else "0.5") for p in prompts]  # noqa: E731, UP031
+    rows = table(spark, sf_dir, "labels")
+    prompt = F.format_string("quality=%d toxic=%d", "quality", "toxic")
+    return evaluate.judged(rows, answer, prompt, ["faithfulness", "relevance"]).select("doc_id", "faithfulness", "relevance")

@@ -58,3 +58,48 @@ def events_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), "ts", F.lit("2020-01-01").cast("timestamp").alias("started"))
     return events.token_latency(rows).select("request_id", F.round("first_ms", 3).alias("first_ms"), F.round("next_ms", 3).alias("next_ms"))
+
+
+@query("""WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL '20 minutes', ts), time_bucket(INTERVAL '20 minutes', ts) - INTERVAL '20 minutes', time_bucket(INTERVAL '20 minutes', ts) - INTERVAL '40 minutes']) AS window_start FROM events)
+    SELECT window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY ALL""")
+def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour that begin every twenty minutes."""
+    found = events.sliding(table(spark, sf_dir, "events"), "1 hour", "20 minutes", "10 minutes", "ts", ["event_type"], "value")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+def events_tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tumbling windows of a stream of files, in order of time; a window is given out when the watermark has passed it.
+
+    The last row moves the watermark beyond all windows; it belongs to none that is given out.
+    """
+    source, store = fresh_path(spark, "timed"), fresh_path(spark, "windows")
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    for part in (rows, rows.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select("ts", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))):
+        part.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    found = events.tumbling(stream, "1 hour", "1 day", "ts", ["event_type"], "value")
+    found.writeStream.outputMode("append").option("checkpointLocation", store + "-checkpoint").trigger(availableNow=True).format("parquet").start(store).awaitTermination()
+    made = spark.read.schema(found.schema).parquet(store)
+    return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL '30 minutes'""")
+def events_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the purchases of the same user in the half hour after them, as a join of two streams."""
+    source, store = fresh_path(spark, "joined"), fresh_path(spark, "pairs")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(source)
+    side = lambda kind, key, at: spark.readStream.schema(rows.schema).parquet(source).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(key), F.col("ts").alias(at))
+    found = events.within(side("click", "click_id", "clicked"), side("purchase", "purchase_id", "bought"), ["user_id"], "clicked", "bought", "30 minutes", "1 day").select("click_id", "purchase_id")
+    found.writeStream.outputMode("append").option("checkpointLocation", store + "-checkpoint").trigger(availableNow=True).format("parquet").start(store).awaitTermination()
+    return spark.read.schema(found.schema).parquet(store)
+
+
+@query("""WITH s AS (SELECT user_id AS job_id, sum(event_id % 3)::BIGINT AS done, max(event_id % 40)::BIGINT AS total FROM events GROUP BY user_id)
+    SELECT job_id, done, total, round(CASE WHEN total > 0 THEN least(done / total, 1) ELSE 1 END, 6)::DOUBLE AS share, done >= total AS finished FROM s""")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs whose events report finished chunks."""
+    batches = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).alias("n_done"), (F.col("event_id") % 40).alias("n_total"))
+    return events.progress(batches).withColumn("share", F.round("share", 6))
