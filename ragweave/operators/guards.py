@@ -84,7 +84,6 @@ def match_regex(x: Column | str, patterns: list[str], blocked: bool = True, reda
 def secrets(x: Column | str, mode: str = "all", patterns: Iterable[str] = SECRETS) -> Finding:
     """Credentials hidden wholly, partly (two characters at both ends stay) or by a hash of the match."""
     x, joined = _c(x), "|".join(f"(?:{p})" for p in patterns)
-    hits = F.regexp_extract_all(x, F.lit(f"({joined})"), F.lit(1))
     hide: dict[str, Callable[[Column], Column]] = {
         "all": lambda h: F.lit("******"),
         "partial": lambda h: F.concat(F.substring(h, 1, 2), F.lit(".."), F.right(h, F.lit(2))),
@@ -92,9 +91,14 @@ def secrets(x: Column | str, mode: str = "all", patterns: Iterable[str] = SECRET
     }
     if mode not in hide:
         raise ValueError(f"unknown mode {mode}")
-    clean = F.aggregate(hits, x, lambda t, h: F.replace(t, h, hide[mode](h)))
-    found = F.size(hits) > 0
-    return Finding(clean, ~found, found.cast("double"))
+    found = x.rlike(joined)
+    return Finding(F.when(found, _matches_replaced(x, joined, hide[mode])).otherwise(x), ~found, found.cast("double"))
+
+
+def _matches_replaced(x: Column, pattern: str, put: Callable[[Column], Column]) -> Column:
+    """``x`` with ``put(match)`` for each match: what stands between matches and the replaced ones, joined once."""
+    hits = F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    return F.array_join(F.zip_with(F.split(x, pattern), F.transform(hits, put), lambda part, h: F.concat(part, F.coalesce(h, F.lit("")))), "")
 
 
 def invisible(x: Column | str) -> Finding:
@@ -155,19 +159,28 @@ def anonymize(x: Column | str, kinds: Iterable[str] = tuple(ENTITIES)) -> Column
 
 
 def _hide(state: Column, kind: str) -> Column:
-    pattern = F.lit(f"({ENTITIES[kind]})")
+    name = lambda i: F.concat(F.lit(f"[{kind}_"), i.cast("string"), F.lit("]"))
 
     def with_names(s: Column) -> Column:
-        values = F.array_distinct(F.regexp_extract_all(s["text"], pattern, F.lit(1)))
-        name = lambda v, i: F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]"))
-        names = bind(values, lambda found: F.map_from_arrays(F.transform(found, name), found))
-        return bind(names, lambda m: F.struct(F.aggregate(F.map_entries(m), s["text"], lambda t, e: F.replace(t, e["value"], e["key"])).alias("text"), F.map_concat(s["vault"], m).alias("vault")))
+        values = F.array_distinct(F.regexp_extract_all(s["text"], F.lit(f"({ENTITIES[kind]})"), F.lit(1)))
+
+        def named(found: Column) -> Column:
+            text = _matches_replaced(s["text"], ENTITIES[kind], lambda h: name(F.array_position(found, h)))
+            names = F.map_from_arrays(F.transform(found, lambda v, i: name(i + 1)), found)
+            return F.struct(text.alias("text"), F.map_concat(s["vault"], names).alias("vault"))
+
+        return bind(values, named)
 
     return bind(state, with_names)
 
 
+#: Placeholders that ``anonymize`` puts.
+PLACEHOLDER = r"\[[A-Z_]+_[0-9]+\]"
+
+
 def deanonymize(x: Column | str, vault: Column | str) -> Column:
-    return F.aggregate(F.map_entries(_c(vault)), _c(x), lambda t, e: F.replace(t, e["key"], e["value"]))
+    """``x`` with the vault's values for its placeholders; others stay."""
+    return _matches_replaced(_c(x), PLACEHOLDER, lambda h: F.coalesce(_c(vault)[h], h))
 
 
 def scan(df: DataFrame, text_col: str, scanners: dict[str, Callable[[Column], Finding]]) -> DataFrame:

@@ -196,10 +196,10 @@ def except_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as uploaded files of two types, decoded and loaded."""
+    """Pages as uploaded files of two types, decoded and loaded; an upload without data has an error instead of text."""
     pages = table(spark, sf_dir, "pages")
     uploads = pages.select(F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".txt")).alias("filename"), F.base64(F.col("html").cast("binary")).alias("data64"))
-    return files.extract(files.decode(uploads), "filename").select("filename", "text")
+    return files.extract(files.decode(uploads, on_error="keep"), "filename", on_error="keep").select("filename", "text", "error")
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace('[see](http://x) ' || text, '\\[([^\\[\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '^\\*+|\\*+$', '', 'g') AS plain,

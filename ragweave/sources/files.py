@@ -199,8 +199,14 @@ LOADERS: dict[str, Loader] = {
     ".docx": load_docx, ".pptx": load_pptx, ".xlsx": load_xlsx, ".pdf": load_pdf,
 }
 
-#: First bytes that files of an extension must have.
-SIGNATURES = {".docx": b"PK\x03\x04", ".pptx": b"PK\x03\x04", ".xlsx": b"PK\x03\x04", ".pdf": b"%PDF"}
+# First bytes that files of an extension must have; those without a loader here need a registered one.
+SIGNATURES = {
+    ".docx": b"PK\x03\x04", ".pptx": b"PK\x03\x04", ".xlsx": b"PK\x03\x04", ".pdf": b"%PDF",
+    ".doc": b"\xd0\xcf\x11\xe0", ".ppt": b"\xd0\xcf\x11\xe0", ".xls": b"\xd0\xcf\x11\xe0",
+    ".png": b"\x89PNG", ".jpg": b"\xff\xd8\xff", ".jpeg": b"\xff\xd8\xff", ".tiff": b"II*\x00", ".wav": b"RIFF",
+}
+#: Types whose content is text and holds no zero byte.
+TEXTUAL = (".txt", ".md", ".adoc", ".yaml", ".yml", ".csv", ".json", ".jsonl", ".xml", ".html", ".htm")
 
 
 def register_loader(extension: str, loader: Loader, signature: bytes | None = None) -> None:
@@ -223,11 +229,13 @@ def extract(files: DataFrame, name_col: str = "path", content_col: str = "conten
     """
     loaders, signatures = dict(LOADERS), dict(SIGNATURES)
 
-    def one(name: str, raw: bytes) -> str:
+    def one(name: str, raw: bytes | None) -> str:
         kind = (re.search(r"(\.[^./]+)$", name or "") or [""])[0].lower()
         if kind not in loaders:
             raise ValueError(f"{name}: unsupported file type")
-        if kind in signatures and not raw.startswith(signatures[kind]):
+        if raw is None:
+            raise ValueError(f"{name}: an upload needs a name and data")
+        if (kind in signatures and not raw.startswith(signatures[kind])) or (kind in TEXTUAL and b"\0" in raw):
             raise ValueError(f"{name}: content doesn't fit the file type")
         return loaders[kind](raw)
 
@@ -236,7 +244,7 @@ def extract(files: DataFrame, name_col: str = "path", content_col: str = "conten
             texts, errors = [], []
             for name, raw in zip(frame[name_col], frame[content_col]):
                 try:
-                    texts.append(one(name, bytes(raw or b"")))
+                    texts.append(one(name, None if raw is None else bytes(raw)))
                     errors.append(None)
                 except Exception as e:
                     if on_error == "raise":
@@ -256,11 +264,14 @@ def read_files(spark: SparkSession, path: str, on_error: str = "raise") -> DataF
     return extract(named, "filename", on_error=on_error)
 
 
-def decode(uploads: DataFrame, data_col: str = "data64", name_col: str = "filename") -> DataFrame:
-    """Uploads with base64 data to (filename, content); an empty name or payload is an error."""
+def decode(uploads: DataFrame, data_col: str = "data64", name_col: str = "filename", on_error: str = "raise") -> DataFrame:
+    """Uploads with base64 data to (filename, content).
+
+    An empty name or payload is an error, with ``on_error="keep"`` null content, which ``extract`` reports.
+    """
     ok = (F.trim(name_col) != "") & (F.length(data_col) > 0)
-    checked = F.when(ok, F.unbase64(data_col)).otherwise(F.raise_error(F.lit("an upload needs a name and data")).cast("binary"))
-    return uploads.select(F.col(name_col).alias("filename"), checked.alias("content"))
+    bad = F.raise_error(F.lit("an upload needs a name and data")).cast("binary") if on_error == "raise" else F.lit(None).cast("binary")
+    return uploads.select(F.col(name_col).alias("filename"), F.when(ok, F.unbase64(data_col)).otherwise(bad).alias("content"))
 
 
 def texts(rows: DataFrame, text_col: str = "text") -> DataFrame:

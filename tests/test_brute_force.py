@@ -201,6 +201,7 @@ def test_uploads_and_main_text(spark):
     main = {r.page_id: r.text for r in QUERIES["html_main_text"](spark, SF).collect()}
     assert set(main) == set(pages) and all(squeezed(t) in shown(pages[i]) for i, t in main.items())
     assert sum(len(squeezed(t)) for t in main.values()) > 0.3 * sum(len(shown(h)) for h in pages.values())
+    assert not QUERIES["extract_uploads"](spark, SF).filter("error is not null").count()
     got = {r.filename: r.text for r in QUERIES["extract_uploads"](spark, SF).collect()}
     for i, html in pages.items():
         if i % 2:

@@ -40,6 +40,14 @@ def test_office_files():
     assert files.load_pdf(b"%PDF-1.4\nstream\nBT (Hello \\(all\\)) Tj ET\nendstream") == "Hello (all)"
 
 
+def test_uploads_without_data_or_of_another_type_are_reported(spark):
+    rows = spark.createDataFrame([("a.txt", "cGxhaW4="), ("b.txt", ""), ("c.txt", None), ("d.png", "cGxhaW4="), ("e.txt", "AAAA"), (" ", "cGxhaW4=")], "filename string, data64 string")
+    got = {r.filename: (r.text, r.error is None) for r in files.extract(files.decode(rows, on_error="keep"), "filename", on_error="keep").collect()}
+    assert got.pop("a.txt") == ("plain", True) and set(got.values()) == {(None, False)}
+    with pytest.raises(Exception, match="needs a name and data"):
+        files.decode(rows).collect()
+
+
 def test_extract_many_kinds(spark, tmp_path):
     bodies = {"a.txt": b"plain", "b.csv": b"id,name\n1,Ann\n", "c.json": b'{"k": [1]}', "d.jsonl": b'{"a":1}\n\n{"b":2}', "e.xml": b"<r><x>one</x><y>two</y></r>", "f.html": b"<body><nav>n</nav><div id='main'>Main <b>text</b></div></body>", "g.yaml": b"a: 1\n\nb: 2\n", "h.exe": b"MZ"}
     for name, body in bodies.items():
