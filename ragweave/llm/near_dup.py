@@ -5,14 +5,20 @@ Each representative has ``COORDINATES`` min-wise tokens; ``TREES`` independent t
 ``BRANCHES`` of them, and every node of a tree holds the representatives that agree on the tokens
 chosen on the way to it. A node of at most ``MOST_ROWS`` representatives is compared exhaustively; a
 larger one branches again by ``BRANCHES`` tokens that a hash of its path chooses, unless most of its
-members agree there too: such a dense node, which branching would only copy, is compared in pairs of
-blocks. A pair at similarity 0.8 misses all roots with probability 0.2 ** (TREES * BRANCHES).
+members agree there too: branching would only copy such a dense node. A pair at similarity 0.8 misses all
+roots with probability 0.2 ** (TREES * BRANCHES), 1e-7, and fails the agreement below with 4e-6.
 
 Exhaustive comparison is in two steps. Agreement of min-wise tokens splits a node into clusters, which
 are the same in most trees and are kept once; the full sets of a cluster's members are then read from
 the texts, and links are confirmed by exact counts. A link whose ends are joined already is not
 counted, so a cluster of m members gives at most m - 1 links and no pairs of copies are ever listed.
 
+A dense node of at most ``MOST_BLOCKED`` members is compared in pairs of blocks. In a larger one ``PIVOTS``
+members are compared with all others first, exactly, which joins most of it in one component without a pair
+of other members being looked at. Further rounds take their pivots from what is left, until that fits in a
+block, hardly shrinks or ``PIVOT_ROUNDS`` are over. What is left then is compared with the whole node, in
+blocks; only pairs inside the component, which can't join anything, are left out.
+
 Results in special cases: null or empty text, and text without words, has an empty set and is linked
 with nothing; fewer words than a shingle are one shingle; a null doc_id links like others but its
 class is the smallest id that isn't null, or null where all are; rows with equal doc_id and different
@@ -22,6 +28,7 @@ texts link apart; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import bytehash
-from ragweave.llm.common import connected_components, discard, free_name, materialize, row_blocks, text_views
+from ragweave.llm.common import connected_components, discard, free_name, materialize, ragged, row_blocks, text_views
 
 COORDINATES, TREES, BRANCHES = 64, 5, 2
 #: Representatives, and shingles of all their sets, that one task compares at once.
 MOST_ROWS, MOST_SHINGLES = 2048, 1 << 22
+#: Members of a dense node above which pivots come before blocks: up to there a member is in 16 pairs of blocks.
+MOST_BLOCKED = 8 * MOST_ROWS
+#: Members of a dense node that all others are compared with in a round, and rounds of that.
+PIVOTS, PIVOT_ROUNDS = 8, 4
+#: Share of what was left before a round above which the next one isn't worth it.
+SHRINK = 0.7
 #: Rounds of branching, and the share of a node in one child that makes it dense.
-ROUNDS, DENSE = 4, 0.5
+ROUNDS, DENSE = 4, 0.7
 #: Similarity asked for, in per cent, and the agreement of tokens below which a pair is out.
 SIMILARITY, AGREEMENT = 80, 36
 BLOCK = 1 << 20
@@ -194,14 +207,15 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     out = []
     for p in range(len(sets) - 1):
         last = int(np.searchsorted(sizes, 100 * sizes[p] // SIMILARITY, "right"))
-        if last <= p + 1 or (part[p + 1 : last] == part[p]).all():
+        rest = p + 1 + np.flatnonzero(part[p + 1 : last] != part[p])
+        if not len(rest):
             continue
         own = flat[starts[p] : starts[p] + sizes[p]]
         mark[own] = 1
-        begin, end = starts[p + 1], starts[last - 1] + sizes[last - 1]
-        common = np.add.reduceat(mark[flat[begin:end]], starts[p + 1 : last] - begin)
+        members = flat[ragged(starts[rest], sizes[rest])] if len(rest) < last - p - 1 else flat[starts[p + 1] : starts[last - 1] + sizes[last - 1]]
+        common = np.add.reduceat(mark[members], np.cumsum(sizes[rest]) - sizes[rest])
         mark[own] = 0
-        for q in p + 1 + np.flatnonzero(100 * common >= SIMILARITY * (sizes[p] + sizes[p + 1 : last] - common)):
+        for q in rest[100 * common >= SIMILARITY * (sizes[p] + sizes[rest] - common)]:
             if part[q] != part[p]:
                 out.append((order[p], order[q]))
                 part[part == part[q]] = part[p]
@@ -249,17 +263,81 @@ def _leaf_groups(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return kept.groupBy("node").agg(F.collect_list(F.struct("rep", "n_shingles", "tokens")).alias("rows"))
 
 
-def _block_groups(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(rows) of pairs of blocks of the nodes in ``counts``; each row goes to every pair of its block."""
-    sized = rows.join(counts.select("node", F.ceil(F.greatest(F.col("n") * 2 / MOST_ROWS, F.col("weight") * 2 / MOST_SHINGLES)).cast("int").alias("blocks")), "node")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = sized.dropDuplicates(["node", "rep"]).withColumn("pair", F.explode(pair))
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """Distinct (u, v) of rows (u, v, n_u, n_v, tokens_u, tokens_v) whose tokens and sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("tokens_u", "tokens_v"))
+            x, y = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+            fit = ((a == b).sum(1) >= AGREEMENT) & (100 * np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fit)) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.select("u", "v", "n_u", "n_v", "tokens_u", "tokens_v").mapInArrow(run, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame) -> DataFrame:
+    """The (u, v) of rows (u, v, set_u, set_v) that are as similar as asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = []
+            for x, y in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                fit.append(100 * common >= SIMILARITY * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fit, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+
+
+def _pivot_links(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact links (u, v) of dense nodes by pivots, and (node, rep) of what they leave outside the component.
+
+    ``rows``: (node, rep, n_shingles, tokens) of the nodes; ``sets``: (rep, shingles) of their members.
+    Both are written tables.
+    """
+    links = None
+    left, n_left = rows.select("node", "rep"), rows.count()
+    for number in range(PIVOT_ROUNDS):
+        chosen = [F.min_by("rep", F.xxhash64("rep", F.lit(number * PIVOTS + j))) for j in range(PIVOTS)]
+        pivots = left.groupBy("node").agg(F.array(*chosen).alias("u")).select("node", F.explode(F.array_distinct("u")).alias("u"))
+        own = rows.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n_u"), F.col("tokens").alias("tokens_u")).dropDuplicates(["u"])
+        pivots = materialize(pivots.join(own, "u"), "pivots")
+        pairs = rows.join(pivots, "node").filter("rep <> u").withColumnsRenamed({"rep": "v", "n_shingles": "n_v", "tokens": "tokens_v"})
+        pairs = materialize(agreeing(pairs), "pivot-pairs")
+        ends = [sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("u", "v")]
+        ends[0] = materialize(ends[0].join(pivots.select("u").distinct(), "u", "left_semi"), "pivot-sets")
+        new = materialize(confirmed(pairs.join(ends[0], "u").join(ends[1], "v")), "pivot-links")
+        links = new if links is None else links.unionByName(new)
+        parts = materialize(connected_components(links, "pivot-parts").groupBy("node").agg(F.min("component").alias("part")).withColumnRenamed("node", "rep"), "pivot-members")
+        labelled = rows.select("node", "rep").join(parts, "rep", "left").select("node", "rep", F.coalesce("part", "rep").alias("part"))
+        main = labelled.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        left = materialize(labelled.join(main, "node").filter("part <> main").select("node", "rep"), "outside")
+        n_before, (n_left, most) = n_left, left.groupBy("node").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        if most <= MOST_ROWS // 2 or n_left > SHRINK * n_before:
+            break
+    return links, left
+
+
+def _block_groups(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """(rows) of pairs of blocks of dense nodes: of what is ``left`` (node, rep) with itself and with the rest."""
+    tagged = rows.join(left.withColumn("out", F.lit(True)), ["node", "rep"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    blocks = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) * 2 / MOST_ROWS, F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) * 2 / MOST_SHINGLES)).cast("int")
+    sizes = materialize(tagged.groupBy("node").agg(blocks(F.col("out")).alias("outer"), blocks(~F.col("out")).alias("inner")).filter(F.col("outer") > 0), "blocks")
+    sized = tagged.join(sizes, "node")
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(to(F.col("outer")), lambda j: pair(0, F.least(F.col("at"), j), F.greatest(F.col("at"), j)))
+    across = F.transform(to(F.col("inner")), lambda j: pair(1, F.col("at"), j))
+    inside = F.transform(to(F.col("outer")), lambda i: pair(1, i, F.col("at")))
+    dealt = sized.withColumn("at", at).withColumn("pair", F.explode(F.when(F.col("out"), F.concat(among, across)).otherwise(inside)))
     return dealt.groupBy("node", "pair").agg(F.collect_list(F.struct("rep", "n_shingles", "tokens")).alias("rows"))
 
 
-def candidate_clusters(reps: DataFrame) -> DataFrame:
-    """Distinct (members) that hold every pair of representatives the trees bring together."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (members) that hold the pairs that small nodes bring together, and (node, rep, n_shingles, tokens) of dense ones."""
     thin = reps.select("rep", F.explode("nodes").alias("node"), "n_shingles")
     stats = [F.count("*").alias("n"), F.sum("n_shingles").alias("weight")]
     is_leaf = f"n <= {MOST_ROWS} and weight <= {MOST_SHINGLES}"
@@ -268,21 +346,26 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     rows = materialize(full.select("node", "rep", "n_shingles", "tokens"), "node-rows")
     found = _clusters(_leaf_groups(rows, counts.filter(is_leaf)))
     large = counts.filter(f"not ({is_leaf})")
-    for depth in range(ROUNDS):
+    dense_rows: list[DataFrame] = []
+    for _ in range(ROUNDS):
         if large.isEmpty():
-            return found.distinct()
-        held = rows.join(large.select("node"), "node")
+            break
+        held = materialize(rows.join(large.select("node"), "node"), "large-nodes")
         below = materialize(_branch(held), "branches")
         sizes = below.groupBy("parent", "choice", "node").agg(*stats)
         shares = sizes.groupBy("parent").agg(F.max("n").alias("most")).join(large.withColumnRenamed("node", "parent"), "parent")
-        dense = materialize(shares.filter(F.col("most") > DENSE * F.col("n")).select(F.col("parent").alias("node"), "n", "weight"), "dense")
-        found = found.unionByName(_clusters(_block_groups(rows.join(large.select("node"), "node"), dense)))
-        rest = below.join(dense.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "rep", "n_shingles", "tokens")
-        counts = materialize(rest.groupBy("node").agg(*stats).filter("n > 1"), "nodes")
-        rows = rest
+        dense = materialize(shares.filter(F.col("most") > DENSE * F.col("n")).select(F.col("parent").alias("node")), "dense")
+        dense_rows.append(held.join(dense, "node"))
+        rows = materialize(below.join(dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "rep", "n_shingles", "tokens"), "node-rows")
+        discard(below)
+        counts = materialize(rows.groupBy("node").agg(*stats).filter("n > 1"), "nodes")
         found = found.unionByName(_clusters(_leaf_groups(rows, counts.filter(is_leaf))))
         large = counts.filter(f"not ({is_leaf})")
-    return found.unionByName(_clusters(_block_groups(rows, large))).distinct()
+    else:
+        dense_rows.append(rows.join(large.select("node"), "node"))
+    if not dense_rows:
+        return found.distinct(), None
+    return found.distinct(), materialize(functools.reduce(DataFrame.unionByName, dense_rows).dropDuplicates(["node", "rep"]), "dense-rows")
 
 
 def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -295,11 +378,26 @@ def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark"))
     reps = drawn.filter("n_shingles > 0").groupBy(*key).agg(first.alias("first"), F.first("nodes").alias("nodes"), F.first("tokens").alias("tokens"))
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
-    found = materialize(candidate_clusters(reps).withColumn("cluster", F.xxhash64("members")), "clusters")
-    wanted = found.select(F.explode("members").alias("rep")).distinct().join(reps.select("rep", F.col("set_a").alias("seal"), "first.id", "first.mark"), "rep")
-    sets = materialize(_sets_of(docs, wanted, k, id_col, text_col), "sets")
+    found, dense = candidates(reps)
+    sources = reps.select("rep", F.col("set_a").alias("seal"), "first.id", "first.mark")
+    sets_of = lambda wanted: materialize(_sets_of(docs, wanted.select("rep").distinct().join(sources, "rep"), k, id_col, text_col), "sets")
+    by_pivots = None
+    if dense is not None and not dense.isEmpty():
+        sizes = materialize(dense.groupBy("node").agg((F.count("*") > MOST_BLOCKED).alias("large")), "dense-sizes")
+        left = dense.join(sizes.filter("not large").select("node"), "node").select("node", "rep")
+        large = dense.join(sizes.filter("large").select("node"), "node")
+        if not large.isEmpty():
+            large = materialize(large, "dense-large")
+            sets = sets_of(large)
+            by_pivots, outside = _pivot_links(large, sets)
+            discard(sets)
+            left = left.unionByName(outside)
+        found = found.unionByName(_clusters(_block_groups(dense, left))).distinct()
+    found = materialize(found.withColumn("cluster", F.xxhash64("members")), "clusters")
+    sets = sets_of(found.select(F.explode("members").alias("rep")))
     links = materialize(_links(found, sets), "links")
     discard(sets)
+    links = links if by_pivots is None else links.unionByName(by_pivots)
     parts = connected_components(links, "parts").groupBy("node").agg(F.min("component").alias("component"))
     parts = materialize(parts.join(reps.select(F.col("rep").alias("node"), "first"), "node"), "members")
     firsts = parts.groupBy("component").agg(F.min("first").alias("class_first"))

@@ -39,10 +39,11 @@ def test_classes_equal_brute_force(spark):
     assert sum(i != c for i, (_, c) in want.items()) > 50
 
 
-@pytest.mark.parametrize("dense", [0.5, 2.0])
-def test_large_nodes_lose_no_link(spark, monkeypatch, dense):
+@pytest.mark.parametrize(("dense", "blocked"), [(0.5, 8), (0.5, 10**6), (2.0, 10**6)])
+def test_large_nodes_lose_no_link(spark, monkeypatch, dense, blocked):
     monkeypatch.setattr(near_dup, "MOST_ROWS", 6)
     monkeypatch.setattr(near_dup, "DENSE", dense)
+    monkeypatch.setattr(near_dup, "MOST_BLOCKED", blocked)
     compare(spark, corpus(1, 5, 20))
 
 
