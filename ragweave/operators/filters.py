@@ -66,3 +66,14 @@ def permitted_rows(rows: DataFrame, permissions: DataFrame, user: str, bucket_co
     own = permissions.filter(F.col(user_col) == user).select(F.col(bucket_col)).distinct()
     seen = rows.join(own, bucket_col, "left_semi")
     return seen if link is None else seen.unionByName(rows.filter(link).join(own, bucket_col, "left_anti"))
+
+
+def fresh_permissions(cache: DataFrame, now: Column, seconds: int = 3600, user_col: str = "user", at_col: str = "asked_at") -> DataFrame:
+    """Cached permissions (user, bucket, asked_at) that still hold: given less than ``seconds`` ago. Refusals aren't cached."""
+    return cache.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at_col).cast("timestamp")) < seconds * 1_000_000)
+
+
+def to_ask(users: DataFrame, cache: DataFrame, now: Column, seconds: int = 3600, user_col: str = "user", at_col: str = "asked_at") -> DataFrame:
+    """The users whose permissions must be asked for again."""
+    held = fresh_permissions(cache, now, seconds, user_col, at_col).select(user_col).distinct()
+    return users.select(user_col).distinct().join(held, user_col, "left_anti")

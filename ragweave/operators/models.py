@@ -7,7 +7,7 @@ a trained model's quality.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,41 @@ def embed(df: DataFrame, text_col: str = "text", dims: int = 64) -> DataFrame:
     return rows.mapInPandas(run, rows.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
 
 
+#: Embedders by name: (df, text_col, dims) to df with the column embedding.
+CONNECTORS: dict[str, Callable[..., DataFrame]] = {"words": embed}
+
+
+def register_connector(name: str, embedder: Callable[..., DataFrame]) -> None:
+    """Add an embedder, such as a model server behind ``batched``, by name."""
+    CONNECTORS[name] = embedder
+
+
+def embedded(df: DataFrame, connector: str, text_col: str = "text", dims: int = 64) -> DataFrame:
+    """``df`` with embeddings by the connector of that name; an unknown one is an error."""
+    if connector not in CONNECTORS:
+        raise ValueError(f"unknown connector {connector}")
+    return CONNECTORS[connector](df, text_col, dims)
+
+
+def batched(call: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 32) -> Callable[..., DataFrame]:
+    """An embedder of a callable that takes texts and gives a vector each, ``batch`` texts at once; blank texts are dropped."""
+
+    def run_all(df: DataFrame, text_col: str = "text", dims: int = 64) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                found: list[Sequence[float]] = []
+                for a in range(0, len(f), batch):
+                    found += list(call(list(f[text_col].iloc[a : a + batch])))
+                if any(len(v) != dims for v in found):
+                    raise ValueError(f"vectors of {dims} numbers were asked for")
+                yield f.assign(embedding=[np.asarray(v, np.float32) for v in found])
+
+        rows = df.filter(F.trim(text_col) != "")
+        return rows.mapInPandas(run, rows.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
+
+    return run_all
+
+
 def generated(df: DataFrame, prompt_col: str, generate: Generate, out: str = "generated", batch: int = 16) -> DataFrame:
     """``df`` with the generator's text for each prompt, in batches."""
 

@@ -52,6 +52,12 @@ def cite(rows: DataFrame, source: Column | str, group: str = "query_id", rank: s
     return rows.withColumn("first_rank", first).withColumn("citation_id", F.dense_rank().over(Window.partitionBy(group).orderBy("first_rank"))).drop("first_rank")
 
 
+def as_sources(rows: DataFrame, group: str = "query_id", rank: str = "rank", text: str = "text") -> DataFrame:
+    """(group, sources): the reranked rows of each query as structs, in order: a file's bucket and object, or a link's url."""
+    source = F.struct(F.col(rank).alias("rank"), F.when(F.col("url").isNull(), "file").otherwise("link").alias("type"), "bucket_name", "object_name", "url", "citation_id", F.col(text).alias("text"))
+    return rows.groupBy(group).agg(F.array_sort(F.collect_list(source)).alias("sources"))
+
+
 def merge_siblings(hits: DataFrame, siblings: DataFrame, group: str = "query_id", hit: str = "hit_id", rank: str = "rank", start: str = "start_index", text: str = "text", digest: bool = False) -> DataFrame:
     """One row per hit: its text and its siblings' in order of start, joined by spaces; later equal texts go.
 

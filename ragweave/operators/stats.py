@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Upper bounds of latency buckets in milliseconds.
@@ -39,6 +39,20 @@ def histogram(rows: DataFrame, group: list[str], value: str, bounds: tuple[int,
     return wide.select(*group, F.inline(pairs))
 
 
+# The columns of a load test's file, which has no header.
+LOAD_TEST = "inputs int, outputs int, first double, last double, error string, code int"
+
+
+def read_load_test(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of load-test files; a line that doesn't fit is an error."""
+    return spark.read.schema(LOAD_TEST).option("mode", "FAILFAST").csv(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A report as CSV files with a header, one folder a report."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
 def load_test(rows: DataFrame, users: int) -> DataFrame:
     """Means and p90 of a load test's rows (inputs, outputs, first, last) and tokens a second."""
     each = rows.withColumn("next", F.when(F.col("outputs") > 0, (F.col("last") - F.col("first")) / F.col("outputs")))

@@ -228,3 +228,26 @@ def rerank_with_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_fuzzy_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages as headers; the one asked for has a slip and a colon."""
     return table(spark, sf_dir, "documents").filter(filters.header_like("lang", F.lit("Ex:"))).select("doc_id", "lang")
+
+
+@query(f"""WITH {FIRST}, h AS (SELECT vec_id, label, 1 - ({SQL['cosine']}) AS score FROM embeddings e, q ORDER BY {SQL['cosine']}, vec_id LIMIT 32),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER AS rank FROM h), t AS (SELECT * FROM r WHERE rank <= 5 AND score > 0.02)
+    SELECT vec_id, rank, round(score, 5) AS score, CASE WHEN label % 2 = 0 THEN 'file' ELSE 'link' END AS type FROM t""")
+def debug_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 nearest rows, reranked: the five best above a score, as sources; odd labels are links."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = search.knn(e, _vector(e), 32).withColumns({"query_id": F.lit(0), "score": 1 - F.col("distance")})
+    top = rerank.top_scored(hits, 5, 0.02, "query_id", "score", "vec_id")
+    even = F.col("label") % 2 == 0
+    rows = top.withColumns({"bucket_name": F.when(even, F.concat(F.lit("b"), "label")), "object_name": F.when(even, F.col("vec_id").cast("string")), "url": F.when(~even, F.concat(F.lit("http://h/"), "vec_id")), "citation_id": F.col("rank"), "text": F.col("vec_id").cast("string")})
+    sources = rerank.as_sources(rows).select(F.explode("sources").alias("s"))
+    return sources.select(F.col("s.text").cast("long").alias("vec_id"), F.col("s.rank").alias("rank"), "s.type").join(top.select("vec_id", F.round("score", 5).alias("score")), "vec_id")
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), u AS (SELECT user_id, max(ts) AS seen FROM events WHERE event_type = 'view' GROUP BY user_id)
+    SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM u, n WHERE epoch_us(now) - epoch_us(seen) < 86400000000)""")
+def permissions_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as cached permissions that hold for a day: the users to ask again at the last event."""
+    e = table(spark, sf_dir, "events")
+    cache = e.filter("event_type = 'view'").select("user_id", "ts")
+    return filters.to_ask(e, cache, F.lit(e.agg(F.max("ts")).first()[0]), 86400, "user_id", "ts")

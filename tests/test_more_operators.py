@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ragweave.functions import nested
 from ragweave.functions import text as X
-from ragweave.operators import chunks, evaluate, filters, rerank, segments, tables
+from ragweave.operators import chunks, evaluate, filters, models, rerank, segments, stats, tables
 from ragweave.streaming import events
 
 
@@ -57,6 +57,21 @@ def test_scorers_splitters_compressors_and_metrics_by_name(spark):
             wrong()
 
 
+def test_connectors_and_reports(spark, tmp_path):
+    models.register_connector("lengths", models.batched(lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2))
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(6)], "i int, text string")
+    assert {r.i: list(r.embedding) for r in models.embedded(rows, "lengths", dims=2).collect()} == {i: [float(i), 1.0] for i in range(1, 6)}
+    with pytest.raises(ValueError):
+        models.embedded(rows, "no")
+    with pytest.raises(Exception, match="asked for"):
+        models.embedded(rows, "lengths", dims=3).collect()
+    (tmp_path / "t.csv").write_text("10,5,0.5,3.0,,200\n20,0,0.7,0.7,late,500\n")
+    test = stats.read_load_test(spark, f"file://{tmp_path}/t.csv")
+    assert [tuple(r) for r in test.collect()] == [(10, 5, 0.5, 3.0, None, 200), (20, 0, 0.7, 0.7, "late", 500)]
+    stats.write_csv(stats.load_test(test, 4), f"file://{tmp_path}/report")
+    assert float(spark.read.option("header", "true").csv(f"file://{tmp_path}/report").first().tokens_per_second) == 8.0
+
+
 def test_rouge_lsum_and_bootstrap(spark):
     pairs = spark.createDataFrame([(1, "w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5", "w1 w2 w3 w4 w5"), (2, "", "a"), (3, "same line\nother", "same line\nother")], "pair_id int, hypothesis string, reference string")
     got = {r.pair_id: r.rouge_lsum for r in evaluate.rouge_lsum(pairs).collect()}
