@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ragweave-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+from ragweave.storage import discard, file_system, materialize, scratch, shared_dir  # noqa: F401
 
 
 #: Bytes of rows that go to a Python worker at once.
@@ -35,43 +23,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-#: Lists that ``scratch`` blocks fill with the tables written inside them.
-_SCRATCH: list[list[DataFrame]] = []
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """Collects the tables that ``materialize`` writes inside, for ``discard`` once nothing reads them."""
-    own: list[DataFrame] = []
-    _SCRATCH.append(own)
-    try:
-        yield own
-    finally:
-        _SCRATCH.remove(own)
+#: Keys of a join that may count as hot: those with over this fraction of all rows, so there are fewer.
+HOT_KEYS = 1000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage.
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The ``rows`` whose key is in the written table ``keys`` (``on``, and ``n``, the rows of each key).
 
-    The files survive a lost executor, so whatever reads them never recomputes ``df``.
+    Keys with over a thousandth of all counted rows, of which there are less than a thousand, are
+    broadcast, so their rows aren't shuffled; the others meet by an ordinary join.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ragweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ragweave_path = path
-    for own in _SCRATCH:
-        own.append(out)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    path = getattr(df, "_ragweave_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = keys.filter(F.col("n") > total / HOT_KEYS).select(*on)
+    rest = keys.filter(F.col("n") <= total / HOT_KEYS).select(*on)
+    if hot.isEmpty():
+        return rows.join(rest, on, "left_semi")
+    hot = F.broadcast(hot)
+    return rows.join(hot, on, "left_semi").unionByName(rows.join(hot, on, "left_anti").join(rest, on, "left_semi"))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -115,15 +83,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def connected_components(edges: DataFrame, name: str, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of ``edges`` (u, v longs).
 
-    Alternating large-star and small-star rounds; each is two shuffles and a table in the shared
-    folder. Neighbours meet by a minimum that is pre-aggregated, so a hub isn't gathered in a task.
+    Alternating large-star and small-star rounds, until nothing changes; each is two shuffles and a table in
+    the shared folder. Neighbours meet by a minimum that is pre-aggregated, so a hub isn't gathered in a task.
     """
     cur = materialize(edges.filter("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), name)
     seal = None
-    for _ in range(most_rounds):
+    while True:
         both = cur.union(cur.selectExpr("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         large = both.filter("v > u").join(low, "u").selectExpr("v u", "m v").filter("u <> v").distinct()
@@ -135,7 +103,5 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 50) ->
         if now == seal:
             break
         seal = now
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().selectExpr("node", "node component")
     return cur.selectExpr("u node", "v component").union(roots)

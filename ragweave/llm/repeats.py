@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragweave.llm import bytehash
-from ragweave.llm.common import discard, free_name, materialize, ragged, row_blocks, text_views
+from ragweave.llm.common import discard, free_name, materialize, ragged, row_blocks, semi_join, text_views
 
 SPAN, ANCHOR = 200, 50
 #: Contexts of an anchor that one task compares, contexts advanced at once, bytes of texts taken at once.
@@ -246,18 +246,18 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, k: int = ANCHOR) -> DataF
     """(doc_id, uid, spans) with the byte ranges [first, stop) of documents (doc_id, uid, text)."""
     where = F.xxhash64("doc_id", "uid", "place")
     every = materialize(find_anchors(keyed, span, k), "anchors")
-    # tables of their own, so that joins with them have plain exchanges, whose hot anchors Spark can split
-    twice = materialize(every.groupBy("anchor").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x <> y").select("anchor"), "twice")
-    places = materialize(every.join(twice, "anchor", "left_semi"), "places")
+    ends = [F.count("*").alias("n"), F.min(where).alias("x"), F.max(where).alias("y")]
+    # tables of their own, so that joins with them have plain exchanges; the hottest keys are broadcast
+    twice = materialize(every.groupBy("anchor").agg(*ends).filter("x <> y").select("anchor", "n"), "twice")
+    places = materialize(semi_join(every, twice, ["anchor"]), "places")
     discard(every)
-    contexts = places.groupBy("anchor", "context").agg(F.min(where).alias("x"), F.max(where).alias("y"))
-    contexts = materialize(contexts, "contexts")
+    contexts = materialize(places.groupBy("anchor", "context").agg(*ends), "contexts")
     several = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "several")
-    settled = places.join(contexts.filter("x <> y").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    settled = semi_join(places, contexts.filter("x <> y"), ["anchor", "context"])
     left, right = F.shiftright("place", SHIFT).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
     at = F.shiftright("place", 2 * SHIFT)
     settled = settled.select("doc_id", "uid", (at - left).alias("first"), (at - right + span).alias("stop"))
-    shown = contexts.join(several, "anchor").select("anchor", "context", "x", "n")
+    shown = contexts.select("anchor", "context", "x").join(several, "anchor").select("anchor", "context", "x", "n")
     wanted = places.withColumn("x", where).join(shown, ["anchor", "context", "x"]).dropDuplicates(["anchor", "context"])
     size = several.select("anchor", "n")
     bytes_of = materialize(_contexts(keyed, wanted.select("anchor", "doc_id", "uid", "place"), span), "context-bytes")
