@@ -70,15 +70,16 @@ def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 def events_tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tumbling windows of a stream of files, in order of time; a window is given out when the watermark has passed it.
+    """The tumbling windows of a stream of files; a window is given out when the watermark has passed it.
 
-    The last row moves the watermark beyond all windows; it belongs to none that is given out.
+    The files are one batch, so none of their rows is late; a last row moves the watermark beyond all windows
+    and belongs to none that is given out.
     """
     source, store = fresh_path(spark, "timed"), fresh_path(spark, "windows")
     rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     for part in (rows, rows.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select("ts", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))):
         part.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
     found = events.tumbling(stream, "1 hour", "1 day", "ts", ["event_type"], "value")
     found.writeStream.outputMode("append").option("checkpointLocation", store + "-checkpoint").trigger(availableNow=True).format("parquet").start(store).awaitTermination()
     made = spark.read.schema(found.schema).parquet(store)
