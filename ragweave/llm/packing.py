@@ -3,12 +3,15 @@
 Documents become pieces of at most ``capacity`` ids; full pieces are sequences of their own. The others
 are dealt to shards of about ``SHARD`` pieces by a hash of their row. Inside a shard pieces of equal
 length are interchangeable, so a shard's problem is its histogram of lengths, which is bounded by the
-capacity. Every shard is solved by ``ISLANDS`` islands, each with its own population: a child takes whole
-well-filled bins of one parent, drops the bins of the other that hold what it has already (in fullest
-first order), and puts the displaced lengths by best fit. After each of ``EPOCHS`` epochs the best
-solution of an island is written out and migrates to the next island. The best island's solution is dealt
-to the pieces; bins below ``WELL_FILLED`` are dissolved and their pieces go to the next tier, with a
-fraction of the shards, until one shard is left or most pieces' bins stay as they were.
+capacity. Every shard is solved by ``ISLANDS`` islands, each with its own population, which starts from
+groupings in random order. A child takes whole well-filled bins of one parent, then those of the other
+that hold no piece it has already, and the displaced lengths by best fit, longest first. Well-filled is the
+``INJECTED`` share of a parent's bins: the fullest, and of those with the fewest pieces, so that short
+pieces are left to fill gaps. After each of ``EPOCHS`` epochs the best solution of an island is written
+out and migrates to the next island; an island stops once it needs no more bins than the sum of lengths
+does. The best island's solution is dealt to the pieces; bins below ``WELL_FILLED`` are dissolved and
+their pieces go to the next tier, with a fraction of the shards, until one shard is left or most pieces'
+bins stay as they were.
 
 Results in special cases: null or empty text is the end id alone; rows that repeat a document are packed
 each; an empty table gives no pieces; further columns are ignored; a capacity below 1 is an error.
@@ -20,6 +23,7 @@ import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,8 +35,8 @@ from ragweave.llm import tokens
 from ragweave.llm.common import discard, materialize, ragged, row_blocks, text_views
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 20_000, 2, 2
-#: Solutions on an island, children in an epoch, share of a parent's bins that crossover injects.
-POPULATION, CHILDREN, INJECTED = 3, 4, 0.4
+#: Solutions on an island, children in an epoch, share of a parent's bins that crossover takes from.
+POPULATION, CHILDREN, INJECTED = 3, 4, 0.2
 WELL_FILLED = 0.97
 #: Bytes of texts that are encoded at once.
 BLOCK = 1 << 22
@@ -69,15 +73,18 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, int]:
     return -len(bins), sum(sum(b) ** 2 for b in bins)
 
 
+def well_filled(bins: Bins) -> Bins:
+    """The ``INJECTED`` share of ``bins``: the fullest, those of fewer pieces first."""
+    return sorted(bins, key=lambda b: (sum(b), -len(b)), reverse=True)[: max(1, int(len(bins) * INJECTED))]
+
+
 def crossover(a: Bins, b: Bins, lengths: Counter, capacity: int, chance: random.Random) -> Bins:
-    """Well-filled bins of ``b``, the bins of ``a`` that hold nothing of them, and the rest by best fit."""
-    ranked = sorted(b, key=sum, reverse=True)
-    most = max(1, int(len(ranked) * INJECTED * 2))
-    child = [bin_ for bin_ in ranked[:most] if chance.random() < 0.5]
+    """About half the well-filled bins of ``b``, those of ``a`` without a piece of these, the rest by best fit."""
+    child = [bin_ for bin_ in well_filled(b) if chance.random() < 0.5]
     left = Counter(lengths)
     for bin_ in child:
         left.subtract(bin_)
-    for bin_ in sorted(a, key=sum, reverse=True):
+    for bin_ in well_filled(a):
         need = Counter(bin_)
         if all(left[x] >= n for x, n in need.items()):
             left.subtract(need)
@@ -87,23 +94,32 @@ def crossover(a: Bins, b: Bins, lengths: Counter, capacity: int, chance: random.
     return full + best_fit(displaced, [list(bin_) for bin_ in child if sum(bin_) < capacity], capacity)
 
 
-def evolve(lengths: Counter, capacity: int, seed: int, migrants: list[Bins]) -> Bins:
-    """The best solution of one island after an epoch."""
+class Elite(NamedTuple):
+    """The best solution of an island after an epoch, whether crossover made it, and the children of the epoch."""
+
+    bins: Bins
+    is_child: bool
+    children: int
+
+
+def evolve(lengths: Counter, capacity: int, seed: int, migrants: list[Bins]) -> Elite:
+    """An epoch of an island. Without migrants, those of the epochs before, its population is new."""
     chance = random.Random(seed)
-    items = sorted(lengths.elements(), reverse=True)
+    items = sorted(lengths.elements())
     least = -(-sum(items) // capacity)
-    population = list(migrants) or [best_fit(items, [], capacity)]
-    while len(population) < POPULATION and min(map(len, population)) > least:
-        shuffled = sorted(items, key=lambda x: x * (1 + 0.3 * chance.random()), reverse=True)
-        population.append(best_fit(shuffled, [], capacity))
-    score = lambda s: fitness(s, capacity)
-    for _ in range(CHILDREN):
-        population.sort(key=score, reverse=True)
-        if len(population[0]) <= least or len(population) < 2:
-            break
-        a, b = chance.sample(population[: max(2, POPULATION - 1)], 2)
-        population[-1] = max(population[-1], crossover(a, b, lengths, capacity, chance), key=score)
-    return max(population, key=score)
+    score = lambda s: fitness(s[0], capacity)
+    population = [(bins, True) for bins in migrants]
+    while len(population) < POPULATION and min((len(s) for s, _ in population), default=least + 1) > least:
+        chance.shuffle(items)
+        population.append((best_fit(items, [], capacity), False))
+    population.sort(key=score, reverse=True)
+    children = 0
+    while children < CHILDREN and len(population) > 1 and len(population[0][0]) > least:
+        (a, _), (b, _) = chance.sample(population, 2)
+        population.append((crossover(a, b, lengths, capacity, chance), True))
+        population = sorted(population, key=score, reverse=True)[:POPULATION]
+        children += 1
+    return Elite(*population[0], children)
 
 
 def pack_solution(bins: Bins) -> bytes:
@@ -160,7 +176,7 @@ def _epoch(problems: DataFrame, capacity: int, epoch: int) -> DataFrame:
             out = []
             for shard, island, lengths, start in zip(frame["shard"], frame["island"], frame["lengths"], frame["solutions"]):
                 counts = Counter({int(x["length"]): int(x["n"]) for x in lengths})
-                best = evolve(counts, capacity, 1_000_003 * shard + 1009 * island + epoch, [unpack_solution(bytes(s)) for s in start])
+                best = evolve(counts, capacity, 1_000_003 * shard + 1009 * island + epoch, [unpack_solution(bytes(s)) for s in start]).bins
                 size, squares = fitness(best, capacity)
                 out.append((shard, island, -size, float(squares), pack_solution(best)))
             yield pd.DataFrame(out, columns=["shard", "island", "bins", "squares", "solution"])

@@ -29,6 +29,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 MOST_PIECES, LONGEST_PIECE = 200_000, 48
 #: Characters of a text that are cut into pieces at once.
 BLOCK = 1 << 20
+#: Characters of texts whose new pieces are encoded together.
+GROUP = 1 << 12
 #: A place where every pattern here ends a piece: a space between a visible character and a letter.
 SEAM = regex.compile(r"(?<=\S)(?= \p{L})")
 
@@ -76,22 +78,41 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; null counts as empty."""
-        return [b"".join(self._parts(t)) if t else b"" for t in texts]
-
-    def _parts(self, text: str) -> Iterator[bytes]:
-        if (ids := self.whole(text)) is not None:
-            yield self._pack(ids)
-            return
-        for block in blocks(text):
-            pieces = self.pieces(block)
-            new, known = self._missing(pieces), self.known
-            if new:
-                for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                    known[piece] = self._pack(found.ids)
-            yield b"".join(map(known.__getitem__, pieces))
-            for piece in new:
-                if len(piece) > LONGEST_PIECE:
-                    del known[piece]
+        parts: list[list[bytes]] = [[] for _ in texts]
+        cut: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if (ids := self.whole(text)) is not None:
+                parts[i].append(self._pack(ids))
+                continue
+            for block in blocks(text):
+                cut.append((i, self.pieces(block)))
+                size += len(block)
+                if size >= GROUP:
+                    self._join(cut, parts)
+                    cut, size = [], 0
+        self._join(cut, parts)
+        return [b"".join(p) for p in parts]
+
+    def _join(self, cut: list[tuple[int, list[str]]], parts: list[list[bytes]]) -> None:
+        """Append to ``parts`` the packed ids of blocks in pieces; all their new pieces are encoded at once."""
+        packed = [list(map(self.known.get, pieces)) for _, pieces in cut]
+        short = [at for at, x in enumerate(packed) if None in x]
+        new = self._missing({p for at in short for p in cut[at][1]}) if short else []
+        self.known |= self._encoded(new)
+        for at in short:
+            packed[at] = list(map(self.known.__getitem__, cut[at][1]))
+        for (i, _), x in zip(cut, packed):
+            parts[i].append(b"".join(x))
+        for piece in new:
+            if len(piece) > LONGEST_PIECE:
+                del self.known[piece]
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of each piece, from the library."""
+        return {p: self._pack(x.ids) for p, x in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False))} if pieces else {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -164,7 +185,7 @@ class ByteEncoder(Encoder):
         return self.pattern.findall(block)
 
     def whole(self, text: str) -> list[int] | None:
-        if FAR.search(text) and any(unicodedata.category(c) == "Cn" for c in set(FAR.findall(text))):
+        if not text.isascii() and FAR.search(text) and any(unicodedata.category(c) == "Cn" for c in set(FAR.findall(text))):
             return self.other().encode_ordinary(text)
         return None
 
@@ -180,10 +201,11 @@ class ByteDecoder:
         for token, rank in ranks.items():
             self.table[rank] = bytes(back[c] for c in "".join(shown[b] for b in token))
         self.lengths = np.array([len(t or b"") for t in self.table], np.int64)
+        self.known = np.array([t is not None for t in self.table], bool)
 
     def decode(self, packed: bytes | None) -> bytes:
         ids = np.frombuffer(packed or b"", "<u4")
-        if len(ids) and (ids.max() >= len(self.table) or any(self.table[i] is None for i in np.unique(ids))):
+        if len(ids) and (ids.max() >= len(self.table) or not self.known[ids].all()):
             raise ValueError("an id isn't in the vocabulary")
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
@@ -203,6 +225,10 @@ USUAL = regex.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017f\u2010-\u2027\u20
 TAIL = ".,;:!?"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder(Encoder):
     """BPE with word ends over lower-cased words, by a ``tokenizers`` file; white space yields no ids."""
 
@@ -212,18 +238,28 @@ class WordEncoder(Encoder):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.shown = byte_characters()
 
     def pieces(self, block: str) -> list[str]:
         return block.split()
 
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """A word of letters is one piece of the vocabulary's pattern, so it goes to the library's model at once."""
+        out = super()._encoded([p for p in pieces if not p.isalpha()])
+        for word in filter(str.isalpha, pieces):
+            low = word.lower()
+            raw = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
+            out[word] = self._pack([x.id for x in self.model.tokenize(raw)])
+        return out
+
     def whole(self, text: str) -> list[int] | None:
         return None if USUAL.fullmatch(text) else self.library.encode(text, add_special_tokens=False).ids
 
     def _cores(self, cores: list[str]) -> list[bytes]:
         """Packed ids of lower-cased words."""
         new, known = self._missing(cores), self.known
-        if new:
-            known |= {c: self._pack(e.ids) for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        known |= self._encoded(new)
         packed = [known[c] for c in cores]
         for c in new:
             if len(c) > LONGEST_PIECE:
@@ -235,7 +271,7 @@ class WordEncoder(Encoder):
         trimmed = pc.utf8_rtrim(words, TAIL)
         apart = pc.and_(pc.equal(pc.subtract(pc.utf8_length(words), pc.utf8_length(trimmed)), 1), pc.match_substring_regex(trimmed, r"\p{L}$"))
         cores = pc.if_else(apart, trimmed, words).dictionary_encode()
-        packed = self._cores(cores.dictionary.to_pylist())
+        packed = self._cores(_strings(cores.dictionary))
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         at = cores.indices.to_numpy()
         mark = apart.to_numpy(zero_copy_only=False)
@@ -244,9 +280,9 @@ class WordEncoder(Encoder):
         ends = np.cumsum(counts)
         starts = ends - counts
         ids[ragged(starts, sizes[at])] = np.frombuffer(b"".join(packed), "<u4")[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])]
-        last = pc.utf8_slice_codeunits(words.filter(apart), -1, 1 << 30).to_pylist()
-        marks = dict(zip(TAIL, self._cores(list(TAIL))))
-        ids[ends[mark] - 1] = np.frombuffer(b"".join([marks[x] for x in last]), "<u4")
+        last = pc.utf8_slice_codeunits(words.filter(apart), -1, 1 << 30).dictionary_encode()
+        marks = np.frombuffer(b"".join(self._cores(_strings(last.dictionary))), "<u4")
+        ids[ends[mark] - 1] = marks[last.indices.to_numpy()]
         return ids, counts
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

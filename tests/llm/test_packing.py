@@ -63,11 +63,36 @@ def test_crossover_and_evolution_keep_every_item():
     a, b = packing.best_fit(items, [], 100), packing.best_fit(items[::-1], [], 100)
     child = packing.crossover(a, b, lengths, 100, r)
     assert Counter(x for s in child for x in s) == lengths and max(map(sum, child)) <= 100
-    best = packing.evolve(lengths, 100, 3, [b])
+    best = packing.evolve(lengths, 100, 3, [b]).bins
     assert Counter(x for s in best for x in s) == lengths and packing.fitness(best, 100) >= packing.fitness(b, 100)
     assert packing.unpack_solution(packing.pack_solution(best)) == best
 
 
+def test_crossover_injects_whole_bins_without_repeats():
+    a, b = [[60, 40], [50, 50], [30, 30], [20]], [[50, 50], [60, 40], [30, 20], [30]]
+    lengths, always = Counter([60, 40, 50, 50, 30, 30, 20]), random.Random()
+    always.random = lambda: 0.0
+    child = packing.crossover(a, b, lengths, 100, always)
+    assert [50, 50] in child or [60, 40] in child
+    assert Counter(x for s in child for x in s) == lengths and len(child) == 3
+
+
+@pytest.mark.parametrize(("size", "bound"), [("sf0.01", 315), ("sf0.1", 3202)])
+def test_children_reach_the_bound(size, bound):
+    import pyarrow.parquet as pq
+
+    column = pq.read_table(f"/root/testdata/{size}/documents.parquet", columns=["text"])["text"].combine_chunks()
+    _, ends = tokens.word_encoder(WORDS).encode_column(column)
+    lengths = Counter(x for n in (np.diff(ends) + 1).tolist() if (x := n % 2048 if n > 2048 else n) % 2048)
+    assert -(-sum(x * n for x, n in lengths.items()) // 2048) == bound
+    migrants, children = [], 0
+    for epoch in range(packing.EPOCHS):
+        found = packing.evolve(lengths, 2048, epoch, migrants)
+        migrants, children = [found.bins], children + found.children
+    assert found.is_child and children > 0 and len(found.bins) == bound
+    assert Counter(x for s in found.bins for x in s) == lengths
+
+
 def test_a_very_long_text_is_encoded_in_blocks(monkeypatch):
     import pyarrow as pa
 
