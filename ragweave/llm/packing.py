@@ -38,6 +38,8 @@ CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 20_000, 2, 2
 #: Solutions on an island, children in an epoch, share of a parent's bins that crossover takes from.
 POPULATION, CHILDREN, INJECTED = 3, 4, 0.2
 WELL_FILLED = 0.97
+#: Tasks that islands are dealt to at most.
+MOST_TASKS = 20_000
 #: Bytes of texts that are encoded at once.
 BLOCK = 1 << 22
 
@@ -184,14 +186,18 @@ def _epoch(problems: DataFrame, capacity: int, epoch: int) -> DataFrame:
     return problems.mapInPandas(run, ELITES)
 
 
-def solve(todo: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(shard, solution): the best of all islands for each shard of pieces (shard, length)."""
+def solve(todo: DataFrame, capacity: int, shards: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """(shard, solution): the best of all islands for each of ``shards`` shards of pieces (shard, length).
+
+    Histograms are small and their evolution is long, so islands are dealt to as many tasks as there are
+    islands, up to ``MOST_TASKS``.
+    """
     lengths = todo.groupBy("shard", "length").agg(F.count("*").alias("n")).groupBy("shard").agg(F.collect_list(F.struct("length", "n")).alias("lengths"))
-    problems = materialize(lengths.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).repartition("shard", "island"), "islands")
+    problems = materialize(lengths.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))), "islands")
     start = problems.withColumn("solutions", F.expr("cast(array() as array<binary>)"))
     elites = None
     for epoch in range(epochs):
-        last, elites = elites, materialize(_epoch(start, capacity, epoch), "elites")
+        last, elites = elites, materialize(_epoch(start.repartition(min(shards * islands, MOST_TASKS), "shard", "island"), capacity, epoch), "elites")
         if last is not None:
             discard(last)
         moved = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "solution")
@@ -233,7 +239,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     for tier in range(16):
         shards = max(1, round(n / shard))
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(tier)), F.lit(shards)).cast("int"))
-        placed = materialize(_assign(dealt, solve(dealt, capacity), capacity), "placed")
+        placed = materialize(_assign(dealt, solve(dealt, capacity, shards), capacity), "placed")
         poor = placed.filter(F.col("fill") < WELL_FILLED * capacity)
         before, n = n, poor.count() if shards > 1 else 0
         last = shards == 1 or tier == 15 or 2 * n > before  # where most stay poor, another tier would only repeat this one
