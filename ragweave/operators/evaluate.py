@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.functions.text import bind, collapse
+from ragweave.storage import materialize
 
 
 def without_none(x: Column | str) -> Column:
@@ -76,7 +77,11 @@ def ngram_matches(pairs: DataFrame, n: int, hypothesis: str = "hypothesis", refe
 
 
 def bleu(pairs: DataFrame, most: int = 4, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
-    """One row: bleu, brevity_penalty, hypothesis and reference lengths of the corpus; token arrays."""
+    """One row: bleu, brevity_penalty, hypothesis and reference lengths of the corpus; token arrays.
+
+    The pairs are written once, as each length of n-grams reads both sides.
+    """
+    pairs = materialize(pairs.select(key, hypothesis, reference), "bleu-pairs")
     counts = None
     for n in range(1, most + 1):
         part = ngram_matches(pairs, n, hypothesis, reference, key)

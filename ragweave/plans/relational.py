@@ -23,27 +23,27 @@ def relational_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders"))
 
 
-@query("""SELECT l_returnflag, l_shipmode, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_shipmode)""")
+@query("""SELECT l_returnflag, l_suppkey, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_suppkey)""")
 def relational_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_shipmode").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, l_shipmode, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_shipmode), ())""")
+@query("""SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_suppkey), ())""")
 def relational_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, keys = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_shipmode"]
-    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_shipmode")], []]
+    rows, keys = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey"]
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_suppkey")], []]
     return rows.groupingSets(sets, *keys).agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders)
     SELECT o_custkey, o_orderkey, ntile(4) OVER w::INTEGER AS quarter, rank() OVER p::INTEGER AS price_rank, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running,
-    round(avg(o_totalprice) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS near FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)""")
+    round(avg(o_totalprice) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS near FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)""")
 def relational_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarters, ranks, running totals and moving means of each customer's orders."""
     line, price = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"))
     running = F.sum("o_totalprice").over(line.rowsBetween(Window.unboundedPreceding, 0))
     near = F.avg("o_totalprice").over(line.rowsBetween(-1, 1))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.ntile(4).over(line).alias("quarter"), F.rank().over(price).alias("price_rank"), F.round(running, 2).alias("running"), F.round(near, 2).alias("near"))
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.ntile(4).over(line).alias("quarter"), F.rank().over(price).alias("price_rank"), F.round(running, 2).alias("running"), F.round(near, 4).alias("near"))
 
 
 @query("SELECT n_name, true AS near FROM nation")

@@ -43,28 +43,28 @@ def fold(state: DataFrame | None, events: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
 
 
-#: Slots that objects are dealt to by a hash; a batch rewrites only the slots of its objects.
-SLOTS = 256
+#: Slots that objects are dealt to by a hash, unless a store asks for more; a batch rewrites only those of its objects.
+SLOTS = 16
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("bucket_name", "object_name"), F.lit(SLOTS)).cast("int")
-
-
-def maintain(events: DataFrame, store: str, checkpoint: str, trigger: dict[str, object] | None = None) -> StreamingQuery:
+def maintain(events: DataFrame, store: str, checkpoint: str, trigger: dict[str, object] | None = None, slots: int = SLOTS) -> StreamingQuery:
     """Keep a table of the newest event per object under ``store``, partitioned by slot.
 
+    ``slots`` stays the same for a store; some thousand objects a slot are a good measure.
+
     A batch folds its events into the slots they fall to and overwrites those. Folding takes the newest
     event whatever was folded before, so a batch that runs again, in part or whole, changes nothing.
     """
 
+    slot = F.pmod(F.xxhash64("bucket_name", "object_name"), F.lit(slots)).cast("int")
+
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = materialize(batch.withColumn("slot", _slot()), "events")
-        slots = [r[0] for r in now.select("slot").distinct().collect()]  # at most SLOTS
+        now = materialize(batch.withColumn("slot", slot), "events")
+        touched = [r[0] for r in now.select("slot").distinct().collect()]  # at most ``slots``
         state = _state(spark, store)
-        held = None if state is None else state.filter(F.col("slot").isin(slots))
-        folded = materialize(fold(held, now).withColumn("slot", _slot()), "folded")
+        held = None if state is None else state.filter(F.col("slot").isin(touched))
+        folded = materialize(fold(held, now).withColumn("slot", slot), "folded")
         folded.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(store)
         discard(now)
         discard(folded)
