@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept. ``run`` writes
 every stage's result as Parquet to the shared folder and reads it again for the next one. Tables that a
-stage wrote for itself are deleted when the next stage of the same session begins, unless its input still
-reads them.
+stage wrote for itself are deleted when another stage of the same session begins, unless its input still
+reads them: a stage's result must be written before the next stage is built, as ``run`` does. Results of
+one stage for several inputs may be held at once.
+
+Results in special cases, beside those of the operators: documents with null or letterless text go in the
+first stage; of rows with equal text the largest doc_id stays, null ids last; of near copies the smallest;
+rows that repeat id and text are one document; a text that loses all its bytes stays as an empty document;
+further columns stay until packing, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -18,23 +24,30 @@ from ragweave.llm.common import discard, materialize, scratch, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_left: list[DataFrame] = []
+#: By stage, the tables that it wrote for itself.
+_left: dict[str, list[DataFrame]] = {}
 
 
-def _stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = " ".join(docs.inputFiles()) if _left else ""
-        while _left:
-            table = _left.pop()
+def _discard_others(spark: SparkSession, docs: DataFrame, name: str) -> None:
+    """Delete what other stages of this session have left and ``docs`` doesn't read."""
+    others = [k for k, tables in _left.items() if k != name and tables]
+    read = " ".join(docs.inputFiles()) if others else ""
+    for k in others:
+        for table in _left.pop(k):
             if table.sparkSession.sparkContext is spark.sparkContext and table._ragweave_path.rpartition("/")[2] not in read:
                 discard(table)
+
+
+def _stage(name: str, work: Callable[[DataFrame], DataFrame]) -> tuple[str, Stage]:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _discard_others(spark, docs, name)
         small_batches(spark)
         with scratch() as own:
             out = work(docs)
-        _left.extend(own)
+        _left.setdefault(name, []).extend(own)
         return out
 
-    return run
+    return name, run
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -48,15 +61,16 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
     return packing.pack(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", _stage(identified)),
-    ("exact_dedup", _stage(exact_dup.drop_copies)),
-    ("near_dedup", _stage(without_near_copies)),
-    ("suffix_array_dedup", _stage(repeats.cut_repeats)),
-    ("best_fit_packing", _stage(packed)),
+    _stage("language_id", identified),
+    _stage("exact_dedup", exact_dup.drop_copies),
+    _stage("near_dedup", without_near_copies),
+    _stage("suffix_array_dedup", repeats.cut_repeats),
+    _stage("best_fit_packing", packed),
 ]
 
 #: The stages aren't expressible in SQL; a test compares them with a brute-force version.
