@@ -77,6 +77,15 @@ def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def word_end(data: np.ndarray, at: int, stop: int, step: int = 1 << 16) -> int:
+    """The first place from ``at`` on that is white space, ``stop`` at the latest."""
+    for a in range(at, stop, step):
+        space = SPACE[data[a : min(stop, a + step)]]
+        if space.any():
+            return a + int(np.argmax(space))
+    return stop
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words of the rows, and the number of words of each row.
 
@@ -86,8 +95,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> t
     hashes, starts, at, n = [], [], 0, len(data)
     while at < n:
         end = min(n, at + most)
-        while end < n and not (SPACE[data[end]] or end in offsets[np.searchsorted(offsets, end) :][:1]):
-            end += 1
+        end = word_end(data, end, int(offsets[np.searchsorted(offsets, end)]))
         piece = LOWER[data[at:end]]
         a, b = word_spans(piece, offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at)
         hashes.append(Prefix(piece).windows(a, b))

@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 Training counts byte n-grams of lower-cased texts by language on a bounded sample of labelled rows
-(``SAMPLE`` rows a language, taken by a hash of the row's text). An n-gram belongs to each language where its rate is at
+(about ``SAMPLE`` distinct texts a language at most, taken by a hash of the text). An n-gram belongs to each language where its rate is at
 least half its highest rate; of these, the ``GRAMS`` most frequent of a language are kept. One table
 holds all filters: slot i has bit L set if language L's filter has bit i set, so the AND of an
 n-gram's ``HASHES`` slots is the set of all languages that contain it.
@@ -117,19 +117,22 @@ def train(rows: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> Model:
     if not languages:
         return Model([], np.zeros((SLOTS, 1), np.uint8), np.zeros(0), np.ones(0))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(sample / n))])
-    taken = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    taken = materialize(taken, "language-sample")
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    taken = hashed.filter(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    taken = materialize(taken.dropDuplicates(["lang", "hash"]).select("lang", "text"), "language-sample")
     counts = materialize(count_grams(taken), "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.filter("n > 2").join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
     own = rated.join(top, "gram").filter("rate >= 0.5 * top")
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))).filter(F.col("rank") <= most)
-    kept = ranked.select("lang", "gram").collect()
+    kept: dict[str, list[int]] = {lang: [] for lang in languages}
+    for row in ranked.select("lang", "gram").collect():
+        kept[row["lang"]].append(row["gram"])
     words = -(-len(languages) // 64)
     slots = np.zeros((SLOTS, words), np.uint64)
     for at, lang in enumerate(languages):
-        g = np.array([r["gram"] for r in kept if r["lang"] == lang], np.int64).view(np.uint64)
+        g = np.array(kept[lang], np.int64).view(np.uint64)
         for i in range(HASHES):
             slots[slot(g, i), at // 64] |= np.uint64(1 << (at % 64))
     fill = np.array([float((slots[:, at // 64] >> np.uint64(at % 64) & np.uint64(1)).mean()) for at in range(len(languages))])

@@ -129,8 +129,7 @@ def pieces(data: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
                     end = at + int(found[-1]) + 1
                     break
             else:
-                while end < len(data) and not bytehash.SPACE[data[end]]:
-                    end += 1
+                end = bytehash.word_end(data, end, len(data))
         yield at, min(end, len(data))
         at = end
 
