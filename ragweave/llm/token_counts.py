@@ -4,7 +4,8 @@ A batch is a table of changes (doc_id, op, source, lang, version, n_tokens): ``+
 count, ``-`` takes it back with the values it was added with, and a revised count is a ``-`` of the
 old row and a ``+`` of the new one. A batch is folded into a small signed rollup in its own folder,
 whose name is the batch id; a folder that is complete (it has ``_SUCCESS``) is never written again,
-so a batch that is sent twice counts once. The totals are the sum of all complete rollups.
+so a batch that is sent twice counts once, also after a compaction, which keeps the ids that it folds.
+The totals are the sum of all complete rollups.
 
 The rollup pre-aggregates before its shuffle, so one source or language may hold any share of the
 rows. Results in special cases: null source, lang or version is a group of its own; null n_tokens
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragweave.llm import tokens
+from ragweave.llm.common import file_system
 
 KEYS = ("source", "lang", "version")
 ROLLUP = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -32,7 +34,7 @@ def count_tokens(docs: DataFrame, encoders: dict[str, tuple], text_col: str = "t
 
     ``encoders``: version to ("byte", path, pattern) or ("word", path). Null text has 0 tokens.
     """
-    if "n_tokens" in docs.columns:
+    if "n_tokens" in map(str.lower, docs.columns):
         raise ValueError("the input has a column n_tokens already")
     schema = T.StructType([*docs.drop(text_col).schema.fields, T.StructField("n_tokens", T.LongType(), True)])
     encoders = {v: (*e, tokens.merge_ranks(e[1])) if e[0] == "byte" else e for v, e in encoders.items()}
@@ -61,22 +63,32 @@ def rollup(changes: DataFrame) -> DataFrame:
     return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
 
-def committed(spark: SparkSession, store: str) -> list[str]:
-    """Ids of the complete batches of ``store``."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [x.getPath() for x in fs.listStatus(path) if x.isDirectory()]
-    done = lambda p: fs.exists(sc._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(p.getName().removeprefix("batch=") for p in names if done(p))
+def _complete(spark: SparkSession, store: str, kind: str) -> list[str]:
+    """Names of the complete folders ``kind=name`` of ``store``, by one listing."""
+    fs, make = file_system(spark, store)
+    found = fs.globStatus(make(f"{store}/{kind}=*/_SUCCESS"))
+    return sorted(x.getPath().getParent().getName().removeprefix(f"{kind}=") for x in found or [])
+
+
+def _folded(spark: SparkSession, store: str) -> DataFrame:
+    """(batch_id) of the batches that compaction folded into complete rollups of ``store``."""
+    done = set(_complete(spark, store, "batch"))
+    paths = [f"{store}/folded={b}" for b in _complete(spark, store, "folded") if b in done]
+    if not paths:
+        return spark.createDataFrame([], "batch_id string")
+    return spark.read.schema("batch_id string").parquet(*paths)
+
+
+def is_committed(spark: SparkSession, store: str, batch_id: str) -> bool:
+    """Whether a batch is in ``store``, by itself or folded into another."""
+    fs, make = file_system(spark, store)
+    return fs.exists(make(f"{store}/batch={batch_id}/_SUCCESS")) or not _folded(spark, store).filter(F.col("batch_id") == batch_id).isEmpty()
 
 
 def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
     """Fold a batch into ``store``; False, and no work, if that batch is there already."""
     spark = changes.sparkSession
-    if batch_id in committed(spark, store):
+    if is_committed(spark, store, batch_id):
         return False
     rollup(changes).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
     return True
@@ -84,13 +96,21 @@ def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """n_docs and n_tokens by source, lang and version over all complete batches."""
-    done = committed(spark, store)
+    done = _complete(spark, store, "batch")
     if not done:
         return spark.createDataFrame([], ROLLUP)
     rows = spark.read.schema(ROLLUP).parquet(*[f"{store}/batch={b}" for b in done])
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
 
-def compact(spark: SparkSession, store: str, target: str) -> None:
-    """Write the totals of ``store`` as one batch of a new store."""
-    totals(spark, store).write.parquet(f"{target}/batch=compacted")
+def compact(spark: SparkSession, store: str, target: str, name: str = "compacted") -> None:
+    """Write the totals of ``store`` as the batch ``name`` of a new store, to which later batches go.
+
+    The ids of the batches that it folds are written before it and count once it is complete, so a batch
+    that is sent again after the compaction changes nothing, and neither does a compaction that is repeated.
+    """
+    if is_committed(spark, target, name):
+        return
+    own = spark.createDataFrame([(b,) for b in _complete(spark, store, "batch")], "batch_id string")
+    own.unionByName(_folded(spark, store)).write.mode("overwrite").parquet(f"{target}/folded={name}")
+    totals(spark, store).write.mode("overwrite").parquet(f"{target}/batch={name}")
