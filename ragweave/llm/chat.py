@@ -116,13 +116,17 @@ def format_chats(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def parse(packed: bytes, mask: bytes, path: str) -> tuple[list[tuple[str, str]], str, str]:
     """Turns, text under the loss mask, and the rendered string of a conversation's ids."""
-    coder, (start, sep, end) = tokens.byte_decoder(path), reserved(path)
+    coder, marks = tokens.byte_decoder(path), reserved(path)
     ids, on = np.frombuffer(packed, "<u4"), np.frombuffer(mask, np.uint8).astype(bool)
-    a, b, c = (np.flatnonzero(ids == m) for m in (start, sep, end))
-    read = lambda i, j: coder.decode(ids[i:j].tobytes()).decode()
-    raw = [(read(i + 1, j), read(j + 1, k)) for i, j, k in zip(a, b, c)]
+    a, b, c = (np.flatnonzero(ids == m) for m in marks)
+    own = ids < marks[0]
+    whole = coder.decode(ids[own].tobytes())
+    ends = np.zeros(len(ids) + 1, np.int64)  # of the bytes before each id; marks have none
+    np.cumsum(np.where(own, coder.lengths[np.where(own, ids, 0)], 0), out=ends[1:])
+    read = lambda first, stop: [whole[i:j].decode() for i, j in zip(ends[first].tolist(), ends[stop].tolist())]
+    raw = list(zip(read(a + 1, b), read(b + 1, c)))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], on.view(np.int8), [0]])))
-    trained = "".join(unescape(read(i, j)) for i, j in edges.reshape(-1, 2))
+    trained = "".join(map(unescape, read(edges[::2], edges[1::2])))
     rendered = "".join(f"{MARKS[0]}{r}{MARKS[1]}{t}{MARKS[2]}" for r, t in raw)
     return [(unescape(r), unescape(t)) for r, t in raw], trained, rendered
 
