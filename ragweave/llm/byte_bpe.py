@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from ragweave.llm import tokens
 
 
-def _added(df: DataFrame, name: str) -> T.StructType:
-    if name in df.columns:
+def _added(df: DataFrame, name: str, kind: T.DataType | None = None) -> T.StructType:
+    if name.lower() in map(str.lower, df.columns):
         raise ValueError(f"the input has a column {name} already")
-    return T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType(), True)])
+    return T.StructType([*df.schema.fields, T.StructField(name, kind or T.BinaryType(), True)])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
@@ -62,7 +62,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out: str = "decode
 
 def spans(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``spans``: for each id the code points [start, stop) of the text that it touches."""
-    schema = T.StructType([*coded.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())), True)])
+    schema = _added(coded, "spans", T.ArrayType(T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.byte_decoder(path)
