@@ -3,8 +3,10 @@
 A frequent-items sketch of the Misra-Gries family (``approx_top_k``) names digest prefixes that may
 be frequent; sketches of tasks meet in a tree, so no task merges all of them. A pre-aggregated exact
 pass over whole digests verifies the candidates and gives each one's winner. At most
-``k * digests of a prefix`` winners are broadcast and settle their rows without a shuffle; the other
-digests, whose groups the sketch bounds, meet in one ordinary shuffle of (doc_id, digest).
+``k * digests of a prefix`` winners are broadcast and settle their rows without a shuffle. The other
+digests are pre-aggregated to a table of those that occur twice, which an ordinary join gives back to
+their rows; both sides of it are plain exchanges of Parquet, so Spark can split a digest that the sketch
+left out and still has many rows.
 
 Results in special cases: null text counts as empty text; a null doc_id loses to any other; rows
 that repeat both doc_id and text count once; an empty table gives an empty result; further columns
@@ -13,7 +15,7 @@ are ignored by ``annotate_copies`` and kept by ``drop_copies``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm.common import free_name, materialize
@@ -44,10 +46,14 @@ def annotate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digests = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows"))
     digests = materialize(digests, "digests")
     marked = digests.join(F.broadcast(heavy_winners(digests, k)), "text_sha256", "left")
-    copies = Window.partitionBy("text_sha256")
     heavy = marked.filter("heavy_size is not null").withColumns({"keep_id": F.col("heavy_id"), "group_size": F.col("heavy_size")})
-    light = marked.filter("heavy_size is null").withColumns({"keep_id": F.max("doc_id").over(copies), "group_size": F.count("*").over(copies)})
-    both = heavy.unionByName(light).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    light = marked.filter("heavy_size is null").drop("heavy_id", "heavy_size")
+    groups = light.groupBy("text_sha256").agg(F.max("doc_id").alias("best_id"), F.count("*").alias("size")).filter("size > 1")
+    light = light.join(materialize(groups, "copy-groups"), "text_sha256", "left")
+    alone = F.col("size").isNull()
+    light = light.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")), "group_size": F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long")})
+    both = heavy.select("doc_id", "keep_id", "group_size", "text_sha256", "n_rows").unionByName(light.select("doc_id", "keep_id", "group_size", "text_sha256", "n_rows"))
+    both = both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return both.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
 
 
