@@ -4,9 +4,11 @@ Companded bytes are expanded by 256-entry tables made from the published rules;
 file are decoded side by side, one nibble of every block at a time; PCM is resampled by a polyphase
 windowed-sinc filter, block by block, and stored as 16-bit RIFF.
 
-Results in special cases: null counts as no bytes; no samples give a file with an empty data chunk;
-bytes that aren't a RIFF file of a known coding are an error; a trailing partial ADPCM block is
-dropped; equal bytes give equal results; repeated rows are converted each; further columns are ignored.
+Results in special cases: a null text counts as no bytes, a null file has null PCM; no samples give a
+file with an empty data chunk; bytes that aren't a RIFF file of a known coding are an error; a trailing
+partial ADPCM block is dropped; equal bytes give equal results; repeated rows are converted each;
+further columns are ignored by ``store_texts`` and kept by ``convert``, where one that is named like the
+output, in whatever case, is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragweave.llm.common import row_blocks, text_views
+
 #: Samples whose features are computed at once.
 FEATURE_BLOCK = 1 << 20
 
@@ -142,6 +146,24 @@ def to_pcm(media: bytes) -> tuple[int, np.ndarray]:
     return rate, np.frombuffer(data[: len(data) // 2 * 2], "<i2")
 
 
+def to_pcm_all(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """(rate, 16-bit samples) of each file; ADPCM blocks of all files of a block size advance together."""
+    out: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.int16))] * len(files)
+    coded: dict[int, list[tuple[int, int, bytes]]] = {}
+    for i, media in enumerate(files):
+        coding, rate, block, data = read_riff(media)
+        if coding == IMA_ADPCM:
+            coded.setdefault(block, []).append((i, rate, data[: len(data) // block * block]))
+        else:
+            out[i] = to_pcm(media)
+    for block, own in coded.items():
+        samples = decode_adpcm(b"".join(data for _, _, data in own), block)
+        ends = np.cumsum([len(data) // block * (1 + 2 * (block - 4)) for _, _, data in own])
+        for (i, rate, _), part in zip(own, np.split(samples, ends[:-1])):
+            out[i] = (rate, part)
+    return out
+
+
 @functools.cache
 def _bank(up: int, down: int, half: int = 16) -> np.ndarray:
     """Filters of the ``up`` phases, each ``2 * half`` taps of a windowed sinc that sum to 1."""
@@ -170,23 +192,29 @@ def resample(samples: np.ndarray, rate: int, target: int, block: int = 1 << 16)
     return out
 
 
-def store_resampled(media: bytes, target: int) -> bytes:
-    """The RIFF file of ``media``'s samples as 16-bit PCM at ``target`` per second."""
-    rate, samples = to_pcm(media)
-    return write_riff(resample(samples, rate, target).astype("<i2").tobytes(), PCM, target)
+#: Bytes of files that are decoded at once.
+FILES_BLOCK = 1 << 20
+
+
+def _file_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Runs of files of about ``FILES_BLOCK`` bytes, one at least, and where each begins."""
+    _, offsets = text_views(column)
+    for a, b in row_blocks(offsets, FILES_BLOCK):
+        yield a, column.slice(a, b - a).to_pylist()
 
 
 def convert(rows: DataFrame, target: int, media_col: str = "media", out: str = "pcm") -> DataFrame:
-    """``rows`` with ``out``: each file as resampled 16-bit PCM."""
+    """``rows`` with ``out``: each file as resampled 16-bit PCM at ``target`` per second, itself a RIFF file."""
+    if out.lower() in map(str.lower, rows.columns):
+        raise ValueError(f"the input has a column {out} already")
     schema = rows.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                media = part.column(media_col)[0].as_py()
-                pcm = None if media is None else store_resampled(media, target)
-                yield part.append_column(out, pa.array([pcm], pa.binary()))
+            for at, files in _file_blocks(batch.column(media_col)):
+                found = iter(to_pcm_all([x for x in files if x is not None]))
+                pcm = [None if x is None else write_riff(resample(*next(found)[::-1], target).astype("<i2").tobytes(), PCM, target) for x in files]
+                yield batch.slice(at, len(files)).append_column(out, pa.array(pcm, pa.binary()))
 
     return rows.mapInArrow(run, schema)
 
@@ -196,44 +224,59 @@ def payload(text: bytes, unit: int = 64) -> bytes:
     return text + bytes(max(unit, -(-len(text) // unit) * unit) - len(text))
 
 
-def feature(samples: np.ndarray, target: np.ndarray) -> str:
-    """Peak, mean square and zero crossings of the samples, and a checksum of the resampled ones."""
+def levels(samples: np.ndarray) -> str:
+    """Number, peak, mean square and zero crossings of samples; of no samples all are 0."""
     peak = power = crossings = 0
     for a in range(0, len(samples), FEATURE_BLOCK):
         x = samples[a : a + FEATURE_BLOCK + 1].astype(np.int64)  # one more, for the crossing into the next block
         crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
         x = x[:FEATURE_BLOCK]
         peak, power = max(peak, int(np.abs(x).max())), power + int((x * x).sum())
-    return f"n={len(samples)} peak={peak} ms={power // len(samples)} zc={crossings} m={len(target)} crc={zlib.crc32(target.astype('<i2').tobytes()):08x}"
+    return f"n={len(samples)} peak={peak} ms={power // max(1, len(samples))} zc={crossings}"
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Bytes of an ADPCM block of a stored text: those that payloads are padded to.
+ADPCM_BLOCK = 64
+#: Codings of a stored text's files, by column.
+STORED = {"media": MU_LAW, "a_law": A_LAW, "adpcm": IMA_ADPCM}
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000, target: int = 4000) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's bytes, padded, as mu-law samples of a RIFF file."""
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000) -> DataFrame:
+    """(doc_id, n_bytes, media, a_law, adpcm): each text's bytes, padded, as the data of a RIFF file of each coding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                media = [write_riff(payload(t), MU_LAW, rate) for t in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for at, texts in _file_blocks(batch.column(1)):
+                raw = [(t or "").encode() for t in texts]
+                padded = list(map(payload, raw))
+                files = [pa.array([write_riff(x, coding, rate, ADPCM_BLOCK if coding == IMA_ADPCM else None) for x in padded], pa.binary()) for coding in STORED.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raw)).cast(pa.int64()), pa.array(list(map(len, raw)), pa.int64()), *files], ["doc_id", "n_bytes", *STORED])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary, a_law binary, adpcm binary")
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, a_law string, adpcm string, pcm_bytes long, pcm_sha256 string"
 
 
 def media_features(stored: DataFrame, target: int = 4000) -> DataFrame:
-    """What the stored files hold, read back from their bytes: digests, tail checksum and feature."""
+    """What the stored files hold, read back from their bytes.
+
+    The payload's digests and the feature are those of ``media``; ``a_law`` and ``adpcm`` are the levels of
+    these files' samples; ``pcm_bytes`` and ``pcm_sha256`` tell the resampled PCM that is stored of ``media``,
+    whose samples' number and checksum end the feature.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string()]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, n, media in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                _, rate, _, data = read_riff(media)
-                _, samples = to_pcm(media)
-                out.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples, resample(samples, rate, target))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 8, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])], names=[x.split()[0] for x in MEDIA.split(", ")])
-
-    return stored.mapInArrow(run, MEDIA)
+            for at, media in _file_blocks(batch.column("media")):
+                part = batch.slice(at, len(media))
+                doc, n, a_law, adpcm, pcm = (part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "a_law", "adpcm", "pcm"))
+                heard = [[levels(x) for _, x in to_pcm_all(files)] for files in (media, a_law, adpcm)]
+                data, kept = ([read_riff(x)[3] for x in files] for files in (media, pcm))
+                text = [f"{x} m={len(k) // 2} crc={zlib.crc32(k):08x}" for x, k in zip(heard[0], kept)]
+                columns = [doc, n, [*map(len, data)], [*map(sha, data)], [zlib.crc32(x[-64:]) for x in data], [*map(len, media)], [*map(sha, media)], text, heard[1], heard[2], [*map(len, pcm)], [*map(sha, pcm)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in MEDIA.split(", ")])
+
+    return convert(stored, target).mapInArrow(run, MEDIA)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 from ragweave.llm import byte_bpe, chat, exact_dup, language_id, licenses, near_dup, packing, queries, repeats, telephony, token_counts, tokens  # noqa: E402
@@ -70,15 +71,93 @@ def test_op4_language_id(spark, docs):
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out]) > 0.9
 
 
+def plain_language_id(rows, texts):
+    """Predictions for ``texts`` of a model of (lang, text) rows: sets of n-grams, bits and counts in plain Python."""
+    import regex
+
+    full = 2**64 - 1
+    letter = regex.compile(r"\p{L}")
+
+    def grams(text):
+        data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode())
+        for n in language_id.SIZES:
+            for i in range(len(data) - n + 1):
+                g = n
+                for b in data[i : i + n]:
+                    g = (g * 257 + b) & full
+                g = g * 0x9E3779B97F4A7C15 & full
+                yield g ^ (g >> 29)
+
+    taught = sorted({(lang, t) for lang, t in rows if lang is not None and t and letter.search(t)})
+    languages = sorted({lang for lang, _ in taught})
+    own = {lang: [list(grams(t)) for k, t in taught if k == lang] for lang in languages}
+    counts = {lang: Counter(g for t in ts for g in t) for lang, ts in own.items()}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items() if n > 2} for lang, c in counts.items()}
+    top = {}
+    for r in rates.values():
+        for g, x in r.items():
+            top[g] = max(top.get(g, 0), x)
+    places = lambda g: [(g >> 18 * i) % language_id.SLOTS for i in range(language_id.HASHES)]
+    signed = lambda g: g - 2**64 if g >= 2**63 else g
+    filters, false = {}, {}
+    for lang, r in rates.items():
+        best = sorted((g for g, x in r.items() if x >= 0.5 * top[g]), key=lambda g: (-r[g], signed(g)))[: language_id.GRAMS]
+        filters[lang] = {p for g in best for p in places(g)}
+        false[lang] = (len(filters[lang]) / language_id.SLOTS) ** language_id.HASHES
+
+    def shares(found):
+        hits = Counter(lang for g in found for at in [places(g)] for lang in languages if all(p in filters[lang] for p in at))
+        return {lang: min(1, max(0, (hits[lang] / max(len(found), 1) - false[lang]) / (1 - false[lang]))) for lang in languages}
+
+    usual = {lang: max(np.mean([shares(t)[lang] for t in ts]), 1e-3) for lang, ts in own.items()}
+    for t in texts:
+        if not t or not letter.search(t):
+            yield "und", 0.0
+            continue
+        score = {lang: x / usual[lang] for lang, x in shares(list(grams(t))).items()}
+        best = max(languages, key=lambda lang: (score[lang], -languages.index(lang)))
+        yield best, score[best] / sum(score.values()) if score[best] > 0 else 0.0
+
+
+def test_op4_language_id_against_plain_filters(spark, docs):
+    taught = [(r.lang, r.text) for i, r in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, SF).collect()}
+    for i, (lang, score) in zip(docs, plain_language_id(taught, [r.text for r in docs.values()])):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9
+
+
+def levels(pcm):
+    """Number, peak, mean square and zero crossings, one sample at a time."""
+    return f"n={len(pcm)} peak={max(map(abs, pcm))} ms={sum(x * x for x in pcm) // len(pcm)} zc={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))}"
+
+
+def expand_mu(byte):
+    b = byte ^ 255
+    size = (((b & 15) * 8 + 132) << (b // 16 % 8)) - 132
+    return -size if b >= 128 else size
+
+
+def expand_a(byte):
+    b = byte ^ 0x55
+    segment, step = b // 16 % 8, b % 16 * 16
+    size = step + 8 if segment == 0 else (step + 264) * 2 ** (segment - 1)
+    return size if b >= 128 else -size
+
+
 def test_op5_telephony_audio(spark, docs):
     for r in queries.op5_telephony_audio(spark, SF).collect():
         raw = (docs[r.doc_id].text or "").encode()
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         media = telephony.write_riff(padded, telephony.MU_LAW, 8000)
-        pcm = [int(telephony.mu_law_table()[b]) for b in padded]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), sha(media))
-        assert r.feature.startswith(f"n={len(pcm)} peak={max(map(abs, pcm))} ms={sum(x * x for x in pcm) // len(pcm)} ")
+        pcm = list(map(expand_mu, padded))
+        low = telephony.resample(np.array(pcm, np.int16), 8000, 4000).astype("<i2").tobytes()
+        assert r.feature == f"{levels(pcm)} m={len(pcm) // 2} crc={zlib.crc32(low):08x}"
+        stored = telephony.write_riff(low, telephony.PCM, 4000)
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(stored), sha(stored))
+        assert r.a_law == levels(list(map(expand_a, padded)))
+        assert r.adpcm == levels([int(x) for at in range(0, len(padded), 64) for x in telephony.decode_adpcm(padded[at : at + 64], 64)])
 
 
 def test_op7_best_fit_packing(spark, docs):
@@ -132,6 +211,10 @@ def test_odd_tables(spark):
         assert byte_bpe.round_trip(whole, BYTES, PATTERN).count() == (n if some else 0)
     with pytest.raises(ValueError):
         byte_bpe.encode(table, BYTES, PATTERN)
+    with pytest.raises(ValueError):
+        byte_bpe.spans(byte_bpe.encode(plain, BYTES, PATTERN).withColumn("Spans", F.lit(1)), BYTES)
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(plain.selectExpr("*", "'v' version", "1 N_Tokens"), {"v": ("word", WORDS)})
     with pytest.raises(ValueError):
         language_id.predict(table, model)
     counted = token_counts.count_tokens(plain.selectExpr("*", "'v' version"), {"v": ("word", WORDS)})

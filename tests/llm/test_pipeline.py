@@ -60,3 +60,24 @@ def test_rejected_rows_go_and_clashing_columns_stay(spark):
     for _, stage in corpus_pipeline.STAGES:
         state = stage(spark, state, "")
     assert state.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark):
+    base = [f"word{i} and the" for i in range(60)]
+    a, near = " ".join(base), " ".join([*base[:-1], "other end"])
+    rows = [(1, a, "en", 7), (1, a, "en", 7), (None, a, None, None), (2, None, "en", 1), (3, "123 ...", "en", 1), (4, near, None, 2), (5, "", "de", 3), (6, "der hund und die katze", "de", 4)]
+    state = spark.createDataFrame(rows, "doc_id long, text string, lang string, component_id int").repartition(3)
+    left = {"language_id": [None, 1, 1, 4, 6], "exact_dedup": [1, 4, 6], "near_dedup": [1, 6], "suffix_array_dedup": [1, 6]}
+    for name, stage in corpus_pipeline.STAGES:
+        state = corpus_pipeline.materialize(stage(spark, state, ""), name)
+        if name in left:
+            assert state.columns == ["doc_id", "text", "lang", "component_id"]
+            assert sorted((r.doc_id for r in state.collect()), key=lambda i: (i is not None, i)) == left[name]
+    assert {r.doc_id for r in state.collect()} == {1, 6} and len({r.sequence_id for r in state.collect()}) == 1
+
+
+def test_a_stage_may_be_built_for_several_inputs(spark):
+    make = lambda word: spark.createDataFrame([(1, f"{word} of the house " * 5), (2, f"{word} of the house " * 5), (3, "another text of words")], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["exact_dedup"]
+    one, other = stage(spark, make("door"), ""), stage(spark, make("window"), "")
+    assert sorted(r.doc_id for r in one.collect()) == sorted(r.doc_id for r in other.collect()) == [2, 3]

@@ -90,6 +90,15 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == coder.library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_letters_have_the_ids_of_the_library():
+    r = random.Random(2)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0x130), *range(0x131, 0x180)]]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(3000)] + ["s", "t", "re", "x" * 200, "ß", "ŉ", "don't", "a1b"]
+    coder = tokens.WordEncoder(WORDS)
+    for w, ids in zip(words, coder.encode(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.library.encode(w, add_special_tokens=False).ids, w
+
+
 def test_chat_reads_back_what_went_in(spark):
     forged = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", forged), (1, 1, "assistant", forged), (2, 0, "assistant", "a"), (2, 1, "assistant", None), (2, 2, None, "<\\|x"), (2, 3, "assistant", "é😀"), (None, None, "user", ""), (3, 1, "user", "tie"), (3, 1, "user", "tie")]
@@ -154,6 +163,13 @@ def test_audio_tables_and_codings():
     assert np.abs(telephony.resample(x, 8000, 16000)[::2].astype(int) - x)[50:-50].max() < 3
     assert len(telephony.resample(x, 8000, 11025)) == 4000 * 441 // 320
     assert (telephony.resample(x, 8000, 4000, block=7) == telephony.resample(x, 8000, 4000)).all()
+    files = [telephony.write_riff(data, 17, 8000, 256), telephony.write_riff(b"ab", 6, 8000), telephony.write_riff(data[:300], 17, 8000, 256), telephony.write_riff(b"", 17, 8000, 64)]
+    for (rate, got), media in zip(telephony.to_pcm_all(files), files):
+        assert (rate, got.tolist()) == (8000, telephony.to_pcm(media)[1].tolist())
+    # the filter, one sample at a time
+    bank, near = telephony._bank(1, 2), np.pad(x.astype(float), 40, "edge")
+    for k, y in enumerate(telephony.resample(x, 8000, 4000)[:200]):
+        assert abs(sum(float(bank[0, j]) * near[40 + 2 * k - 15 + j] for j in range(32)) - y) <= 0.5001
     with pytest.raises(ValueError):
         telephony.read_riff(b"nothing")
 
@@ -163,6 +179,8 @@ def test_audio_columns(spark):
     files = [telephony.write_riff(x.tobytes(), 1, 8000), telephony.write_riff(telephony.encode_adpcm(x, 256), 17, 8000, 256), telephony.write_riff(b"", 6, 8000), None]
     rows = spark.createDataFrame(list(enumerate(files)), "i long, media binary")
     pcm = {r.i: r.pcm for r in telephony.convert(rows, 16000).collect()}
+    with pytest.raises(ValueError):
+        telephony.convert(rows.withColumnRenamed("i", "PCM"), 16000)
     assert pcm[3] is None and len(telephony.to_pcm(bytes(pcm[2]))[1]) == 0 and len(telephony.to_pcm(bytes(pcm[0]))[1]) == 2020
     got = telephony.media_features(telephony.store_texts(docs_of(spark, ODD))).collect()
     for r, t in zip(sorted(got), ODD):
@@ -184,8 +202,14 @@ def test_token_rollups_are_signed_and_idempotent(spark):
     revise = [(1, "-", "a", "en", "v1", 5), (1, "+", "a", "en", "v2", 6), (2, "-", None, "en", "v1", 7)]
     assert send(revise, "b2") and not send(revise, "b2") and send([], "b3")
     assert totals() == {("a", "en", "v1"): (2, 0), ("a", "en", "v2"): (1, 6)}
-    token_counts.compact(spark, store, store + "-compact")
-    assert token_counts.totals(spark, store + "-compact").count() == 2
+    want, before, store = totals(), store, store + "-compact"
+    for _ in range(2):
+        token_counts.compact(spark, before, store)
+    assert totals() == want and not send(revise, "b2") and not send(revise, "b1") and totals() == want
+    assert send([(9, "+", "b", "en", "v2", 1)], "b4") and not send([(9, "+", "b", "en", "v2", 1)], "b4")
+    want, before, store = totals(), store, store + "-again"
+    token_counts.compact(spark, before, store)
+    assert totals() == want | {("b", "en", "v2"): (1, 1)} and not any(send(revise, b) for b in ("b1", "b2", "b3", "b4"))
 
 
 def test_exact_dedup_against_brute_force(spark):
