@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import byte_bpe, chat, exact_dup, language_id, licenses, near_dup, packing, repeats, telephony, token_counts
+from ragweave.llm import byte_bpe, centroids, chat, exact_dup, language_id, licenses, near_dup, packing, phrases, pii, repeats, telephony, token_counts
 from ragweave.llm.common import materialize, shared_dir, small_batches
 
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,6 +87,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.annotate_copies(_documents(spark, sf_dir)).drop("n_rows")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
@@ -98,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scans": op9_license_scans,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_pii": op11_pii,
+    "op12_phrases": op12_phrases,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -141,4 +157,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_pii": pii.report_sql(),
+    "op12_phrases": phrases.collocations_sql(),
+    "op13_centroids": centroids.cluster_sql(),
 }
