@@ -50,6 +50,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def first_as_json(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``: the one whose columns come first as JSON text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    picked = rows.groupBy(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return picked.select("__row.*")
+
+
 def text_views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """One string or binary column as (bytes, offsets) without copying rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,22 +90,34 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def large_star(both: DataFrame, low: DataFrame) -> DataFrame:
+    """Larger neighbours (u, v) of each node linked to the smallest node (u, m) around it."""
+    return both.filter("v > u").join(low, "u").selectExpr("v u", "m v").filter("u <> v")
+
+
+def small_star(large: DataFrame, least: DataFrame) -> DataFrame:
+    """Smaller neighbours of each node, and the node, linked to the smallest of them (u, m)."""
+    links = large.join(least, "u").filter("v <> m").selectExpr("greatest(v, m) u", "least(v, m) v")
+    return links.union(least.selectExpr("u", "m v")).filter("u <> v")
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of ``edges`` (u, v longs).
 
-    Alternating large-star and small-star rounds, until nothing changes; each is two shuffles and a table in
-    the shared folder. Neighbours meet by a minimum that is pre-aggregated, so a hub isn't gathered in a task.
+    Alternating large-star and small-star rounds, until nothing changes. The minimum of a node's neighbours is
+    pre-aggregated and written before its neighbours are joined with it, so both sides of that join are plain
+    exchanges and Spark splits the rows of a hub over several tasks.
     """
     cur = materialize(edges.filter("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), name)
     seal = None
     while True:
         both = cur.union(cur.selectExpr("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.filter("v > u").join(low, "u").selectExpr("v u", "m v").filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").selectExpr("greatest(v, m) u", "least(v, m) v").union(low.selectExpr("u", "m v"))
-        last, cur = cur, materialize(small.filter("u <> v").distinct(), name)
-        discard(last)
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), f"{name}-low")
+        large = materialize(large_star(both, low).distinct(), f"{name}-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        last, cur = cur, materialize(small_star(large, least).distinct(), name)
+        for table in (last, low, large, least):
+            discard(table)
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seal:
             break

@@ -23,7 +23,8 @@ Results in special cases: null or empty text, and text without words, has an emp
 with nothing; fewer words than a shingle are one shingle; a null doc_id links like others but its
 class is the smallest id that isn't null, or null where all are; rows with equal doc_id and different
 texts link apart; an empty table gives an empty result; further columns are ignored by ``classes``.
-``keep_one`` keeps rows that share the first id and text of a class, and one row of a class without ids.
+``keep_one`` keeps rows that share the first id and text of a class, and of a class without ids the row
+whose columns come first as JSON text.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import bytehash
-from ragweave.llm.common import connected_components, discard, free_name, materialize, ragged, row_blocks, text_views
+from ragweave.llm.common import connected_components, discard, first_as_json, free_name, materialize, ragged, row_blocks, text_views
 
 COORDINATES, TREES, BRANCHES = 64, 5, 2
 #: Representatives, and shingles of all their sets, that one task compares at once.
@@ -400,7 +401,7 @@ def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     links = links if by_pivots is None else links.unionByName(by_pivots)
     parts = connected_components(links, "parts").groupBy("node").agg(F.min("component").alias("component"))
     parts = materialize(parts.join(reps.select(F.col("rep").alias("node"), "first"), "node"), "members")
-    firsts = parts.groupBy("component").agg(F.min("first").alias("class_first"))
+    firsts = materialize(parts.groupBy("component").agg(F.min("first").alias("class_first")), "firsts")
     joined = parts.join(firsts, "component").select("node", "class_first")
     named = reps.select(*key, "rep", "first").join(joined, reps["rep"] == joined["node"], "left").select(*key, F.coalesce("class_first", "first").alias("first"))
     out = drawn.select("doc_id", "mark", *key).join(named, key, "left")
@@ -433,5 +434,5 @@ def keep_one(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
     once = tagged.join(found, same, "left_anti")
     if found.filter(F.col(kept)).isEmpty():  # no row without an id repeats another
         return once.drop(mark)
-    repeated = tagged.join(found.filter(F.col(kept)), same, "left_semi").dropDuplicates([mark])
+    repeated = first_as_json(tagged.join(found.filter(F.col(kept)), same, "left_semi"), [mark])
     return once.unionByName(repeated).drop(mark)
