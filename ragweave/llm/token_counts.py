@@ -15,6 +15,7 @@ taken back has no row; an empty batch is a commit that changes nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,10 +71,9 @@ def _complete(spark: SparkSession, store: str, kind: str) -> list[str]:
     return sorted(x.getPath().getParent().getName().removeprefix(f"{kind}=") for x in found or [])
 
 
-def _folded(spark: SparkSession, store: str) -> DataFrame:
-    """(batch_id) of the batches that compaction folded into complete rollups of ``store``."""
-    done = set(_complete(spark, store, "batch"))
-    paths = [f"{store}/folded={b}" for b in _complete(spark, store, "folded") if b in done]
+def _folded(spark: SparkSession, store: str, done: list[str]) -> DataFrame:
+    """(batch_id) of the batches that compaction folded into the complete rollups ``done`` of ``store``."""
+    paths = [f"{store}/folded={b}" for b in _complete(spark, store, "folded") if b in set(done)]
     if not paths:
         return spark.createDataFrame([], "batch_id string")
     return spark.read.schema("batch_id string").parquet(*paths)
@@ -81,12 +81,17 @@ def _folded(spark: SparkSession, store: str) -> DataFrame:
 
 def is_committed(spark: SparkSession, store: str, batch_id: str) -> bool:
     """Whether a batch is in ``store``, by itself or folded into another."""
-    fs, make = file_system(spark, store)
-    return fs.exists(make(f"{store}/batch={batch_id}/_SUCCESS")) or not _folded(spark, store).filter(F.col("batch_id") == batch_id).isEmpty()
+    done = _complete(spark, store, "batch")
+    return batch_id in done or not _folded(spark, store, done).filter(F.col("batch_id") == batch_id).isEmpty()
 
 
 def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
-    """Fold a batch into ``store``; False, and no work, if that batch is there already."""
+    """Fold a batch into ``store``; False, and no work, if that batch is there already.
+
+    ``batch_id`` names a folder: letters, digits, ``_``, ``.`` and ``-`` after a letter or digit.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch_id):
+        raise ValueError(f"a batch can't be called {batch_id!r}")
     spark = changes.sparkSession
     if is_committed(spark, store, batch_id):
         return False
@@ -94,23 +99,30 @@ def commit(changes: DataFrame, store: str, batch_id: str) -> bool:
     return True
 
 
-def totals(spark: SparkSession, store: str) -> DataFrame:
-    """n_docs and n_tokens by source, lang and version over all complete batches."""
-    done = _complete(spark, store, "batch")
+def _sums(spark: SparkSession, store: str, done: list[str]) -> DataFrame:
+    """n_docs and n_tokens by source, lang and version over the batches ``done``."""
     if not done:
         return spark.createDataFrame([], ROLLUP)
     rows = spark.read.schema(ROLLUP).parquet(*[f"{store}/batch={b}" for b in done])
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
 
+def totals(spark: SparkSession, store: str) -> DataFrame:
+    """n_docs and n_tokens by source, lang and version over all complete batches."""
+    return _sums(spark, store, _complete(spark, store, "batch"))
+
+
 def compact(spark: SparkSession, store: str, target: str, name: str = "compacted") -> None:
     """Write the totals of ``store`` as the batch ``name`` of a new store, to which later batches go.
 
-    The ids of the batches that it folds are written before it and count once it is complete, so a batch
-    that is sent again after the compaction changes nothing, and neither does a compaction that is repeated.
+    The batches are listed once, and exactly those are summed and named as folded: a batch that is committed
+    meanwhile is in neither and can be sent to ``target``. The ids are written before the sums and count
+    once these are complete, so a batch that is sent again after the compaction changes nothing, and
+    neither does a compaction that is repeated.
     """
     if is_committed(spark, target, name):
         return
-    own = spark.createDataFrame([(b,) for b in _complete(spark, store, "batch")], "batch_id string")
-    own.unionByName(_folded(spark, store)).write.mode("overwrite").parquet(f"{target}/folded={name}")
-    totals(spark, store).write.mode("overwrite").parquet(f"{target}/batch={name}")
+    done = _complete(spark, store, "batch")
+    own = spark.createDataFrame([(b,) for b in done], "batch_id string")
+    own.unionByName(_folded(spark, store, done)).write.mode("overwrite").parquet(f"{target}/folded={name}")
+    _sums(spark, store, done).write.mode("overwrite").parquet(f"{target}/batch={name}")
