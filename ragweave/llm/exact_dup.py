@@ -1,16 +1,17 @@
 """Exact deduplication with a heavy-hitter split (DataFrame functions only).
 
-A frequent-items sketch of the Misra-Gries family (``approx_top_k``) names digest prefixes that may
-be frequent; sketches of tasks meet in a tree, so no task merges all of them. A pre-aggregated exact
-pass over whole digests verifies the candidates and gives each one's winner. At most
-``k * digests of a prefix`` winners are broadcast and settle their rows without a shuffle. The other
-digests are pre-aggregated to a table of those that occur twice, which an ordinary join gives back to
-their rows; both sides of it are plain exchanges of Parquet, so Spark can split a digest that the sketch
-left out and still has many rows.
-
-Results in special cases: null text counts as empty text; a null doc_id loses to any other; rows
-that repeat both doc_id and text count once; an empty table gives an empty result; further columns
-are ignored by ``annotate_copies`` and kept by ``drop_copies``.
+A frequent-items sketch of the Misra-Gries family (``approx_top_k``) reads the digests where they are and
+names prefixes that may be frequent; sketches of tasks meet in a tree, so no task merges all of them. A
+pre-aggregated exact pass over whole digests verifies the candidates and gives each one's winner. At most
+``k * digests of a prefix`` winners are broadcast and settle their rows where they were read: rows of heavy
+digests are never shuffled. The other digests are shuffled once to a table of those that occur twice, and
+an ordinary join gives it back to their rows; both sides of it are plain exchanges of Parquet, so Spark
+can split a digest that the sketch left out and still has many rows.
+
+Results in special cases: null text counts as empty text; a null doc_id loses to any other; every row
+counts, also one that repeats another's doc_id and text, and is kept like it; an empty table gives an
+empty result; further columns are ignored by ``annotate_copies`` and kept by ``drop_copies``, which of
+kept rows with equal id and text takes the one whose columns come first as JSON text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import free_name, materialize
+from ragweave.llm.common import first_as_json, free_name, materialize
 
 #: Candidates at most, counters of a sketch, and sketches merged in the tree's middle.
 HEAVY, COUNTERS, MIDDLE = 256, 2048, 64
@@ -41,36 +42,48 @@ def heavy_winners(digests: DataFrame, k: int = HEAVY, counters: int = COUNTERS)
     return keyed.join(F.broadcast(found), "__head", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("heavy_id"), F.count("*").alias("heavy_size"))
 
 
-def annotate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and n_rows that repeat it."""
-    digests = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_rows"))
-    digests = materialize(digests, "digests")
-    marked = digests.join(F.broadcast(heavy_winners(digests, k)), "text_sha256", "left")
-    heavy = marked.filter("heavy_size is not null").withColumns({"keep_id": F.col("heavy_id"), "group_size": F.col("heavy_size")})
-    light = marked.filter("heavy_size is null").drop("heavy_id", "heavy_size")
+def _split(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of heavy rows with their winner, the other digests, and (text_sha256, best_id, size) of those that repeat."""
+    digests = materialize(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_sha256")), "digests")
+    winners = materialize(heavy_winners(digests, k), "winners")
+    marked = digests.join(F.broadcast(winners), "text_sha256", "left")
+    light = marked.filter("heavy_size is null").select("doc_id", "text_sha256")
     groups = light.groupBy("text_sha256").agg(F.max("doc_id").alias("best_id"), F.count("*").alias("size")).filter("size > 1")
-    light = light.join(materialize(groups, "copy-groups"), "text_sha256", "left")
+    return marked.filter("heavy_size is not null"), light, materialize(groups, "copy-groups")
+
+
+def annotate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    heavy, light, groups = _split(docs, id_col, text_col, k)
+    heavy = heavy.select("doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), "text_sha256")
     alone = F.col("size").isNull()
-    light = light.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")), "group_size": F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long")})
-    both = heavy.select("doc_id", "keep_id", "group_size", "text_sha256", "n_rows").unionByName(light.select("doc_id", "keep_id", "group_size", "text_sha256", "n_rows"))
-    both = both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return both.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
+    light = light.join(groups, "text_sha256", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"), F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"), "text_sha256")
+    both = heavy.unionByName(light).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return both.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id has; all columns stay.
 
-    Only ids and digests of the rows concerned are joined back, so a text moves once, and not at all
-    where Spark broadcasts that list under its own size check. Rows that repeat both id and text, if there
-    are any, are joined and reduced to one apart from the others.
+    Rows of heavy digests are dropped where they are read, by the broadcast winners. Of the others, only ids
+    and digests of those to drop are joined back, so a text moves once, and not at all where Spark broadcasts
+    that list under its own size check. Kept rows that repeat both id and text, if there are any, are joined
+    and reduced to one apart from the others.
     """
-    sha, other, digest, kept = (free_name(docs, x) for x in ("sha", "other_id", "other_sha", "other_kept"))
-    tagged = docs.withColumn(sha, _digest(text_col))
-    found = annotate_copies(docs, id_col, text_col, k).filter("not kept or n_rows > 1")
-    found = materialize(found.select(F.col("doc_id").alias(other), F.col("text_sha256").alias(digest), F.col("kept").alias(kept)), "copies")
+    sha, other, digest = (free_name(docs, x) for x in ("sha", "other_id", "other_sha"))
+    heavy, light, groups = _split(docs, id_col, text_col, k)
+    best = heavy.filter(F.col("doc_id").eqNullSafe(F.col("heavy_id"))).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
+    winners = materialize(best.select(F.col("text_sha256").alias(digest), F.col("doc_id").alias(other)), "kept-heavy")
+    grouped = light.join(groups, "text_sha256")
+    named = lambda rows: rows.select(F.col("doc_id").alias(other), F.col("text_sha256").alias(digest))
+    gone = materialize(named(grouped.filter(~F.col("doc_id").eqNullSafe(F.col("best_id")))), "copies")
+    again = grouped.filter(F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
+    repeats = materialize(named(again.unionByName(best).filter("n > 1")), "kept-repeats")
     same = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(sha) == F.col(digest))
-    once = tagged.join(found, same, "left_anti")
-    if found.filter(F.col(kept)).isEmpty():  # no row repeats another in id and text
+    tagged = docs.withColumn(sha, _digest(text_col)).join(F.broadcast(winners), F.col(sha) == F.col(digest), "left")
+    tagged = tagged.filter(F.col(digest).isNull() | F.col(id_col).eqNullSafe(F.col(other))).drop(other, digest)
+    once = tagged.join(gone, same, "left_anti")
+    if repeats.isEmpty():
         return once.drop(sha)
-    repeated = tagged.join(found.filter(F.col(kept)), same, "left_semi").dropDuplicates([id_col, sha])
-    return once.unionByName(repeated).drop(sha)
+    repeated = first_as_json(once.join(repeats, same, "left_semi"), [id_col, sha])
+    return once.join(repeats, same, "left_anti").unionByName(repeated).drop(sha)

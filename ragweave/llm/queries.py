@@ -84,7 +84,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dup.annotate_copies(_documents(spark, sf_dir)).drop("n_rows")
+    return exact_dup.annotate_copies(_documents(spark, sf_dir))
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
                sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM x LEFT JOIN c ON c.doc_id = x.doc_id""",
     "op10_exact_dedup": """
-        WITH d AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
