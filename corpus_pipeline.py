@@ -28,10 +28,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: dict[str, list[DataFrame]] = {}
 
 
+def _folders(docs: DataFrame) -> str:
+    """The folders that the plan of ``docs`` reads; not their files, of which there may be millions."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return " ".join(x.relation().location().rootPaths().mkString(" ") for x in found if x.nodeName().startswith("LogicalRelation") or x.nodeName().startswith("Relation"))
+
+
 def _discard_others(spark: SparkSession, docs: DataFrame, name: str) -> None:
     """Delete what other stages of this session have left and ``docs`` doesn't read."""
     others = [k for k, tables in _left.items() if k != name and tables]
-    read = " ".join(docs.inputFiles()) if others else ""
+    read = _folders(docs) if others else ""
     for k in others:
         for table in _left.pop(k):
             if table.sparkSession.sparkContext is spark.sparkContext and table._ragweave_path.rpartition("/")[2] not in read:
