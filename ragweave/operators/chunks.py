@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ragweave.functions.text import bind
+from ragweave.operators import quantiles, ranges
+from ragweave.storage import materialize
 
 # Where a text may be cut, the best place first.
 SEPARATORS = ("\n\n", "\n", " ", ".", ",", "​", "，", "、", "．", "。", "")
@@ -272,11 +274,16 @@ def late_chunks(texts: DataFrame, embed_tokens: Callable[[DataFrame], DataFrame]
 
 
 def semantic_groups(steps: DataFrame, group: str, position: str, distance: str, percentile: float = 0.95) -> DataFrame:
-    """``steps`` with is_break and part: a part ends where the distance to the next row is above the percentile."""
-    limits = steps.groupBy(group).agg(F.percentile(F.col(distance), percentile).alias("limit"))
-    marked = steps.join(limits, group).withColumn("is_break", F.coalesce(F.col(distance) > F.col("limit"), F.lit(False)))
-    before = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn("part", F.coalesce(F.sum(F.col("is_break").cast("int")).over(before), F.lit(0)).cast("long"))
+    """``steps`` with is_break and part: a part ends where the distance to the next row is above the percentile.
+
+    The percentile is selected, and breaks are counted by ranges of the position, so a group isn't gathered.
+    """
+    steps = materialize(steps, "steps")
+    exact = quantiles.percentiles(steps, [group], distance, {"limit": percentile})
+    limits = materialize(exact.select(F.col(group).alias("__group"), "limit"), "limits")
+    marked = steps.join(limits, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
+    marked = marked.withColumn("is_break", F.coalesce(F.col(distance) > F.col("limit"), F.lit(False)))
+    return ranges.running(marked, [group], position, position, F.col("is_break").cast("long"), "part", inclusive=False)
 
 
 def semantic(df: DataFrame, embed: Callable[[DataFrame, str], DataFrame], buffer: int = 1, percentile: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

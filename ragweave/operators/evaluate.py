@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.functions.text import bind, collapse
-from ragweave.storage import materialize
 
 
 def without_none(x: Column | str) -> Column:
@@ -67,29 +66,37 @@ def tokens_13a(x: Column | str) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
+def ngram_sums(pairs: DataFrame, lengths: Sequence[int], hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
+    """(key, n, matched, total, asked): clipped n-gram matches, the hypothesis' and the reference's n-grams, for token arrays.
+
+    Both sides' n-grams of all ``lengths`` are exploded into one table that tells them apart, so the pairs are
+    read once and nothing is joined: a count by side of each n-gram of a pair, and sums of these. A pair
+    has a row for each length even where it has no such n-gram.
+    """
+    gram = lambda n: lambda t: t if n == 1 else F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " ")))
+    side = lambda c, own: [F.struct(F.lit(n).alias("n"), F.lit(own).alias("own"), F.concat(F.array(F.lit(None).cast("string")), F.coalesce(bind(F.col(c), gram(n)), F.array().cast("array<string>"))).alias("grams")) for n in lengths]
+    tall = pairs.select(F.col(key).alias("key"), F.inline(F.array(*side(hypothesis, True), *side(reference, False)))).select("key", "n", "own", F.explode("grams").alias("g"))
+    real = F.col("g").isNotNull()
+    each = tall.groupBy("key", "n", "g").agg(F.count_if(F.col("own") & real).alias("c"), F.count_if(~F.col("own") & real).alias("r"))
+    sums = each.groupBy("key", "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total"), F.sum("r").alias("asked"))
+    return sums.select(F.col("key").alias(key), "n", "matched", "total", "asked")
+
+
 def ngram_matches(pairs: DataFrame, n: int, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
     """(key, n, matched, total): clipped n-gram matches and the hypothesis' n-grams, for token arrays."""
-    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    side = lambda c: pairs.select(key, F.explode(bind(F.col(c), runs)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
-    both = side(hypothesis).join(side(reference).withColumnRenamed("c", "r"), [key, "g"], "left")
-    sums = both.groupBy(key).agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).cast("long").alias("matched"), F.sum("c").cast("long").alias("total"))
-    return pairs.select(key).join(sums, key, "left").select(key, F.lit(n).alias("n"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+    return ngram_sums(pairs, [n], hypothesis, reference, key).drop("asked")
 
 
 def bleu(pairs: DataFrame, most: int = 4, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
-    """One row: bleu, brevity_penalty, hypothesis and reference lengths of the corpus; token arrays.
-
-    The pairs are written once, as each length of n-grams reads both sides.
-    """
-    pairs = materialize(pairs.select(key, hypothesis, reference), "bleu-pairs")
-    counts = None
-    for n in range(1, most + 1):
-        part = ngram_matches(pairs, n, hypothesis, reference, key)
-        counts = part if counts is None else counts.unionByName(part)
-    per = counts.groupBy("n").agg(F.sum("matched").alias("m"), F.sum("total").alias("t")).agg(F.avg(F.when((F.col("m") > 0) & (F.col("t") > 0), F.ln(F.col("m") / F.col("t"))).otherwise(F.lit(float("-inf")))).alias("mean_log"))
-    sizes = pairs.agg(F.sum(F.size(hypothesis)).alias("hypothesis_length"), F.sum(F.size(reference)).alias("reference_length"))
+    """One row: bleu, brevity_penalty, hypothesis and reference lengths of the corpus, and the precisions of each length."""
+    per = ngram_sums(pairs, range(1, most + 1), hypothesis, reference, key).groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matched", "total", "asked")])
+    whole = per.groupBy().agg(F.sort_array(F.collect_list(F.struct("n", "matched", "total", "asked"))).alias("per"))  # a row for each length
+    share = F.transform("per", lambda x: F.when(x["total"] > 0, x["matched"] / x["total"]).otherwise(0.0))
+    sizes = whole.select(share.alias("precisions"), F.get("per", F.lit(0))["total"].alias("hypothesis_length"), F.get("per", F.lit(0))["asked"].alias("reference_length"))
+    sizes = sizes.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hypothesis_length", "reference_length")})
     penalty = F.when(F.col("hypothesis_length") > F.col("reference_length"), 1.0).when(F.col("hypothesis_length") > 0, F.exp(1 - F.col("reference_length") / F.col("hypothesis_length"))).otherwise(0.0)
-    return per.join(sizes).withColumn("brevity_penalty", penalty).select((F.col("brevity_penalty") * F.exp("mean_log")).alias("bleu"), "brevity_penalty", "hypothesis_length", "reference_length")
+    logs = F.aggregate("precisions", F.lit(0.0), lambda acc, p: acc + F.when(p > 0, F.ln(p)).otherwise(F.lit(float("-inf"))))
+    return sizes.withColumn("brevity_penalty", penalty).select((F.col("brevity_penalty") * F.when(F.size("precisions") > 0, F.exp(logs / most)).otherwise(0.0)).alias("bleu"), "brevity_penalty", "hypothesis_length", "reference_length", "precisions")
 
 
 def f_measure(matched: Column, hypothesis: Column, reference: Column) -> Column:
@@ -98,9 +105,8 @@ def f_measure(matched: Column, hypothesis: Column, reference: Column) -> Column:
 
 def rouge_n(pairs: DataFrame, n: int = 1, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
     """(key, rouge): F-measure of shared n-grams of token arrays."""
-    own = ngram_matches(pairs, n, hypothesis, reference, key)
-    size = F.greatest(F.size(reference) - n + 1, F.lit(0))
-    return own.join(pairs.select(key, size.alias("r")), key).select(key, f_measure(F.col("matched"), F.col("total"), F.col("r")).alias("rouge"))
+    sums = ngram_sums(pairs, [n], hypothesis, reference, key)
+    return sums.select(key, f_measure(F.col("matched"), F.col("total"), F.col("asked")).alias("rouge"))
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -200,6 +206,8 @@ METRICS: dict[str, Metric] = {
     "rouge2": lambda pairs: rouge_n(pairs, 2).withColumnRenamed("rouge", "rouge2"),
     "rougeL": lambda pairs: rouge_l(pairs).withColumnRenamed("rouge_l", "rougeL"),
 }
+#: Metrics of n-grams, which share one reading, unless another metric is registered under the name.
+NGRAMS = {name: (n, METRICS[name]) for name, n in (("rouge1", 1), ("rouge2", 2))}
 
 
 def register_metric(name: str, metric: Metric) -> None:
@@ -211,10 +219,16 @@ def scored(pairs: DataFrame, names: Sequence[str], key: str = "pair_id") -> Data
     """(key, a column of each named metric); an unknown one is an error."""
     if lost := set(names) - set(METRICS):
         raise ValueError(f"unknown metrics {sorted(lost)}")
-    out = pairs.select(key)
-    for name in names:
+    shared = [n for n in dict.fromkeys(names) if n in NGRAMS and METRICS[n] is NGRAMS[n][1]]
+    if shared:
+        sums = ngram_sums(pairs, [NGRAMS[n][0] for n in shared], key=key)
+        score = f_measure(F.col("matched"), F.col("total"), F.col("asked"))
+        out = sums.groupBy(key).agg(*[F.max(F.when(F.col("n") == NGRAMS[n][0], score)).alias(n) for n in shared])
+    else:
+        out = pairs.select(key)
+    for name in [n for n in names if n not in shared]:
         out = out.join(METRICS[name](pairs).select(key, name), key, "left")
-    return out
+    return out.select(key, *names)
 
 
 def answerable(queries: DataFrame, excluded: Sequence[str] = (), kind: str = "question_type") -> DataFrame:

@@ -10,22 +10,15 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.functions.text import bind
+from ragweave.operators import recognisers
+from ragweave.operators.recognisers import ENTITIES
 
 REDACTED = "[REDACTED]"
 
-#: Entity kinds and their patterns, in the order they are replaced.
-ENTITIES = {
-    "EMAIL_ADDRESS": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "CREDIT_CARD": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
-    "US_SSN": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "IP_ADDRESS": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "PHONE_NUMBER": r"\+[0-9]{1,3}[ -][0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}\b",
-}
-
 #: Shapes of credentials.
 SECRETS = (
     r"AKIA[0-9A-Z]{16}",
@@ -147,31 +140,21 @@ def by_score(x: Column | str, score: Column, threshold: float, invert: bool = Fa
     return Finding(_c(x), ~bad, score)
 
 
-def anonymize(x: Column | str, kinds: Iterable[str] = tuple(ENTITIES)) -> Column:
-    """Struct of text and vault: matches of each kind numbered in order of appearance.
+def anonymize(x: Column | str, kinds: Iterable[str] = tuple(ENTITIES), threshold: float = 0.0) -> Column:
+    """Struct of text and vault: findings of all kinds, in one reading, numbered by kind in order of appearance.
 
-    A text's equal values share a placeholder; the vault maps placeholders back.
+    A text's equal values share a placeholder; the vault maps placeholders back. Null text stays null.
     """
-    state = F.struct(_c(x).alias("text"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("vault"))
-    for kind in kinds:
-        state = _hide(state, kind)
-    return state
-
-
-def _hide(state: Column, kind: str) -> Column:
-    name = lambda i: F.concat(F.lit(f"[{kind}_"), i.cast("string"), F.lit("]"))
-
-    def with_names(s: Column) -> Column:
-        values = F.array_distinct(F.regexp_extract_all(s["text"], F.lit(f"({ENTITIES[kind]})"), F.lit(1)))
-
-        def named(found: Column) -> Column:
-            text = _matches_replaced(s["text"], ENTITIES[kind], lambda h: name(F.array_position(found, h)))
-            names = F.map_from_arrays(F.transform(found, lambda v, i: name(i + 1)), found)
-            return F.struct(text.alias("text"), F.map_concat(s["vault"], names).alias("vault"))
+    kinds = tuple(kinds)
+    if lost := set(kinds) - set(ENTITIES):
+        raise ValueError(f"unknown kinds {sorted(lost)}")
 
-        return bind(values, named)
+    @F.pandas_udf("text string, vault map<string,string>")
+    def hide(texts: pd.Series) -> pd.DataFrame:
+        done = [recognisers.hidden(t, kinds, threshold) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in done], "vault": [v for _, v in done]})
 
-    return bind(state, with_names)
+    return hide(_c(x))
 
 
 #: Placeholders that ``anonymize`` puts.

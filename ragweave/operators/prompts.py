@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragweave.operators import ranges
+
 PLACEHOLDER = re.compile(r"\{(\w+)\}")
 OPTIONAL = "conversation_history"
 # Fixed value: the answer that stands for a blocked one in stored conversations.
@@ -92,21 +94,5 @@ def translation_languages(rows: DataFrame, question: str = "question_lang", answ
 
 
 def with_next(rows: DataFrame, order: str, value: str, name: str, group: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with ``name``: ``value`` of the next row of its ``group`` by a numeric ``order``; null at the end.
-
-    Ranges of ``order`` are windows of their own, so a group may hold any share of the rows; a small table of
-    the first rows of each range and group says what follows. Rows without ``order`` come last, equal ones by
-    ``value``.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(order).cast("double")))
-    dealt = rows.withColumn("__range", F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(above))
-    key = [F.col(order).isNull(), F.col(order), F.col(value)]
-    firsts = dealt.groupBy(*group, "__range").agg(F.min(F.struct(key[0].alias("none"), key[1].alias("at"), key[2].alias("value"))).alias("first"))
-    ahead = F.lead("first").over(Window.partitionBy(*group).orderBy("__range"))["value"]
-    ahead = firsts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__of"), ahead.alias("__after"))
-    inside = F.lead(F.struct(F.col(value).alias("value"))).over(Window.partitionBy(*group, "__range").orderBy(*key))
-    same = [F.col("__range") == F.col("__of"), *(F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group))]
-    found = dealt.withColumn("__inside", inside).join(ahead, same)
-    return found.withColumn(name, F.when(F.col("__inside").isNull(), F.col("__after")).otherwise(F.col("__inside.value"))).drop("__range", "__inside", "__after", "__of", *[f"__g{i}" for i in range(len(group))])
+    """``rows`` with ``name``: ``value`` of the next row of its ``group`` by a numeric ``order``; null at the end."""
+    return ranges.with_neighbours(rows, group, order, value, "__previous_value", name).drop("__previous_value")

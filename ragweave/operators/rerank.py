@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragweave.operators import ranges
+from ragweave.storage import materialize
+
 
 def top_scored(rows: DataFrame, n: int, threshold: float | None = None, group: str = "query_id", score: str = "score", position: str = "position") -> DataFrame:
     """The ``n`` best of each group (ties: earlier position), then those strictly above ``threshold``."""
@@ -46,10 +49,16 @@ def top_near(rows: DataFrame, n: int, group: str = "query_id", distance: str = "
 
 
 def cite(rows: DataFrame, source: Column | str, group: str = "query_id", rank: str = "rank") -> DataFrame:
-    """``rows`` with citation_id: sources numbered by first appearance; rows without a source share one number."""
+    """``rows`` with citation_id: sources numbered by first appearance; rows without a source share one number.
+
+    First ranks are aggregated before the shuffle and numbered by ranges, so a query may have any number of rows.
+    """
     key = F.coalesce((F.col(source) if isinstance(source, str) else source).cast("string"), F.lit(""))
-    first = F.min(rank).over(Window.partitionBy(group, key))
-    return rows.withColumn("first_rank", first).withColumn("citation_id", F.dense_rank().over(Window.partitionBy(group).orderBy("first_rank"))).drop("first_rank")
+    named = rows.withColumn("__source", key)
+    firsts = materialize(named.groupBy(F.col(group).alias("__group"), F.col("__source").alias("__name")).agg(F.min(rank).alias("__first")), "first-ranks")
+    numbers = materialize(ranges.numbered(firsts, ["__group"], "__first", "__name", "citation_id").drop("__first"), "citations")
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__source") == F.col("__name"))
+    return named.join(numbers, same).withColumn("citation_id", F.col("citation_id").cast("int")).drop("__source", "__group", "__name")
 
 
 def as_sources(rows: DataFrame, group: str = "query_id", rank: str = "rank", text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragweave.functions import vectors as V
+from ragweave.operators import ranges
 from ragweave.storage import fresh_path
 
 #: Query vectors that are broadcast at once; more are taken in blocks of this many.
@@ -115,14 +116,12 @@ def knn_each(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
 
 def with_siblings(chunks: DataFrame, file_cols: list[str], order_col: str, id_col: str) -> DataFrame:
     """``chunks`` with previous_id and next_id: the neighbours in the same file (and under the same headers)."""
-    line = Window.partitionBy(*file_cols).orderBy(order_col, id_col)
-    return chunks.withColumns({"previous_id": F.lag(id_col).over(line), "next_id": F.lead(id_col).over(line)})
+    return ranges.with_neighbours(chunks, file_cols, order_col, id_col)
 
 
 def hits_with_siblings(hits: DataFrame, chunks: DataFrame, file_cols: list[str], order_col: str, id_col: str) -> DataFrame:
-    """Hits with the ids of their neighbours; only files that have a hit are ordered."""
-    near = chunks.join(hits.select(*file_cols).distinct(), file_cols, "left_semi")
-    return hits.join(with_siblings(near, file_cols, order_col, id_col).select(id_col, "previous_id", "next_id"), id_col)
+    """Hits with the ids of their neighbours; no file is sorted as a whole, and only around hits."""
+    return ranges.nearest_around(hits, chunks, file_cols, order_col, id_col)
 
 
 def hierarchical(summaries: DataFrame, chunks: DataFrame, query: list[float], k_summaries: int, k_chunks: int, keys: list[str], metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

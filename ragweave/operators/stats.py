@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragweave.operators import quantiles
+
 # Upper bounds of latency buckets in milliseconds.
 BOUNDS = (1, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16364)
 
 
 def latency(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n, mean, p50 and p99 (linear) of each group."""
-    return rows.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.99).alias("p99"))
+    """n, mean, p50 and p99 (linear) of each group; no task gathers a group's values."""
+    means = rows.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    exact = quantiles.percentiles(rows, group, value, {"p50": 0.5, "p99": 0.99})
+    return _beside(means, exact, group, ["p50", "p99"])
+
+
+def _beside(rows: DataFrame, found: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with the ``columns`` of ``found`` for equal ``group``, null included; both have a row a group."""
+    same = [F.col(f"r.`{g}`").eqNullSafe(F.col(f"f.`{g}`")) for g in group]
+    return rows.alias("r").join(found.alias("f"), same or F.lit(True), "left").select("r.*", *[F.col(f"f.`{c}`") for c in columns])
 
 
 def exclusive_p90(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, p90) by the exclusive method of quantiles; groups of one value have null.
-
-    Equal values are counted first; the two ranks that p90 lies between are looked up in running counts
-    of distinct values, so a group's values are never gathered in one list.
-    """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    line = Window.partitionBy(*group).orderBy(value)
-    run = counted.withColumns({"upto": F.sum("c").over(line), "n": F.sum("c").over(Window.partitionBy(*group))})
-    m = F.col("n") + 1
-    j = F.greatest(F.lit(1), F.least(F.floor(m * 9 / 10), F.col("n") - 1))
-    rest = 9 * m - 10 * j
-    holds = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r)
-    pick = run.groupBy(*group).agg(F.max(F.when(holds(j), F.col(value))).alias("a"), F.max(F.when(holds(j + 1), F.col(value))).alias("b"), F.first(rest).alias("d"), F.first("n").alias("n"))
-    return pick.select(*group, F.when(F.col("n") > 1, (F.col("a") * (10 - F.col("d")) + F.col("b") * F.col("d")) / 10).alias("p90"))
+    """(group, p90) by the exclusive method of quantiles; groups of one value have null."""
+    m = lambda n: n + 1
+    j = lambda n: F.greatest(F.lit(1), F.least(F.floor(m(n) * 9 / 10), n - 1))
+    found = quantiles.order_statistics(rows, group, value, {"a": j, "b": lambda n: j(n) + 1})
+    rest = 9 * m(F.col("n")) - 10 * j(F.col("n"))
+    return found.select(*group, F.when(F.col("n") > 1, (F.col("a") * (10 - rest) + F.col("b") * rest) / 10).alias("p90"))
 
 
 def histogram(rows: DataFrame, group: list[str], value: str, bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
@@ -57,8 +59,12 @@ def load_test(rows: DataFrame, users: int) -> DataFrame:
     """Means and p90 of a load test's rows (inputs, outputs, first, last) and tokens a second."""
     each = rows.withColumn("next", F.when(F.col("outputs") > 0, (F.col("last") - F.col("first")) / F.col("outputs")))
     names = ["inputs", "outputs", "first", "last", "next"]
-    out = [f(F.col(c)).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("p90", lambda x: F.percentile(x, 0.9)))]
-    return each.agg(*out, (F.lit(users) / F.avg("next")).alias("tokens_per_second"))
+    means = each.agg(*[F.avg(c).alias(f"{c}_mean") for c in names], (F.lit(users) / F.avg("next")).alias("tokens_per_second"))
+    tall = each.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in names])))
+    exact = quantiles.percentiles(tall, ["measure"], "value", {"p90": 0.9})
+    wide = exact.groupBy().pivot("measure", names).agg(F.first("p90")).select(*[F.col(c).alias(f"{c}_p90") for c in names])
+    columns = [x for c in names for x in (f"{c}_mean", f"{c}_p90")]
+    return means.join(wide).select(*columns, "tokens_per_second")  # a row on either side
 
 
 def ingestion_report(rows: DataFrame, steps: list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ragweave.functions import nested
 from ragweave.functions import text as X
-from ragweave.operators import catalog, models, prompts, records, stats
+from ragweave.operators import catalog, models, prompts, quantiles, records, stats
+from ragweave.operators.table_log import LogTable
 from ragweave.plans import pipeline
 from ragweave.plans.registry import query, table
+from ragweave.storage import fresh_path, materialize
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +109,33 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 4).alias(c) for c in ("inputs_mean", "inputs_p90", "next_mean", "next_p90", "tokens_per_second")])
 
 
+@query("""WITH e AS (SELECT event_type, value FROM events WHERE value IS NOT NULL), n AS (SELECT event_type, count(*) AS n FROM e GROUP BY event_type), s AS (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS share)
+    SELECT event_type, share, n, true AS within FROM n, s""")
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each hour and kind, merged by kind; ``within``: the counted rank error is at most two per cent."""
+    e = table(spark, sf_dir, "events")
+    hours = materialize(quantiles.sketches(e, ["event_type", F.date_trunc("hour", "ts").alias("hour")], "value"), "hour-sketches")
+    found = quantiles.sketch_quantiles(quantiles.merged_sketches(hours, ["event_type"]), ["event_type"], [0.1, 0.5, 0.9, 0.99])
+    errors = quantiles.rank_errors(e, ["event_type"], "value", materialize(found, "sketch-quantiles"))
+    return errors.select("event_type", "share", "n", (F.col("rank_error") <= 0.02).alias("within"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, n_chars::BIGINT AS n FROM documents), k AS (SELECT * FROM d WHERE source IS DISTINCT FROM 'src3' AND doc_id % 10 <> 0)
+    SELECT 2::BIGINT AS version, doc_id, source, n FROM d
+    UNION ALL SELECT 5, doc_id, source, n FROM (FROM k UNION ALL SELECT doc_id, source, n + 1 FROM d WHERE doc_id % 10 = 0)""")
+def table_log_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends, a delete by source, an upsert of every tenth document and a compaction: the rows before and after."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("n"))
+    held = LogTable.create(spark, fresh_path(spark, "table-log"), docs.schema)
+    held.append(docs.filter("doc_id % 2 = 0"))
+    before = held.append(docs.filter("doc_id % 2 = 1"))
+    held.delete(F.col("source") == "src3")
+    held.upsert(docs.filter("doc_id % 10 = 0").withColumn("n", F.col("n") + 1), ["doc_id"])
+    after = held.compact()
+    parts = [held.read(v.number).withColumn("version", F.lit(v.number).cast("long")) for v in (before, after)]
+    return parts[0].unionByName(parts[1])
+
+
 _PAIRS = """p AS (SELECT conv_id, turn, text AS question, nt AS answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'),
     l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM p) WHERE b <= 3)"""
 

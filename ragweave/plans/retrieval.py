@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.functions import vectors as V
-from ragweave.operators import chunks, filters, rerank, search
+from ragweave.operators import chunks, filters, ranges, rerank, search, vector_index
 from ragweave.plans.registry import query, table
+from ragweave.storage import fresh_path
 
 #: Distances by DuckDB over doubles.
 SQL = {
@@ -65,6 +66,17 @@ def ann_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_cells(e, asked, search.fit_cells(e, 16), 5, 12).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of ``knn_batch_topk_per_query`` by a persisted graph index over all rows."""
+    e = table(spark, sf_dir, "embeddings")
+    path = fresh_path(spark, "vector-index")
+    vector_index.build(e, path, m=8, ef_construction=64)
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    found = vector_index.search(spark, path, asked, 5, ef_runtime=32)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"), "rank", "n_compared")
+
+
 @query()
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
@@ -117,8 +129,8 @@ def rerank_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, doc_id, dense_rank() OVER (PARTITION BY query_id ORDER BY first_rank)::INTEGER AS citation_id FROM f""")
 def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    line = Window.partitionBy("lang").orderBy("doc_id")
-    hits = docs.select(F.col("lang").alias("query_id"), "doc_id", F.row_number().over(line).alias("rank"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
+    rows = docs.select(F.col("lang").alias("query_id"), "doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
+    hits = ranges.numbered(rows, ["query_id"], "doc_id", "doc_id", "rank")
     return rerank.cite(hits, "source").select("query_id", "doc_id", "citation_id")
 
 
@@ -181,8 +193,7 @@ def span_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of four vectors of a label; all coordinates of each mean."""
     e = table(spark, sf_dir, "embeddings")
     dims = len(_vector(e))
-    line = Window.partitionBy("label").orderBy("vec_id")
-    places = e.select("label", "vec_id", (F.row_number().over(line) - 1).alias("position"))
+    places = ranges.running(e.select("label", "vec_id"), ["label"], "vec_id", "vec_id", F.lit(1).cast("long"), "position", inclusive=False)
     spans = places.groupBy("label").agg(F.count("*").alias("n")).select("label", F.explode(F.expr("sequence(0, cast((n - 1) / 4 as int))")).alias("span"))
     spans = spans.select("label", "span", (F.col("span") * 4).alias("first"), (F.col("span") * 4 + 4).alias("last"))
     rows = places.join(e.select("vec_id", "embedding"), "vec_id")
@@ -196,8 +207,9 @@ def span_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT label, vec_id, is_break, coalesce(sum(is_break::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part FROM b""")
 def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    line = Window.partitionBy("label").orderBy("vec_id")
-    steps = e.select("label", "vec_id", V.distance("embedding", F.lead("embedding").over(line)).alias("step"))
+    near = ranges.with_neighbours(e.select("label", "vec_id"), ["label"], "vec_id", "vec_id").select("label", "vec_id", "next_id")
+    pairs = near.join(e.select("vec_id", "embedding"), "vec_id").join(e.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("ahead")), "next_id", "left")
+    steps = pairs.select("label", "vec_id", V.distance("embedding", "ahead").alias("step"))
     return chunks.semantic_groups(steps, "label", "vec_id", "step").select("label", "vec_id", "is_break", "part")
 
 

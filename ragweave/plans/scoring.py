@@ -133,6 +133,18 @@ def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.round("bleu", 6).alias("bleu"), F.round("brevity_penalty", 6).alias("brevity_penalty"), "hypothesis_length", "reference_length")
 
 
+@query(f"""WITH d AS (SELECT doc_id AS pair_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
+    p AS (SELECT pair_id, {_tokens_13a('a')} AS h, {_tokens_13a('b')} AS r FROM d WHERE b IS NOT NULL),
+    x AS (SELECT pair_id, n, g, count(*) AS c FROM ({_grams_sql('h')}) GROUP BY ALL), y AS (SELECT pair_id, n, g, count(*) AS c FROM ({_grams_sql('r')}) GROUP BY ALL),
+    m AS (SELECT x.n, sum(least(x.c, coalesce(y.c, 0))) AS m, sum(x.c) AS t FROM x LEFT JOIN y ON x.pair_id = y.pair_id AND x.n = y.n AND x.g = y.g GROUP BY x.n)
+    SELECT 'bleu-' || n AS metric, round(m / t, 6)::DOUBLE AS value FROM m UNION ALL SELECT 'length', sum(len(h))::DOUBLE FROM p""")
+def bleu_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision of each length of n-grams, and the hypotheses' length, as a generation report lists them."""
+    found = evaluate.bleu(_pairs(spark, sf_dir, evaluate.tokens_13a), 4)
+    names = [F.struct(F.lit(f"bleu-{n}").alias("metric"), F.round(F.get("precisions", F.lit(n - 1)), 6).alias("value")) for n in range(1, 5)]
+    return found.select(F.inline(F.array(*names, F.struct(F.lit("length").alias("metric"), F.col("hypothesis_length").cast("double").alias("value")))))
+
+
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rouge_l(_pairs(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragweave.plans.registry import query, table
 from ragweave.storage import fresh_path
-from ragweave.streaming import events
+from ragweave.streaming import events, jobs
 
 
 _ACTION = "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'put' ELSE 'delete' END"
@@ -104,3 +104,47 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as jobs whose events report finished chunks."""
     batches = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).alias("n_done"), (F.col("event_id") % 40).alias("n_total"))
     return events.progress(batches).withColumn("share", F.round("share", 6))
+
+
+#: Events as commands of their user's job.
+_COMMAND = """CASE event_type WHEN 'signup' THEN 'submit' WHEN 'click' THEN 'start' WHEN 'view' THEN 'progress' WHEN 'error' THEN 'fail'
+    ELSE CASE event_id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'retry' ELSE 'delete' END END"""
+_PURGE = 3600
+
+
+@query(f"""WITH c AS (SELECT user_id::VARCHAR AS id, epoch_us(ts) AS us, event_id AS number, {_COMMAND} AS kind, CASE WHEN event_type = 'click' THEN event_id % 3 + 1 ELSE 1 END AS n FROM events),
+    l AS (SELECT id, list_prepend({{'us': -1::BIGINT, 'kind': '', 'n': 0::BIGINT, 'status': NULL::VARCHAR, 'processed': 0::BIGINT, 'total': 0::BIGINT, 'attempt': 0, 'purge': 0::BIGINT}},
+        list({{'us': us, 'kind': kind, 'n': n::BIGINT, 'status': NULL::VARCHAR, 'processed': 0::BIGINT, 'total': 0::BIGINT, 'attempt': 0, 'purge': 0::BIGINT}} ORDER BY us, number)) AS log FROM c GROUP BY id),
+    f AS (SELECT id, list_reduce(log, lambda a, x: CASE
+        WHEN x.kind = 'submit' AND (a.status IS NULL OR a.status <> 'deleting' OR x.us >= a.purge) THEN struct_update(x, status := 'uploaded', attempt := 1)
+        WHEN a.status IS NULL OR (a.status = 'deleting' AND x.us < a.purge) THEN a
+        WHEN a.status = 'deleting' OR a.status = 'purged' THEN struct_update(a, status := 'purged')
+        WHEN x.kind = 'retry' THEN struct_update(x, status := 'uploaded', attempt := a.attempt + 1)
+        WHEN x.kind = 'delete' THEN struct_update(a, status := 'deleting', purge := x.us + {_PURGE * 1_000_000})
+        WHEN a.status NOT IN ('uploaded', 'processing') THEN a
+        WHEN x.kind = 'start' THEN struct_update(a, status := 'processing', processed := 0, total := x.n)
+        WHEN x.kind = 'progress' AND a.status = 'processing' THEN struct_update(a, status := CASE WHEN a.processed + x.n >= a.total THEN 'ingested' ELSE 'processing' END, processed := least(a.processed + x.n, a.total))
+        WHEN x.kind = 'fail' THEN struct_update(a, status := 'error') WHEN x.kind = 'cancel' THEN struct_update(a, status := 'canceled') ELSE a END) AS s FROM l)
+    SELECT id, CASE s.status WHEN 'deleting' THEN 'purged' ELSE s.status END AS status, s.processed::BIGINT AS processed, s.total::BIGINT AS total, s.attempt::INTEGER AS attempt FROM f WHERE s.status IS NOT NULL""")
+def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each user's job, from a stream of commands in shuffled files; a last row moves the watermark on."""
+    source, store = fresh_path(spark, "commands"), fresh_path(spark, "jobs")
+    e = table(spark, sf_dir, "events")
+    kind = F.expr(_COMMAND)
+    n = F.when(F.col("event_type") == "click", F.col("event_id") % 3 + 1).otherwise(1)
+    rows = e.select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), kind.alias("kind"), n.cast("long").alias("n"))
+    end = rows.agg((F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("at")).select(F.lit("end").alias("id"), "at", F.lit(0).cast("long").alias("number"), F.lit("fail").alias("kind"), F.lit(0).cast("long").alias("n"))
+    rows.repartition(4).write.parquet(source)
+    end.write.mode("append").parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        found = jobs.transitions(stream, "10 minutes", _PURGE)
+        found.writeStream.outputMode("append").option("checkpointLocation", store + "-checkpoint").trigger(availableNow=True).format("parquet").start(store).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    made = spark.read.schema(found.schema).parquet(store)
+    last = made.groupBy("id").agg(F.max_by(F.struct("status", "processed", "total", "attempt"), F.struct("at_us", "number")).alias("s"))
+    return last.select("id", "s.status", "s.processed", "s.total", "s.attempt")
