@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragweave.functions.entities import luhn, mail_spans, mod97, octets, social_security
+
 #: Characters on either side in which context words count, what they add, and the score that is asked for.
 NEAR, CONTEXT, THRESHOLD = 40, 0.3, 0.5
 
@@ -56,7 +58,6 @@ WORDS = {
 #: What a confirmed match counts for without context.
 SCORES = {"email": 0.6, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.5, "phone_local": 0.3}
 
-_LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
@@ -66,36 +67,15 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LAST_GROUP = re.compile(r" [A-Z0-9]+$")
 _NEAR = {k: re.compile(rf"\b(?:{v})\b", re.ASCII) for k, v in WORDS.items()}
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
-
-
-def luhn(digits: str) -> bool:
-    """Whether the check digit of ``digits`` holds."""
-    back = [ord(c) - 48 for c in reversed(digits)]
-    return (sum(back[::2]) + sum(_DOUBLED[d] for d in back[1::2])) % 10 == 0
-
-
-def mod97(number: str) -> int:
-    """Remainder of an account number, its first four characters moved to the end and letters as 10 to 35."""
-    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Spans of addresses, each found from its ``@``."""
-    bound = 0
-    for found in _DOMAIN.finditer(text):
-        at = found.start()
-        head = text[bound:at]
-        size = len(head) - len(head.rstrip(_LOCAL))
-        if size:
-            yield at - size, found.end()
-            bound = found.end()
-        else:
-            bound = at + 1
+    return mail_spans(text, _DOMAIN)
 
 
 def _ip_valid(x: str) -> str | None:
-    return x if all(len(p) < 4 and int(p or "0") < 256 for p in (p.lstrip("0") for p in x.split("."))) else None
+    return x if octets(x) else None
 
 
 def _card_valid(x: str) -> str | None:
@@ -119,7 +99,7 @@ def _iban_valid(x: str) -> str | None:
 
 
 def _ssn_valid(x: str) -> str | None:
-    return None if x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000" else x
+    return x if social_security(x) else None
 
 
 def _always(x: str) -> str:
