@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.operators import recognisers
+from ragweave.operators import automaton, recognisers
 from ragweave.operators.recognisers import ENTITIES
 
 REDACTED = "[REDACTED]"
@@ -49,15 +49,25 @@ def _alternatives(terms: Iterable[str], whole_words: bool) -> str:
     return rf"\b(?:{body})\b" if whole_words else f"(?:{body})"
 
 
+#: Terms up to which each is a pattern of its own; more go through one automaton.
+MOST_PATTERNS = 32
+
+
 def ban_substrings(x: Column | str, terms: list[str], whole_words: bool = False, case_sensitive: bool = False, redact: bool = False, contains_all: bool = False) -> Finding:
+    """Valid unless a term occurs (or all do); redaction puts a mark for each. A long list costs one pass, as a short one does."""
     if not terms:
         raise ValueError("no terms given")
     x, flag = _c(x), "" if case_sensitive else "(?i)"
+    if len(terms) > MOST_PATTERNS:
+        seen = automaton.scan(x, terms, whole_words, case_sensitive, redact)
+        wanted = len({t if case_sensitive else automaton.folded(t) for t in terms})
+        found = seen["terms"] >= wanted if contains_all else seen["found"]
+        return Finding(F.when(found, seen["text"]).otherwise(x) if redact else x, ~found, found.cast("double"))
     each = [x.rlike(flag + _alternatives([t], whole_words)) for t in terms]
     found = each[0]
     for e in each[1:]:
         found = found & e if contains_all else found | e
-    clean = F.when(found, F.regexp_replace(x, flag + _alternatives(terms, whole_words), REDACTED)).otherwise(x) if redact else x
+    clean = F.when(found, F.regexp_replace(x, flag + _alternatives(sorted(terms, key=len, reverse=True), whole_words), REDACTED)).otherwise(x) if redact else x
     return Finding(clean, ~found, found.cast("double"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
-from ragweave.operators import guards
+from ragweave.operators import automaton, guards
 from ragweave.plans.registry import query, table
 
 TERMS = ["stupid", "hate", "trash", "idiot", "kill"]
@@ -56,6 +56,18 @@ def guard_pii_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", count("EMAIL_ADDRESS").alias("mails"), count("CREDIT_CARD").alias("cards"), (F.col("clean") != F.col("text")).alias("changed"), restored.alias("restored"))
 
 
+@query("""WITH n AS (SELECT DISTINCT lower(w) AS t FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark)),
+    c AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '_', 'g')) AS text FROM documents),
+    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z0-9_]+'))) AS t FROM c), k AS (SELECT doc_id, count(*) AS terms FROM d SEMI JOIN n ON d.t = n.t GROUP BY doc_id)
+    SELECT c.doc_id, coalesce(terms, 0)::INTEGER AS terms FROM c LEFT JOIN k ON c.doc_id = k.doc_id""")
+def guard_many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the benchmark's words, as a long list of terms, each document has as whole words."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), F.lit(1))).alias("t"))
+    terms = sorted(r.t for r in words.select(F.lower("t").alias("t")).distinct().collect())  # what a scanner is configured with
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
+    return rows.select("doc_id", automaton.scan(F.col("text"), terms, whole_words=True)["terms"].alias("terms"))
+
+
 _WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''))"
 
 

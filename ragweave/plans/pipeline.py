@@ -1,9 +1,8 @@
-"""Pipelines of DataFrame steps: sequences with conditions, switches, ensembles, graphs."""
+"""Pipelines of DataFrame steps: sequences with conditions, switches, ensembles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,40 +68,3 @@ def ensemble(df: DataFrame, branches: dict[str, Step], keys: list[str]) -> DataF
         rest = [c for c in found.columns if c not in keys]
         out = out.join(found.select(*keys, F.struct(*rest).alias(name)), keys, "left")
     return out
-
-
-@dataclass
-class Graph:
-    """Named steps and what they read; sources are tables given to ``run``."""
-
-    steps: dict[str, tuple[Callable[..., DataFrame], list[str]]] = field(default_factory=dict)
-
-    def add(self, name: str, step: Callable[..., DataFrame], *reads: str) -> Graph:
-        if name in self.steps:
-            raise ValueError(f"step {name} exists")
-        self.steps[name] = (step, list(reads))
-        return self
-
-    def order(self, sources: set[str]) -> list[str]:
-        """Steps so that each comes after what it reads; unknown names and cycles are errors."""
-        for name, (_, reads) in self.steps.items():
-            if lost := set(reads) - set(self.steps) - sources:
-                raise ValueError(f"{name} reads unknown {sorted(lost)}")
-        out: list[str] = []
-        left = dict(self.steps)
-        while left:
-            ready = [n for n, (_, reads) in left.items() if not set(reads) & set(left)]
-            if not ready:
-                raise ValueError(f"cycle among {sorted(left)}")
-            out += ready
-            for n in ready:
-                del left[n]
-        return out
-
-    def run(self, **sources: DataFrame) -> dict[str, DataFrame]:
-        """Lazy results of all steps."""
-        made: dict[str, DataFrame] = dict(sources)
-        for name in self.order(set(sources)):
-            step, reads = self.steps[name]
-            made[name] = step(*[made[r] for r in reads])
-        return made
