@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragweave.functions import nested
 from ragweave.functions import text as X
-from ragweave.operators import catalog, models, prompts, quantiles, records, stats
+from ragweave.operators import catalog, hash_tree, models, prompts, quantiles, records, stats
 from ragweave.operators.table_log import LogTable
 from ragweave.plans import pipeline
 from ragweave.plans.registry import query, table
@@ -33,6 +33,20 @@ def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sync(o.filter("doc_id % 11 <> 0"), known).select("bucket_name", "object_name", "action")
 
 
+@query(f"""WITH {_OBJECTS}, s AS (SELECT * FROM o WHERE doc_id % 211 <> 0), c AS (SELECT bucket_name, object_name, CASE WHEN doc_id % 197 = 0 THEN 'old' ELSE etag END AS etag, size FROM o WHERE doc_id % 223 <> 0)
+    SELECT coalesce(s.bucket_name, c.bucket_name) AS bucket_name, coalesce(s.object_name, c.object_name) AS object_name,
+    CASE WHEN c.object_name IS NULL THEN 'add' WHEN s.object_name IS NULL THEN 'delete' ELSE 'update' END AS action
+    FROM s FULL JOIN c ON s.bucket_name = c.bucket_name AND s.object_name = c.object_name WHERE c.object_name IS NULL OR s.object_name IS NULL OR s.etag IS DISTINCT FROM c.etag""")
+def sync_by_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storage and catalogue that differ in few objects, by their hash trees."""
+    o = _objects(spark, sf_dir).withColumn("size", F.col("size").cast("long"))
+    known = o.filter("doc_id % 223 <> 0").withColumn("etag", F.when(F.col("doc_id") % 197 == 0, "old").otherwise(F.col("etag")))
+    paths = [fresh_path(spark, "tree") for _ in range(2)]
+    for rows, path in zip((o.filter("doc_id % 211 <> 0"), known), paths):
+        hash_tree.keep(rows, path, depth=2)
+    return hash_tree.changes(spark, *paths).select("bucket_name", "object_name", "action")
+
+
 @query("SELECT doc_id, text IS NOT NULL AS there FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def catalog_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.gone(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("doc_id",))
