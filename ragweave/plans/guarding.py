@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as X
-from ragweave.operators import automaton, guards
+from ragweave.operators import automaton, guards, linear
 from ragweave.plans.registry import query, table
 
 TERMS = ["stupid", "hate", "trash", "idiot", "kill"]
@@ -118,3 +118,24 @@ def toxicity_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, count(*) AS n_urls FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(https?://[^ \\t\\n\\r\\f\\v\\x22''<>)]+)', 1)) AS u FROM pages) GROUP BY page_id""")
 def guard_url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(guards.urls(F.concat_ws(" ", "url", "html"))).alias("u")).groupBy("page_id").agg(F.count("*").alias("n_urls"))
+
+
+def _trained(rows: DataFrame, label: str) -> DataFrame:
+    """Predictions for all rows (doc_id, text, label) of a model that has seen three quarters of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    marked = rows.select("doc_id", "text", F.col(label).cast("string").alias("label"), held_out.alias("held_out"))
+    model = linear.fit(marked.filter("not held_out"))
+    return linear.predict(marked, model).select("doc_id", "held_out", "label", "predicted", F.round("probability", 4).alias("probability"))
+
+
+@query()
+def toxicity_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of labelled documents by a trained model; a quarter of them is held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _trained(table(spark, sf_dir, "documents").join(labels, "doc_id"), "toxic")
+
+
+@query()
+def language_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a trained model; a quarter of them is held out."""
+    return _trained(table(spark, sf_dir, "documents"), "lang")
