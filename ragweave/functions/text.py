@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +115,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     return bind(tokens, lambda t: _ngrams(t, n))
 
 
+def tokens(text: str) -> list[str]:
+    """Lower-cased words between white space, in Python."""
+    return text.lower().split()
+
+
+def runs(words: list[str], n: int) -> Iterator[str]:
+    """The runs of ``n`` words, in Python; none where there are fewer."""
+    return map(" ".join, zip(*(words[i:] for i in range(n))))
+
+
 def _ngrams(tokens: Column, n: int) -> Column:
     size = F.size(tokens)
     many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))

@@ -21,11 +21,28 @@ def top_scored(rows: DataFrame, n: int, threshold: float | None = None, group: s
     return out if threshold is None else out.filter(F.col(score) > threshold)
 
 
+def answerable(rows: DataFrame, prompt: str = "query", text: str = "text", group: str = "query_id") -> DataFrame:
+    """``rows`` as a reranking request takes them: a blank prompt is an error, one empty text leaves its query without rows."""
+    blank = F.assert_true(F.length(F.trim(F.coalesce(F.col(prompt), F.lit("")))) > 0, F.lit("a prompt can't be blank"))
+    checked = rows.filter(blank.isNull())
+    empty = F.col(text).isNull() | (F.col(text) == "")
+    lost = materialize(checked.groupBy(F.col(group).alias("__group")).agg(F.max(empty).alias("lost")).filter("lost"), "without-text")
+    return checked.join(lost, F.col(group).eqNullSafe(F.col("__group")), "left_anti")
+
+
+def top_or_all(rows: DataFrame, n: int, threshold: float | None = None, group: str = "query_id", score: str = "score", position: str = "position") -> DataFrame:
+    """As ``top_scored``; a query for which the scorer gave no number at all keeps its rows as they came, ranked by position."""
+    given = materialize(rows.groupBy(F.col(group).alias("__group")).agg(F.count(score).alias("given")).filter("given = 0"), "unscored")
+    same = F.col(group).eqNullSafe(F.col("__group"))
+    kept = rows.join(given, same, "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(position)))
+    return top_scored(rows.join(given, same, "left_anti"), n, threshold, group, score, position).unionByName(kept)
+
+
 def scored(rows: DataFrame, score: Callable[[list[str], list[str]], Sequence[float]], query: str = "query", text: str = "text", out: str = "score", batch: int = 32, logits: bool = False) -> DataFrame:
     """``rows`` with the scorer's number for each (query, text), in batches; ``logits`` go through a sigmoid.
 
     The scorer is a model behind a callable, as a cross-encoder: lists of queries and texts in, scores out.
-    Null counts as empty.
+    Null counts as empty; an empty answer for a batch gives null, which ``top_or_all`` understands.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
 
@@ -35,6 +52,9 @@ def scored(rows: DataFrame, score: Callable[[list[str], list[str]], Sequence[flo
                 part = whole.slice(a, batch)
                 asked, texts = ([x or "" for x in part.column(c).to_pylist()] for c in (query, text))
                 found = np.asarray(score(asked, texts), float)
+                if not len(found):
+                    yield part.append_column(out, pa.nulls(part.num_rows, pa.float64()))
+                    continue
                 if len(found) != part.num_rows:
                     raise ValueError("a scorer gives one number for each pair")
                 yield part.append_column(out, pa.array(1 / (1 + np.exp(-found)) if logits else found))

@@ -15,8 +15,9 @@ _WORD = re.compile(r"\w+")
 
 
 def _grams(segment: str, n: int = 3) -> frozenset[str]:
-    tokens = segment.lower().split()
-    return frozenset(tokens if len(tokens) < n else (" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)))
+    """Distinct runs of ``n`` words; a segment of fewer words counts by its single words."""
+    words = X.tokens(segment)
+    return frozenset(X.runs(words, n)) or frozenset(words)
 
 
 # Weights of length and content in a segment's rank.

@@ -225,14 +225,17 @@ def siblings_under_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT query_id, item_id, round(1 / (1 + exp(-(len(list_intersect(q, b))::DOUBLE - 2))), 6) AS score FROM q, b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s)
     SELECT query_id, item_id, score, rank FROM r WHERE rank <= 3""")
 def rerank_with_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First questions against the passages of the benchmark by a stand-in scorer: shared words less two, as a logit."""
+    """First questions against the passages of the benchmark by a stand-in scorer: shared words less two, as a logit.
+
+    The questions are the query set; every passage is scored against each of them, as the scorer alone knows what fits.
+    """
 
     def score(asked: list[str], texts: list[str]) -> list[float]:
         return [len(set(q.lower().split()) & set(t.lower().split())) - 2.0 for q, t in zip(asked, texts)]
 
     asked = table(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
     passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    pairs = rerank.scored(asked.join(F.broadcast(passages)), score, logits=True).withColumn("score", F.round("score", 6))
+    pairs = rerank.scored(asked.crossJoin(passages), score, logits=True).withColumn("score", F.round("score", 6))
     return rerank.top_scored(pairs, 3, None, "query_id", "score", "item_id").select("query_id", "item_id", "score", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ragweave.storage import discard, file_system, materialize
+from ragweave.storage import discard, file_system, materialize, remove
 
 RECORDS = "Records array<struct<eventName: string, eventTime: string, s3: struct<bucket: struct<name: string>, object: struct<key: string, size: bigint, eTag: string, sequencer: string>>>>"
 
@@ -43,40 +43,58 @@ def fold(state: DataFrame | None, events: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
 
 
-#: Slots that objects are dealt to by a hash, unless a store asks for more; a batch rewrites only those of its objects.
-SLOTS = 16
+#: Slots that a new store has, and objects of a slot; a store with twice as many objects gets more slots.
+SLOTS, PER_SLOT = 16, 4096
 
 
-def maintain(events: DataFrame, store: str, checkpoint: str, trigger: dict[str, object] | None = None, slots: int = SLOTS) -> StreamingQuery:
-    """Keep a table of the newest event per object under ``store``, partitioned by slot.
+def maintain(events: DataFrame, store: str, checkpoint: str, trigger: dict[str, object] | None = None, slots: int = SLOTS, per_slot: int = PER_SLOT) -> StreamingQuery:
+    """Keep a table of the newest event per object under ``store``, in slots by a hash of the object.
 
-    ``slots`` stays the same for a store; some thousand objects a slot are a good measure.
+    A batch folds its events into the slots they fall to and overwrites those only. The number of slots follows
+    the store: when slots hold over twice ``per_slot`` objects on average, the next batch writes all objects
+    to a folder with as many slots as they need (a power of two), which counts once it is complete; the older
+    one goes. So a batch rewrites about ``per_slot`` objects for each slot that it touches.
 
-    A batch folds its events into the slots they fall to and overwrites those. Folding takes the newest
-    event whatever was folded before, so a batch that runs again, in part or whole, changes nothing.
+    Folding takes the newest event whatever was folded before, so a batch that runs again, in part or whole,
+    changes nothing.
     """
 
-    slot = F.pmod(F.xxhash64("bucket_name", "object_name"), F.lit(slots)).cast("int")
-
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        held, size = _state(spark, store), _size(spark, store) or slots
+        objects = held.count() if held is not None else 0
+        wanted = size
+        while objects > 2 * wanted * per_slot:
+            wanted *= 2
+        slot = F.pmod(F.xxhash64("bucket_name", "object_name"), F.lit(wanted)).cast("int")
         now = materialize(batch.withColumn("slot", slot), "events")
-        touched = [r[0] for r in now.select("slot").distinct().collect()]  # at most ``slots``
-        state = _state(spark, store)
-        held = None if state is None else state.filter(F.col("slot").isin(touched))
+        if wanted == size and held is not None:
+            touched = [r[0] for r in now.select("slot").distinct().collect()]  # at most the number of slots
+            held = held.filter(F.col("slot").isin(touched))
         folded = materialize(fold(held, now).withColumn("slot", slot), "folded")
-        folded.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(store)
+        how = "dynamic" if wanted == size and held is not None else "static"  # a static write marks its folder as complete
+        folded.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("slot").parquet(f"{store}/slots={wanted}")
+        if wanted != size:
+            remove(spark, f"{store}/slots={size}")
         discard(now)
         discard(folded)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _size(spark: SparkSession, store: str) -> int | None:
+    """The slots of the store's complete folder; the larger one if an older one is left."""
+    fs, make = file_system(spark, store)
+    found = fs.globStatus(make(f"{store}/slots=*/_SUCCESS"))
+    return max((int(x.getPath().getParent().getName().removeprefix("slots=")) for x in found or []), default=None)
+
+
 def _state(spark: SparkSession, store: str) -> DataFrame | None:
+    size = _size(spark, store)
     fs, make = file_system(spark, store)
-    if not fs.exists(make(store)) or not fs.globStatus(make(f"{store}/slot=*")):
+    if size is None or not fs.globStatus(make(f"{store}/slots={size}/slot=*")):
         return None
-    return spark.read.parquet(store)
+    return spark.read.parquet(f"{store}/slots={size}")
 
 
 def catalogue(spark: SparkSession, store: str) -> DataFrame | None:

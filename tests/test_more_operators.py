@@ -145,3 +145,34 @@ def test_late_rows_are_dropped_and_streams_join(spark, tmp_path):
     a = rows("2024-01-01 00:00:00", "2024-01-01 01:00:00").select("kind", F.col("ts").alias("l"))
     b = rows("2024-01-01 00:10:00", "2024-01-01 00:59:59").select("kind", F.col("ts").alias("r"))
     assert events.within(a, b, ["kind"], "l", "r", "15 minutes", "1 hour").count() == 1
+
+
+def test_slots_follow_the_store(spark):
+    """A store that has outgrown its slots is dealt anew, once; replays change nothing."""
+    from ragweave.storage import fresh_path
+
+    source, store = fresh_path(spark, "notices"), fresh_path(spark, "store")
+    keys = ["bucket_name", "object_name", "action", "etag", "size", "event_time", "sequencer"]
+    rows = lambda a, b, at, action="put": spark.range(a, b).selectExpr("'b' bucket_name", "concat('o', id) object_name", f"'{action}' action", "'e' etag", "id size", f"timestamp_seconds({at}) event_time", "'1' sequencer")
+
+    def run():
+        stream = spark.readStream.schema(rows(0, 1, 0).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        events.maintain(stream.select(*keys), store, f"{store}-{uuid.uuid4().hex}", slots=2, per_slot=10).awaitTermination()
+        return sorted(r.size for r in events.catalogue(spark, store).collect())
+
+    rows(0, 200, 1).coalesce(1).write.mode("append").parquet(source)
+    assert run() == list(range(200)) and events._size(spark, store) == 2
+    rows(190, 210, 2).coalesce(1).write.mode("append").parquet(source)
+    rows(0, 5, 3, "delete").coalesce(1).write.mode("append").parquet(source)
+    assert run() == list(range(5, 210)) and events._size(spark, store) == 16
+    assert run() == list(range(5, 210))
+
+
+def test_reranking_requests(spark):
+    df = spark.createDataFrame([("a", "q", "x", 0, 0.2), ("a", "q", "y", 1, 0.9), ("b", "q", "", 0, 0.5), ("b", "q", "z", 1, 0.5), ("c", "q", "u", 0, None), ("c", "q", "v", 1, None)], "query_id string, query string, text string, position int, score double")
+    kept = rerank.answerable(df)
+    assert {r.query_id for r in kept.collect()} == {"a", "c"}
+    assert sorted((r.query_id, r.text, r["rank"]) for r in rerank.top_or_all(kept, 1).collect()) == [("a", "y", 1), ("c", "u", 1), ("c", "v", 2)]
+    assert [r.score for r in rerank.scored(df.drop("score"), lambda q, t: []).collect()] == [None] * 6
+    with pytest.raises(Exception, match="blank"):
+        rerank.answerable(df.withColumn("query", F.lit("  "))).collect()
