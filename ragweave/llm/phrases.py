@@ -5,10 +5,11 @@ array of (parent node, word), its words ranked by their bytes, so the trie comes
 order. Shards are written as sorted runs of (lang, phrase, count); range partitions of (lang, phrase)
 bring equal paths of all shards together, where they are summed: the merge by prefix range.
 
-A phrase can only be frequent if all its parts are. So the depth grows in three readings: words, then pairs
-of frequent words, then three to five words whose pairs are all frequent. What is frequent goes to the
-tasks as a Bloom filter of at most ``MOST_BITS`` bits whatever the input: an element it takes for frequent
-by mistake is counted too and falls out at the merge, so the filter's size never changes a result.
+A phrase can only be frequent if all its parts are. So the depth grows in three readings: the first adds
+up words and pairs by hash buckets, the second builds tries of the words and pairs whose buckets reach the
+least count and adds up three to five words of such pairs, the third builds the deeper tries of what
+reaches it. The buckets that reach it, and the frequent pairs, go to the tasks as filters of at most ``MOST_BITS`` bits whatever the input: an element that a filter takes for
+frequent by mistake is counted too and falls out at the merge, so a filter's size never changes a result.
 
 The merged trie holds the frequent nodes alone. Walking it level by level gives each node its left parts
 from its parent; its suffix link, the node without the first word, hands on the right parts. A node
@@ -29,17 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragweave.llm import bytehash
-from ragweave.llm.common import materialize, text_views
+from ragweave.llm.common import discard, materialize, text_views
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Words of a shard's trie, bytes of texts cut into words at once, rows of a serialised batch.
-LOT, BLOCK, ROWS = 1 << 20, 1 << 22, 1 << 16
-#: Bits of a filter: 16 for each element, but never more than these; and its hashes.
-MOST_BITS, HASHES = 1 << 27, 2
+LOT, BLOCK, ROWS = 1 << 18, 1 << 20, 1 << 15
+#: Rows of serialised tries that a task merges before it gives them out.
+MERGE = 1 << 19
+#: Bits of a filter: 16 for each element or one for ``BYTES`` of text, but never more than these; and a Bloom filter's hashes.
+MOST_BITS, BYTES, HASHES = 1 << 27, 48, 2
+#: Bits of a bucket's place within its segment, and bytes of text whose buckets one task adds up.
+SEGMENT, SHARE = 16, 1 << 36
 #: Parts of a language that are ranked apart before its first rows are.
 PARTS = 256
 
@@ -49,6 +55,10 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 RUNS = "lang string, phrase string, d int, n long"
+#: Saturated counts of the buckets of a segment, by words of an element (kind 1 to 5); kind 0: n words of lang.
+TALLY = "kind int, segment int, lot int, places binary, counts binary, lang string, n long"
+#: Both kinds of rows.
+MIXED = f"{TALLY}, phrase string, d int"
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -91,9 +101,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, most: int = BLOCK) -> Iterat
 
 
 def hashed(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words."""
-    data, offsets = text_views(words)
-    return bytehash.Prefix(data).windows(offsets[:-1], offsets[1:])
+    """64-bit hashes of words, some at a time so that the prefix sums stay small."""
+    parts = [text_views(words.slice(a, ROWS)) for a in range(0, len(words), ROWS)]
+    return np.concatenate([bytehash.Prefix(data).windows(at[:-1], at[1:]) for data, at in parts] or [np.zeros(0, np.uint64)])
 
 
 def joined(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -114,6 +124,12 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def reaches(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which elements are in a bucket that reaches the least count."""
+    at = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _phrase_hashes(lang: pa.Array, words: list[pa.Array]) -> np.ndarray:
     return functools.reduce(joined, map(hashed, words), hashed(lang))
 
@@ -138,44 +154,108 @@ class Shard:
             if self.size >= LOT:
                 yield
 
-    def runs(self, single: np.ndarray | None, pair: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """The serialised trie, and an empty lot: depth 1; with a filter of words 2; with one of pairs too, 3 to ``DEPTH``."""
-        if not self.size:
-            return
-        words = pa.concat_arrays([x[0] for x in self.lots]).dictionary_encode()
+    def _taken(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        words = pa.concat_arrays([x[0] for x in self.lots])
         follows, lang = (np.concatenate([x[i] for x in self.lots]) for i in (1, 2))
         self.lots, self.size = [], 0
-        order = pc.sort_indices(words.dictionary)
-        rank = np.empty(len(order), np.int64)
-        rank[order.to_numpy()] = np.arange(len(order))
-        names, langs = words.dictionary.take(order), pa.array(list(self.langs), pa.string())
-        word, width = rank[words.indices.to_numpy()], len(order)
+        return words, follows, lang
 
-        keys, node, counts = np.unique(lang * width + word, return_inverse=True, return_counts=True)
-        langs_of, paths = keys // width, [keys % width]
-        if single is None:
-            yield from _serialised(langs, names, langs_of, paths, counts)
+    def tally(self, bits: int, least: int, lot: int) -> Iterator[pa.RecordBatch]:
+        """Counts of the lot's words and pairs by bucket, and of words by language; an empty lot follows."""
+        if not self.size:
+            return
+        words, follows, lang = self._taken()
+        langs = pa.array(list(self.langs), pa.string())
+        own, word = hashed(langs)[lang], hashed(words)
+        single, at = joined(own, word), np.flatnonzero(follows)
+        pairs = joined(single[at], word[at + 1])
+        for kind, hashes in ((1, single), (2, pairs)):
+            yield from _tallied(kind, lot, *np.unique(hashes & np.uint64(bits - 1), return_counts=True), least)
+        n = np.bincount(lang, minlength=len(langs))
+        none = pa.array([None] * len(n), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), lot, np.int32)), none, none, langs, pa.array(n.astype(np.int64))], TALLY_NAMES)
+
+    def runs(self, least: int, words_reach: np.ndarray, pairs_reach: np.ndarray, lot: int) -> Iterator[pa.RecordBatch]:
+        """The serialised trie of depths 1 and 2 by filters of buckets, and tallies of longer phrases; an empty lot follows."""
+        if not self.size:
             return
-        known = holds(single, _phrase_hashes(langs.take(pa.array(langs_of)), [names.take(pa.array(paths[0]))]))[node]
-        at = np.flatnonzero(follows)
+        names, langs, word, width, lang, at = self._ranked()
+        keys, node, counts = np.unique(lang * width + word, return_inverse=True, return_counts=True)
+        langs_of, paths, word_hashes = keys // width, [keys % width], hashed(names)
+        hashes = joined(hashed(langs)[langs_of], word_hashes[paths[0]])
+        known = reaches(words_reach, hashes)
+        yield from _serialised(langs, names, langs_of[known], [paths[0][known]], counts[known])
+        known = known[node]
         at = at[known[at] & known[at + 1]]
         keys, node, counts = np.unique(node[at] * width + word[at + 1], return_inverse=True, return_counts=True)
         parent, own = keys // width, keys % width
-        langs_of, paths = langs_of[parent], [paths[0][parent], own]
-        if pair is None:
-            yield from _serialised(langs, names, langs_of, paths, counts)
-            return
-        known = holds(pair, _phrase_hashes(langs.take(pa.array(langs_of)), [names.take(pa.array(p)) for p in paths]))[node]
+        hashes = joined(hashes[parent], word_hashes[own])
+        known = reaches(pairs_reach, hashes)
+        yield from _serialised(langs, names, langs_of[parent][known], [paths[0][parent][known], own[known]], counts[known])
+        at, node = at[known[node]], node[known[node]]
         paired = np.zeros(len(word) + DEPTH, bool)
-        paired[at[known]] = True
-        at, node = at[known], node[known]
+        paired[at] = True
+        hashes = hashes[node]
         for d in range(3, DEPTH + 1):
             more = paired[at + d - 2]
+            at, hashes = at[more], joined(hashes[more], word_hashes[word[at[more] + d - 1]])
+            yield from _tallied(d, lot, *np.unique(hashes & np.uint64(8 * len(pairs_reach) - 1), return_counts=True), least)
+
+    def deep(self, pair: np.ndarray, longer_reach: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The serialised trie from depth 3 on, by a filter of pairs and one of buckets for each further depth; an empty lot follows."""
+        if not self.size:
+            return
+        names, langs, word, width, lang, at = self._ranked()
+        word_hashes = hashed(names)
+        keys, node = np.unique(lang * width + word, return_inverse=True)
+        langs_of, paths = keys // width, [keys % width]
+        hashes = joined(hashed(langs)[langs_of], word_hashes[paths[0]])
+        keys, node = np.unique(node[at] * width + word[at + 1], return_inverse=True)
+        parent, own = keys // width, keys % width
+        langs_of, paths, hashes = langs_of[parent], [paths[0][parent], own], joined(hashes[parent], word_hashes[own])
+        known = holds(pair, hashes)[node]
+        at, node = at[known], node[known]
+        runs_on = np.zeros(len(word) + DEPTH, bool)  # where a phrase of one word less is that may go on
+        runs_on[at] = True
+        for d in range(3, DEPTH + 1):
+            more = runs_on[at + 1]
             at, node = at[more], node[more]
             keys, node, counts = np.unique(node * width + word[at + d - 1], return_inverse=True, return_counts=True)
             parent, own = keys // width, keys % width
-            langs_of, paths = langs_of[parent], [*(p[parent] for p in paths), own]
-            yield from _serialised(langs, names, langs_of, paths, counts)
+            langs_of, paths, hashes = langs_of[parent], [*(p[parent] for p in paths), own], joined(hashes[parent], word_hashes[own])
+            known = reaches(longer_reach[d - 3], hashes)
+            at, node = at[known[node]], node[known[node]]
+            runs_on[:] = False
+            runs_on[at] = True
+            yield from _serialised(langs, names, langs_of[known], [p[known] for p in paths], counts[known])
+
+    def _ranked(self) -> tuple[pa.Array, pa.Array, np.ndarray, int, np.ndarray, np.ndarray]:
+        """The lot's words in byte order, its languages, each word's rank, their number, its language, and the words that another follows."""
+        words, follows, lang = self._taken()
+        words = words.dictionary_encode()
+        order = pc.sort_indices(words.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        return words.dictionary.take(order), pa.array(list(self.langs), pa.string()), rank[words.indices.to_numpy()], len(order), lang, np.flatnonzero(follows)
+
+
+TALLY_NAMES = ["kind", "segment", "lot", "places", "counts", "lang", "n"]
+
+
+def _tallied(kind: int, lot: int, buckets: np.ndarray, counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted ``buckets`` by segment; counts stop at ``least``, which is all that is asked of them."""
+    if not len(buckets):
+        return
+    small = np.minimum(counts, least).astype(np.min_scalar_type(least))
+    buckets = buckets.astype(np.int64)
+    segment = buckets >> SEGMENT
+    first = np.flatnonzero(np.diff(segment, prepend=-1))
+    low = (buckets & ((1 << SEGMENT) - 1)).astype("<u2")
+    ends = [*first[1:], len(buckets)]
+    n = len(first)
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in (low, small)]
+    whole = [np.full(n, kind, np.int32), segment[first].astype(np.int32), np.full(n, lot, np.int32)]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, whole), *packed, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], TALLY_NAMES)
 
 
 def _serialised(langs: pa.Array, names: pa.Array, lang: np.ndarray, paths: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -186,17 +266,114 @@ def _serialised(langs: pa.Array, names: pa.Array, lang: np.ndarray, paths: list[
         yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[a : a + ROWS])), phrase, pa.array(np.full(len(n), len(paths), np.int32)), pa.array(n)], ["lang", "phrase", "d", "n"])
 
 
-def shard_runs(docs: DataFrame, single: np.ndarray | None = None, pair: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, d, n): the sorted runs of all shards of ``docs`` (lang, text)."""
+def tallies(docs: DataFrame, bits: int, least: int) -> DataFrame:
+    """Counts of words and pairs of ``docs`` (lang, text) in ``bits`` buckets, by shard and segment; words by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, lot = Shard(), TaskContext.get().partitionId()  # lots only spread the work
+        for batch in batches:
+            for _ in shard.add(batch):
+                yield from shard.tally(bits, least, lot)
+                lot += 1
+        yield from shard.tally(bits, least, lot)
+
+    return docs.mapInArrow(run, TALLY)
+
+
+def _added(rows: DataFrame, least: int, keys: list[str], bits: bool) -> DataFrame:
+    """Rows of ``tallies`` with equal kind and segment added up as they stream by; ``keys`` deal them out.
+
+    With ``bits``, (kind, segment, bits): which buckets reach ``least``.
+    """
+    dtype = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for kind, segment, places_, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "segment", "places", "counts"))):
+                own = sums.setdefault((kind, segment), np.zeros(1 << SEGMENT, np.int64))
+                own[np.frombuffer(places_, "<u2")] += np.frombuffer(counts, dtype)
+        for (kind, segment), own in sums.items():
+            if bits:
+                packed = np.packbits(own >= least, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["kind", "segment", "bits"])
+            else:
+                at = np.flatnonzero(own)
+                yield from _tallied(kind, 0, (segment << SEGMENT) + at, own[at], least)
+
+    return rows.repartition(*keys).mapInArrow(run, "kind int, segment int, bits binary" if bits else TALLY)
+
+
+def reaching(rows: DataFrame, bits: int, least: int, shares: int, kinds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """Of a written table with rows as of ``tallies``, the buckets of each kind that reach ``least``, as bitmaps.
+
+    At most ``MOST_BITS`` bits of each come to the driver.
+    """
+    rows = rows.filter("kind > 0").select(*TALLY_NAMES)
+    if shares > 1:
+        rows = _added(rows.withColumn("lot", F.pmod("lot", F.lit(shares))), least, ["kind", "segment", "lot"], False)
+        rows = materialize(rows, "tally-shares")  # a task has one Python worker
+    out = {k: np.zeros(bits // 8, np.uint8) for k in kinds}
+    size = 1 << SEGMENT - 3
+    for r in _added(rows, least, ["kind", "segment"], True).collect():
+        out[r.kind][r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return [out[k] for k in kinds]
+
+
+def _merged_here(runs: Iterator[pa.RecordBatch], most: int = MERGE) -> Iterator[pa.RecordBatch]:
+    """Runs of a task with equal paths added up before they leave it; at most about ``most`` rows are held. Tallies pass."""
+    held: list[pa.RecordBatch] = []
+    for batch in runs:
+        if "phrase" not in batch.schema.names:
+            yield batch
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            held = _sums(held)
+            if sum(b.num_rows for b in held) >= most // 2:
+                yield from held
+                held = []
+    if held:
+        yield from _sums(held)
+
+
+def _sums(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches).group_by(["lang", "phrase", "d"]).aggregate([("n", "sum")])
+    return table.rename_columns(["lang", "phrase", "d", "n"]).sort_by([("lang", "ascending"), ("phrase", "ascending")]).to_batches(ROWS)
+
+
+def _mixed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of either kind with all columns of ``MIXED``."""
+    kinds = {"kind": pa.int32(), "segment": pa.int32(), "lot": pa.int32(), "places": pa.binary(), "counts": pa.binary(), "lang": pa.string(), "n": pa.int64(), "phrase": pa.string(), "d": pa.int32()}
+    own = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(c) if c in own else pa.nulls(batch.num_rows, kind) for c, kind in kinds.items()], list(kinds))
+
+
+def pair_runs(docs: DataFrame, least: int, words_reach: np.ndarray, pairs_reach: np.ndarray) -> DataFrame:
+    """Rows of ``MIXED``: sorted runs of words and pairs of ``docs`` (lang, text), those of a task merged, and tallies of longer phrases."""
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, lot = Shard(), TaskContext.get().partitionId()
+        for batch in batches:
+            for _ in shard.add(batch):
+                yield from shard.runs(least, words_reach, pairs_reach, lot)
+                lot += 1
+        yield from shard.runs(least, words_reach, pairs_reach, lot)
+
+    return docs.mapInArrow(lambda batches: map(_mixed, _merged_here(tries(batches))), MIXED)
+
+
+def deep_runs(docs: DataFrame, pair: np.ndarray, longer_reach: list[np.ndarray]) -> DataFrame:
+    """(lang, phrase, d, n): the sorted runs of three words and more, those of a task merged."""
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
         for batch in batches:
             for _ in shard.add(batch):
-                yield from shard.runs(single, pair)
-        yield from shard.runs(single, pair)
+                yield from shard.deep(pair, longer_reach)
+        yield from shard.deep(pair, longer_reach)
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(lambda batches: _merged_here(tries(batches)), RUNS)
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -231,14 +408,23 @@ def bloom(nodes: DataFrame) -> np.ndarray:
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
     """Written tables (lang, phrase, n) of the nodes of each depth that occur ``least`` times, and (lang, total) of all words."""
-    words = materialize(merged(materialize(shard_runs(docs), "word-runs")), "words")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
-    keep = lambda nodes, name: materialize(nodes.filter(F.col("n") >= least).select("lang", "phrase", "n"), name)
-    levels = [keep(words, "depth-1")]
-    single = bloom(levels[0])
-    levels.append(keep(merged(materialize(shard_runs(docs, single), "pair-runs")), "depth-2"))
-    pair = bloom(levels[1])
-    deep = materialize(merged(materialize(shard_runs(docs, single, pair), "deep-runs")).filter(F.col("n") >= least), "deep")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = 1 << SEGMENT
+    while bits < min(MOST_BITS, size // BYTES):
+        bits *= 2
+    tally = materialize(tallies(docs, bits, least), "tallies")
+    totals = materialize(tally.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
+    shares = -(-size // SHARE)
+    words, pairs = reaching(tally, bits, least, shares)
+    discard(tally)
+    runs = materialize(pair_runs(docs, least, words, pairs), "runs")
+    nodes = materialize(merged(runs.filter("d is not null").select("lang", "phrase", "d", "n")).filter(F.col("n") >= least), "nodes")
+    longer = reaching(runs, bits, least, shares, tuple(range(3, DEPTH + 1)))
+    discard(runs)
+    levels = [nodes.filter(F.col("d") == d).select("lang", "phrase", "n") for d in (1, 2)]
+    runs = materialize(deep_runs(docs, bloom(levels[1]), longer), "deep-runs")
+    deep = materialize(merged(runs).filter(F.col("n") >= least), "deep-nodes")
+    discard(runs)
     return [*levels, *[deep.filter(F.col("d") == d).select("lang", "phrase", "n") for d in range(3, DEPTH + 1)]], totals
 
 
