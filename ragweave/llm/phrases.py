@@ -2,8 +2,9 @@
 
 A shard (a lot of about ``LOT`` words in a task) is a count trie of limited depth: each level is one sorted
 array of (parent node, word), its words ranked by their bytes, so the trie comes out serialised in path
-order. Shards are written as sorted runs of (lang, phrase, count); range partitions of (lang, phrase)
-bring equal paths of all shards together, where they are summed: the merge by prefix range.
+order. A task adds up the tries of its shards and writes them as sorted blocks of (lang, phrase, count), one
+for each range of first words that it has; the blocks of a range meet in one task, which merges them as they
+stream by and gives out the paths that occur often enough: the merge by prefix range.
 
 A phrase can only be frequent if all its parts are. So the depth grows in three readings: the first adds
 up words and pairs by hash buckets, the second builds tries of the words and pairs whose buckets reach the
@@ -54,11 +55,13 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
-RUNS = "lang string, phrase string, d int, n long"
+NODES = "lang string, phrase string, d int, n long"
+#: A sorted block of such rows, packed, of a range of first words.
+RUNS = "range int, block binary"
 #: Saturated counts of the buckets of a segment, by words of an element (kind 1 to 5); kind 0: n words of lang.
 TALLY = "kind int, segment int, lot int, places binary, counts binary, lang string, n long"
 #: Both kinds of rows.
-MIXED = f"{TALLY}, phrase string, d int"
+MIXED = f"{TALLY}, range int, block binary"
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -320,8 +323,8 @@ def reaching(rows: DataFrame, bits: int, least: int, shares: int, kinds: tuple[i
     return [out[k] for k in kinds]
 
 
-def _merged_here(runs: Iterator[pa.RecordBatch], most: int = MERGE) -> Iterator[pa.RecordBatch]:
-    """Runs of a task with equal paths added up before they leave it; at most about ``most`` rows are held. Tallies pass."""
+def _merged_here(runs: Iterator[pa.RecordBatch], ranges: int, most: int = MERGE) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's runs with equal paths added up; at most about ``most`` rows are held. Tallies pass."""
     held: list[pa.RecordBatch] = []
     for batch in runs:
         if "phrase" not in batch.schema.names:
@@ -329,28 +332,45 @@ def _merged_here(runs: Iterator[pa.RecordBatch], most: int = MERGE) -> Iterator[
             continue
         held.append(batch)
         if sum(b.num_rows for b in held) >= most:
-            held = _sums(held)
+            held = _sums(held).to_batches()
             if sum(b.num_rows for b in held) >= most // 2:
-                yield from held
+                yield from _blocked(pa.Table.from_batches(held), ranges)
                 held = []
     if held:
-        yield from _sums(held)
+        yield from _blocked(_sums(held), ranges)
 
 
-def _sums(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+def _sums(batches: list[pa.RecordBatch]) -> pa.Table:
     table = pa.Table.from_batches(batches).group_by(["lang", "phrase", "d"]).aggregate([("n", "sum")])
-    return table.rename_columns(["lang", "phrase", "d", "n"]).sort_by([("lang", "ascending"), ("phrase", "ascending")]).to_batches(ROWS)
+    return table.rename_columns(["lang", "phrase", "d", "n"]).sort_by([("lang", "ascending"), ("phrase", "ascending")])
+
+
+def _blocked(table: pa.Table, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of the rows, sorted as they are, by a range of the hash of the first word."""
+    first = pc.list_element(pc.split_pattern(table.column("phrase"), " ", max_splits=1), 0).combine_chunks()
+    at = (hashed(first) >> np.uint64(40)).astype(np.int64) % ranges
+    order = np.argsort(at, kind="stable")
+    table, at = table.take(pa.array(order)).combine_chunks(), at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    for i in range(0, len(starts), 256):
+        packed = []
+        for a, b in zip(starts[i : i + 256], [*starts[1:], len(at)][i : i + 256]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table.slice(a, b - a))
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(at[starts[i : i + 256]].astype(np.int32)), pa.array(packed, pa.binary())], ["range", "block"])
 
 
 def _mixed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A batch of either kind with all columns of ``MIXED``."""
-    kinds = {"kind": pa.int32(), "segment": pa.int32(), "lot": pa.int32(), "places": pa.binary(), "counts": pa.binary(), "lang": pa.string(), "n": pa.int64(), "phrase": pa.string(), "d": pa.int32()}
+    kinds = {"kind": pa.int32(), "segment": pa.int32(), "lot": pa.int32(), "places": pa.binary(), "counts": pa.binary(), "lang": pa.string(), "n": pa.int64(), "range": pa.int32(), "block": pa.binary()}
     own = set(batch.schema.names)
     return pa.RecordBatch.from_arrays([batch.column(c) if c in own else pa.nulls(batch.num_rows, kind) for c, kind in kinds.items()], list(kinds))
 
 
-def pair_runs(docs: DataFrame, least: int, words_reach: np.ndarray, pairs_reach: np.ndarray) -> DataFrame:
-    """Rows of ``MIXED``: sorted runs of words and pairs of ``docs`` (lang, text), those of a task merged, and tallies of longer phrases."""
+def pair_runs(docs: DataFrame, least: int, words_reach: np.ndarray, pairs_reach: np.ndarray, ranges: int = 64) -> DataFrame:
+    """Rows of ``MIXED``: sorted blocks of words and pairs of ``docs`` (lang, text), those of a task merged, and tallies of longer phrases."""
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, lot = Shard(), TaskContext.get().partitionId()
@@ -360,11 +380,11 @@ def pair_runs(docs: DataFrame, least: int, words_reach: np.ndarray, pairs_reach:
                 lot += 1
         yield from shard.runs(least, words_reach, pairs_reach, lot)
 
-    return docs.mapInArrow(lambda batches: map(_mixed, _merged_here(tries(batches))), MIXED)
+    return docs.mapInArrow(lambda batches: map(_mixed, _merged_here(tries(batches), ranges)), MIXED)
 
 
-def deep_runs(docs: DataFrame, pair: np.ndarray, longer_reach: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, d, n): the sorted runs of three words and more, those of a task merged."""
+def deep_runs(docs: DataFrame, pair: np.ndarray, longer_reach: list[np.ndarray], ranges: int = 64) -> DataFrame:
+    """Rows of ``RUNS``: the sorted runs of three words and more, those of a task merged."""
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
@@ -373,12 +393,27 @@ def deep_runs(docs: DataFrame, pair: np.ndarray, longer_reach: list[np.ndarray])
                 yield from shard.deep(pair, longer_reach)
         yield from shard.deep(pair, longer_reach)
 
-    return docs.mapInArrow(lambda batches: _merged_here(tries(batches)), RUNS)
+    return docs.mapInArrow(lambda batches: _merged_here(tries(batches), ranges), RUNS)
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """(lang, phrase, d, n) of all shards: equal paths meet in range partitions of the path."""
-    return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("d").alias("d"), F.sum("n").alias("n"))
+def merged(runs: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, d, n) of the paths that occur ``least`` times in the written blocks ``runs`` (range, block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        sizes: dict[int, int] = {}
+        for batch in batches:
+            for at, block in zip(batch.column("range").to_pylist(), batch.column("block")):
+                own = held.setdefault(at, [])
+                own += pa.ipc.open_stream(block.as_buffer()).read_all().to_batches()
+                if sum(b.num_rows for b in own) > 2 * sizes.get(at, ROWS):
+                    held[at] = _sums(own).to_batches()
+                    sizes[at] = max(ROWS, sum(b.num_rows for b in held[at]))
+        for own in held.values():
+            table = _sums(own)
+            yield from table.filter(pc.greater_equal(table.column("n"), least)).to_batches(ROWS)
+
+    return runs.select("range", "block").repartition("range").mapInArrow(run, NODES)
 
 
 def bloom(nodes: DataFrame) -> np.ndarray:
@@ -417,13 +452,14 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[list[DataFrame], Data
     shares = -(-size // SHARE)
     words, pairs = reaching(tally, bits, least, shares)
     discard(tally)
-    runs = materialize(pair_runs(docs, least, words, pairs), "runs")
-    nodes = materialize(merged(runs.filter("d is not null").select("lang", "phrase", "d", "n")).filter(F.col("n") >= least), "nodes")
+    ranges = max(64, bits >> SEGMENT)
+    runs = materialize(pair_runs(docs, least, words, pairs, ranges), "runs")
+    nodes = materialize(merged(runs.filter("block is not null"), least), "nodes")
     longer = reaching(runs, bits, least, shares, tuple(range(3, DEPTH + 1)))
     discard(runs)
     levels = [nodes.filter(F.col("d") == d).select("lang", "phrase", "n") for d in (1, 2)]
-    runs = materialize(deep_runs(docs, bloom(levels[1]), longer), "deep-runs")
-    deep = materialize(merged(runs).filter(F.col("n") >= least), "deep-nodes")
+    runs = materialize(deep_runs(docs, bloom(levels[1]), longer, ranges), "deep-runs")
+    deep = materialize(merged(runs, least), "deep-nodes")
     discard(runs)
     return [*levels, *[deep.filter(F.col("d") == d).select("lang", "phrase", "n") for d in range(3, DEPTH + 1)]], totals
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,23 +127,22 @@ def test_phrases_of_small_lots(spark):
         small = [(w, int(r)) for words, _, row in phrases.words_of(data, offsets, 7) for w, r in zip(words.to_pylist(), row)]
         assert whole == small
     full = np.full(1 << 13, 255, np.uint8)
-    found = lambda runs: {(r.lang, r.phrase, r.n) for r in phrases.merged(runs.filter("d is not null").select("lang", "phrase", "d", "n")).filter("n >= 4").collect()}
+    found = lambda runs: {(r.lang, r.phrase, r.n) for r in phrases.merged(runs.filter("block is not null"), 4).collect()}
     loose = common.materialize(phrases.pair_runs(table, 4, full, full), "loose")
     tally = common.materialize(phrases.tallies(table, 1 << 16, 4), "tallies")
     for shares in (1, 3):
         tight = common.materialize(phrases.pair_runs(table, 4, *phrases.reaching(tally, 1 << 16, 4, shares)), "tight")
         assert found(loose) == found(tight)
         longer = phrases.reaching(tight, 1 << 16, 4, shares, (3, 4, 5))
-    pairs = phrases.merged(tight.filter("d = 2").select("lang", "phrase", "d", "n")).filter("n >= 4")
-    assert found(phrases.deep_runs(table, full, [full] * 3)) == found(phrases.deep_runs(table, phrases.bloom(common.materialize(pairs, "pairs")), longer)) != set()
-    batches = phrases.deep_runs(table, full, [full] * 3).toArrow().to_batches(20)
-    added = lambda rows: sorted((r["lang"], r["phrase"], r["n"]) for b in rows for r in b.to_pylist())
-    parts = added(phrases._merged_here(iter(batches * 2), 64))
-    whole = added(phrases._merged_here(iter(batches * 2), 1 << 20))
+    pairs = common.materialize(phrases.merged(tight.filter("block is not null"), 4).filter("d = 2"), "pairs")
+    assert found(phrases.deep_runs(table, full, [full] * 3)) == found(phrases.deep_runs(table, phrases.bloom(pairs), longer, 3)) != set()
+    batches = phrases.merged(phrases.deep_runs(table, full, [full] * 3), 1).toArrow().to_batches(20)
+    unpack = lambda blocks: [r for b in blocks for x in b.column("block") for r in pa.ipc.open_stream(x.as_buffer()).read_all().to_pylist()]
     sums = Counter()
-    for lang, phrase, n in parts:
-        sums[lang, phrase] += n
-    assert {(*k, n) for k, n in sums.items()} == set(whole) and len(parts) > len(whole)
+    for r in unpack(phrases._merged_here(iter(batches * 2), 5, 64)):
+        sums[r["lang"], r["phrase"]] += r["n"]
+    whole = unpack(phrases._merged_here(iter(batches * 2), 5))
+    assert sums == {(r["lang"], r["phrase"]): r["n"] for r in whole} and len(whole) == len(sums)
     assert phrases.collocations(table.limit(0)).count() == 0
 
 

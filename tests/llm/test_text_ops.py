@@ -217,8 +217,8 @@ def test_exact_dedup_against_brute_force(spark):
     rows = [(i, r.choice(["", None, "a", "b", "c" * 999, f"u{i}"]), "en", "s") for i in range(300)] + [(None, "a", "en", "s"), (5, "twice", "x", "y"), (5, "twice", "x", "y")]
     table = spark.createDataFrame(rows, DOCS).repartition(3)
     groups = {}
-    for i, t, *_ in set(rows):
-        groups.setdefault(t or "", set()).add(i)
+    for i, t, *_ in rows:  # every row counts, also one that repeats another's id and text
+        groups.setdefault(t or "", []).append(i)
     got = exact_dup.annotate_copies(table, k=2).collect()
     assert len(got) == sum(map(len, groups.values()))
     for x in got:
