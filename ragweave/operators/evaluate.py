@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ragweave.functions.text import bind, collapse
+from ragweave.functions.text import collapse
 
 
 def without_none(x: Column | str) -> Column:
@@ -62,24 +64,65 @@ def tokens_13a(x: Column | str) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(char))
     for pattern, put in RULES_13A:
-        t = F.regexp_replace(t, pattern, put)
+        t = F.regexp_replace(t, pattern.replace("` -", "`!-"), put)  # setting spaces apart, too, would only make more of them
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
 def ngram_sums(pairs: DataFrame, lengths: Sequence[int], hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
     """(key, n, matched, total, asked): clipped n-gram matches, the hypothesis' and the reference's n-grams, for token arrays.
 
-    Both sides' n-grams of all ``lengths`` are exploded into one table that tells them apart, so the pairs are
-    read once and nothing is joined: a count by side of each n-gram of a pair, and sums of these. A pair
-    has a row for each length even where it has no such n-gram.
+    A pair's n-grams meet in its own row, by numbers: a batch's words are numbered, and an n-gram is the number of the
+    n-gram before it with its next word. So nothing is exploded or shuffled, and no hash stands for a word. A pair has a
+    row for each length even where it has no such n-gram; null tokens are left out.
     """
-    gram = lambda n: lambda t: t if n == 1 else F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " ")))
-    side = lambda c, own: [F.struct(F.lit(n).alias("n"), F.lit(own).alias("own"), F.concat(F.array(F.lit(None).cast("string")), F.coalesce(bind(F.col(c), gram(n)), F.array().cast("array<string>"))).alias("grams")) for n in lengths]
-    tall = pairs.select(F.col(key).alias("key"), F.inline(F.array(*side(hypothesis, True), *side(reference, False)))).select("key", "n", "own", F.explode("grams").alias("g"))
-    real = F.col("g").isNotNull()
-    each = tall.groupBy("key", "n", "g").agg(F.count_if(F.col("own") & real).alias("c"), F.count_if(~F.col("own") & real).alias("r"))
-    sums = each.groupBy("key", "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total"), F.sum("r").alias("asked"))
-    return sums.select(F.col("key").alias(key), "n", "matched", "total", "asked")
+    lengths = list(lengths)
+    schema = T.StructType([pairs.schema[key], T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("matched", "total", "asked")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = sum(batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+            for a, b in _cuts(held, TOKENS):
+                part = batch.slice(a, b - a)
+                for n, *sums in _pair_sums(part.column(1), part.column(2), lengths):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(b - a, n, np.int32)), *map(pa.array, sums)], schema.names)
+
+    return pairs.select(key, F.array_compact(hypothesis), F.array_compact(reference)).mapInArrow(run, schema)
+
+
+#: Tokens whose n-grams are counted at once, but for a pair that has more.
+TOKENS = 1 << 20
+
+
+def _cuts(held: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that hold ``most`` together, or are one row."""
+    ends, a = np.cumsum(held), 0
+    while a < len(held):
+        b = max(a + 1, int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
+def _pair_sums(ours: pa.Array, theirs: pa.Array, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, matched, total, asked) of each row of two columns of token lists."""
+    sizes = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ours, theirs)]
+    flat = pa.concat_arrays([ours.flatten(), theirs.flatten()]).dictionary_encode()
+    word, rows, first = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(ours), int(sizes[0].sum())
+    each = np.concatenate(sizes)
+    row = np.repeat(np.tile(np.arange(rows), 2), each)
+    left = np.repeat(np.cumsum(each), each) - np.arange(len(word))  # tokens from here to the list's end
+    gram = row.copy()
+    for n in range(1, max(lengths, default=0) + 1):
+        at = np.flatnonzero(left >= n)
+        found = pa.array(gram[at] * len(flat.dictionary) + word[at + n - 1]).dictionary_encode()
+        gram[at] = found.indices.to_numpy(zero_copy_only=False)
+        distinct = len(found.dictionary)
+        if n in lengths:
+            split = int(np.searchsorted(at, first))
+            c, r = (np.bincount(gram[x], minlength=distinct) for x in (at[:split], at[split:]))
+            of = np.zeros(distinct, np.int64)
+            of[gram[at]] = row[at]
+            matched = np.bincount(of, np.minimum(c, r), rows).astype(np.int64)
+            yield n, matched, *(np.bincount(row[x], minlength=rows) for x in (at[:split], at[split:]))
 
 
 def ngram_matches(pairs: DataFrame, n: int, hypothesis: str = "hypothesis", reference: str = "reference", key: str = "pair_id") -> DataFrame:
