@@ -121,11 +121,11 @@ def dedup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc_id, g, lead(doc_id) OVER k AS next_id, lead(g) OVER k AS h FROM g WINDOW k AS (PARTITION BY source ORDER BY doc_id))
     SELECT doc_id, next_id, round(CASE WHEN len(g) = 0 AND len(h) = 0 THEN 1 WHEN len(g) = 0 OR len(h) = 0 THEN 0 ELSE len(list_intersect(g, h)) / least(len(g), len(h)) END, 6)::DOUBLE AS overlap FROM p WHERE next_id IS NOT NULL""")
 def trigram_overlap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of word trigrams of each document and the next one of its source; only ids are put in order."""
+    """Overlap of word trigrams of each document and the next one of its source; only ids are put in order, and only texts are shuffled."""
     docs = table(spark, sf_dir, "documents")
     ids = prompts.with_next(docs.select("doc_id", "source"), "doc_id", "doc_id", "next_id", ["source"]).filter("next_id is not null").select("doc_id", "next_id")
-    grams = docs.select("doc_id", X.ngrams(X.words("text"), 3).alias("g"))
-    pairs = ids.join(grams.select(F.col("doc_id").alias("next_id"), F.col("g").alias("h")), "next_id").join(grams, "doc_id")
+    texts = ids.join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next")), "next_id").join(docs.select("doc_id", "text"), "doc_id")
+    pairs = texts.select("doc_id", "next_id", X.ngrams(X.words("text"), 3).alias("g"), X.ngrams(X.words("next"), 3).alias("h"))
     return pairs.select("doc_id", "next_id", F.round(X.overlap(F.col("g"), F.col("h")), 6).alias("overlap"))
 
 
