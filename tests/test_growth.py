@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragweave.operators import evaluate
+from ragweave.operators import evaluate, search
 from ragweave.plans import load
 
 QUERIES = load().QUERIES
@@ -45,3 +45,20 @@ def test_13a_tokens_keep_to_the_rules(spark):
 def test_only_texts_are_joined_for_trigrams(spark, sf):
     plan = plan_of(QUERIES["trigram_overlap_neighbours"](spark, sf))
     assert "split(" in plan and "split(" not in plan[plan.index("Join") :]
+
+
+def test_cells_shuffle_no_vectors(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = e.filter("vec_id % 9 = 0").selectExpr("vec_id query_id", "embedding query_vec")
+    centres = search.fit_cells(e, 8)
+    found = search.knn_cells(e, asked, centres, 4, 3)
+    assert "Join" not in plan_of(found)
+    cell = lambda df, c, n: search.assign_cells(df, centres, n, c)
+    rows = {r.vec_id: (np.array(r.embedding, float), r.cells[0]) for r in cell(e, "embedding", 1).collect()}
+    want = set()
+    for r in cell(asked, "query_vec", 3).collect():
+        q = np.array(r.query_vec, float)
+        d = sorted((1 - x @ q / (np.linalg.norm(x) * np.linalg.norm(q)), i) for i, (x, c) in rows.items() if c in r.cells)
+        want |= {(r.query_id, i, rank + 1) for rank, (_, i) in enumerate(d[:4])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
+    assert search.knn_cells(e, asked, [], 4, 3).count() == 4 * asked.count()
