@@ -260,7 +260,8 @@ def late_chunks(texts: DataFrame, embed_tokens: Callable[[DataFrame], DataFrame]
 
     A text's white-space tokens go to the model in macro-chunks of ``macro`` tokens, so that every token sees
     its surroundings; ``embed_tokens`` turns rows (id, macro, token array) into rows (id, macro, position,
-    embedding) with positions inside the macro-chunk. Chunks of ``size`` tokens are windows of a macro-chunk.
+    embedding) with positions inside the macro-chunk. Chunks of ``size`` tokens are windows of a macro-chunk, so a
+    position says which ones hold it: vectors are added up where they are made, and only sums are shuffled.
     """
     if macro < size:
         raise ValueError("a macro-chunk holds at least a chunk")
@@ -269,7 +270,12 @@ def late_chunks(texts: DataFrame, embed_tokens: Callable[[DataFrame], DataFrame]
     spans = parts.select(id_col, "macro", F.posexplode(token_windows(F.col("tokens"), size, overlap)).alias("n", "w"))
     key = F.struct(id_col, "macro")
     spans = spans.select(key.alias("part"), F.col("n").alias("span"), F.col("w.first").alias("first"), (F.col("w.first") + F.size("w.tokens")).alias("last"), F.array_join("w.tokens", " ").alias("chunk_text"))
-    pooled = pool_spans(embed_tokens(parts).select(key.alias("part"), "position", "embedding"), spans, "part", dims)
+    at, step = F.col("__at"), size - overlap
+    vectors = embed_tokens(parts).select(key.alias("part"), F.col("position").cast("long").alias("__at"), "embedding").filter("__at >= 0")
+    inside = F.sequence(F.greatest(F.floor((at - size) / step) + 1, F.lit(0)), F.floor(at / step))  # the windows that hold a position
+    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"v{i}") for i in range(dims)]
+    pooled = vectors.select("part", F.explode(inside.cast("array<int>")).alias("span"), "embedding").groupBy("part", "span").agg(*means)
+    pooled = pooled.select("part", "span", F.array(*[f"v{i}" for i in range(dims)]).alias("pooled"))
     return pooled.join(spans.select("part", "span", "chunk_text"), ["part", "span"]).select(F.col(f"part.{id_col}").alias(id_col), F.struct("part.macro", "span").alias("chunk"), "chunk_text", F.col("pooled").alias("embedding"))
 
 
@@ -293,14 +299,23 @@ def semantic(df: DataFrame, embed: Callable[[DataFrame, str], DataFrame], buffer
     """
     from ragweave.functions.vectors import distance
 
-    parts = df.select(id_col, F.posexplode(F.split(text_col, r"(?<=[.!?])\s+")).alias("position", "sentence"))
-    around = Window.partitionBy(id_col).orderBy("position").rowsBetween(-buffer, buffer)
-    combined = parts.withColumn("combined", F.array_join(F.collect_list("sentence").over(around), " "))
+    sentences = F.split(text_col, r"(?<=[.!?])\s+")
+    near = lambda s, i: F.array_join(F.slice(s, F.greatest(i - buffer, F.lit(0)) + 1, F.least(i, F.lit(buffer)) + buffer + 1), " ")
+    each = bind(sentences, lambda s: F.transform(s, lambda x, i: F.struct(i.alias("position"), x.alias("sentence"), near(s, i).alias("combined"))))
+    combined = df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.*")
     line = Window.partitionBy(id_col).orderBy("position")
     steps = embed(combined, "combined").withColumn("step", distance("embedding", F.lead("embedding").over(line)))
-    grouped = semantic_groups(steps, id_col, "position", "step", percentile)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda s: s["sentence"]), " ")
-    return grouped.groupBy(id_col, "part").agg(text.alias("chunk_text"))
+    # a text's sentences are no more than the text, so its percentile and parts are found in one row
+    held = steps.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("position", "sentence", "step"))).alias("s"))
+    known = held.withColumn("v", F.array_sort(F.filter(F.transform("s", lambda x: x["step"]), lambda x: x.isNotNull())))
+    at = (F.size("v") - 1) * F.lit(percentile)
+    part = at - F.floor(at)
+    limit = F.get("v", F.floor(at).cast("int")) * (1 - part) + F.get("v", F.ceil(at).cast("int")) * part
+    ends = F.filter(F.transform("s", lambda x, i: F.when(x["step"] > F.col("limit"), i + 1)), lambda x: x.isNotNull())
+    cut = known.withColumn("limit", limit).select(id_col, F.transform("s", lambda x: x["sentence"]).alias("s"), ends.alias("ends"))
+    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("a"), F.concat("ends", F.array(F.size("s"))).alias("b"))
+    texts = F.transform(spans, lambda z: F.array_join(F.slice("s", z["a"] + 1, z["b"] - z["a"]), " "))
+    return cut.select(id_col, F.posexplode(texts).alias("part", "chunk_text")).withColumn("part", F.col("part").cast("long"))
 
 
 # Where speech may be cut, after sentence ends and commas.

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,25 @@ def word_vector(text: str | None, dims: int) -> np.ndarray:
     return (out / size if size else out).astype(np.float32)
 
 
+def word_vectors(texts: Sequence[str | None], dims: int) -> np.ndarray:
+    """``word_vector`` of each text; a word is hashed once."""
+    words = [(t or "").lower().split() for t in texts]
+    flat = pa.array([w for own in words for w in own], pa.string()).dictionary_encode()
+    hashes = np.array([zlib.crc32(w.encode()) for w in flat.dictionary.to_pylist()], np.int64)[flat.indices.to_numpy()]
+    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    out = np.bincount(row * dims + hashes % dims, np.where(hashes >> 16 & 1, 1.0, -1.0), len(words) * dims).reshape(-1, dims)
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return (out / np.where(size > 0, size, 1)).astype(np.float32)
+
+
 def embed(df: DataFrame, text_col: str = "text", dims: int = 64) -> DataFrame:
     """``df`` with stand-in embeddings; blank texts are dropped."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(embedding=[word_vector(t, dims) for t in f[text_col]])
+            for a in range(0, len(f), 512):
+                part = f.iloc[a : a + 512]
+                yield part.assign(embedding=list(word_vectors(part[text_col], dims)))
 
     rows = df.filter(F.trim(text_col) != "")
     return rows.mapInPandas(run, rows.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
