@@ -9,18 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.storage import discard, file_system, materialize, scratch, shared_dir  # noqa: F401
-
-
-#: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = "4m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker gets at once, unless the session says otherwise than Spark's default."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) == "67108864b":
-        spark.conf.set(name, BATCH_BYTES)
+from ragweave.storage import BATCH_BYTES, discard, file_system, materialize, scratch, shared_dir, small_batches  # noqa: F401
 
 
 #: Keys of a join that may count as hot: those with over this fraction of all rows, so there are fewer.

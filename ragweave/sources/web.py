@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.functions.text import collapse
-from ragweave.storage import discard, materialize
+from ragweave.storage import discard, materialize, small_batches
 
 
 def valid_url(x: Column | str) -> Column:
@@ -77,12 +77,20 @@ def visible_text(html: Column | str) -> Column:
     return collapse(F.regexp_replace(h, r"<[^>]*>", " "))
 
 
+#: Pages whose texts a Python worker holds at once.
+PAGES = 64
+
+
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with text of the main element (or container, or body) instead of the HTML."""
     from ragweave.sources.files import page_text
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.drop(columns=[html_col]).assign(text=[page_text(h or "") for h in f[html_col]])
+    schema = pages.drop(html_col).withColumn("text", F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, PAGES) for b in batches for a in range(0, b.num_rows, PAGES)):
+            texts = [page_text(h.as_py() or "") for h in batch.column(html_col)]
+            yield batch.drop_columns([html_col]).append_column("text", pa.array(texts, pa.string())).select(schema.names)
 
-    return pages.mapInPandas(run, pages.drop(html_col).withColumn("text", F.lit(None).cast("string")).schema)
+    small_batches(pages.sparkSession)
+    return pages.mapInArrow(run, schema)
