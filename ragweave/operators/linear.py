@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragweave.storage import materialize
+from ragweave.storage import materialize, small_batches
 
 #: Places of features, labels at most, rounds, step, penalty, and the tree's width.
 DIMS, MOST_LABELS, ROUNDS, STEP, PENALTY, WIDTH = 1 << 16, 64, 30, 0.5, 1e-6, 16
@@ -54,13 +54,38 @@ def featured(rows: DataFrame, text_col: str) -> DataFrame:
     return held.withColumn("features", places).drop("__words")
 
 
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many places each row has, and all of them, of a column of lists or of packed bytes."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        held = column.buffers()[2]
+        return np.diff(ends) // 4, np.frombuffer(held, np.uint8)[ends[0] : ends[-1]].view("<i4") if held else np.zeros(0, "<i4")
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _packed(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """``rows`` (features, y) with only the ``used`` places, by their numbers among these, as packed bytes."""
+    number = np.cumsum(used, dtype="<i4") - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = _places(batch.column("features"))
+            keep = used[at]
+            sizes = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+            ends = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(number[at[keep]].tobytes())])
+            yield pa.RecordBatch.from_arrays([packed, batch.column("y")], ["features", "y"])
+
+    return rows.select("features", "y").mapInArrow(run, "features binary, y int")
+
+
 def _logits(batch: pa.RecordBatch, weights: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Logits of each row, and of its features the place and the row, and the rows' scale."""
-    column = batch.column("features")
-    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    at = column.flatten().to_numpy(zero_copy_only=False)
-    keep = used[at]
-    at, row = at[keep], np.repeat(np.arange(len(n)), n)[keep]
+    n, at = _places(batch.column("features"))
+    row = np.repeat(np.arange(len(n)), n)
+    if not used.all():
+        keep = used[at]
+        at, row = at[keep], row[keep]
     sizes = np.bincount(row, minlength=len(n))
     scale = 1 / np.sqrt(np.maximum(sizes, 1))
     out = np.tile(weights[-1].astype(float), (len(sizes), 1))
@@ -130,7 +155,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray, used: np.ndarray) -> tuple[n
         gap = _softmax(logits)
         gap[np.arange(len(gap)), batch.column("y").to_numpy()] -= 1
         scaled = gap * scale[:, None]
-        parts = [np.bincount(at, scaled[row, c], DIMS) for c in range(gap.shape[1])]
+        parts = [np.bincount(at, scaled[row, c], len(weights) - 1) for c in range(gap.shape[1])]
         return np.vstack([np.stack(parts, 1), gap.sum(0)[None]])
 
     return _summed(rows, weights.shape, of)
@@ -157,6 +182,7 @@ def _losses(rows: DataFrame, weights: np.ndarray, used: np.ndarray) -> np.ndarra
 
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", rounds: int = ROUNDS) -> Model:
     """A model of the labelled texts; at most ``MOST_LABELS`` labels."""
+    small_batches(rows.sparkSession)
     known = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).filter("text is not null and label is not null")
     labels = sorted(r.label for r in known.select("label").distinct().limit(MOST_LABELS + 1).collect())
     if len(labels) > MOST_LABELS:
@@ -169,14 +195,17 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", round
     ready = materialize(featured(known, "text").select("features", y.alias("y"), apart.alias("apart")), "features")
     taught = ready.filter("not apart").select("features", "y")
     used = telling(_counts(taught, len(labels)))
-    seen = np.full(weights.shape, 1e-8)
+    few, every = np.zeros((used.sum() + 1, len(labels))), np.ones(used.sum(), bool)
+    seen = np.full(few.shape, 1e-8)
+    packed = materialize(_packed(taught, used), "packed-features")  # the rounds read nothing else
     for _ in range(rounds):
-        total, n = _gradient(taught, weights.astype(np.float32), used)
+        total, n = _gradient(packed, few.astype(np.float32), every)
         if not n:
             break
-        slope = total / n + PENALTY * weights
+        slope = total / n + PENALTY * few
         seen += slope * slope
-        weights -= STEP * slope / np.sqrt(seen)
+        few -= STEP * slope / np.sqrt(seen)
+    weights[np.append(used, True)] = few
     weights = weights.astype(np.float32)
     losses = _losses(ready.filter("apart").select("features", "y"), weights, used)
     return Model(labels, weights, used, float(TEMPERATURES[losses.argmin()]) if losses.any() else 1.0)
@@ -197,6 +226,7 @@ def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             kept = batch.drop_columns(["features"])
             yield kept.append_column("predicted", labels.take(pa.array(best))).append_column("probability", pa.array(share[np.arange(len(best)), best]))
 
+    small_batches(rows.sparkSession)
     return featured(rows, text_col).drop(text_col).mapInArrow(run, schema)
 
 
