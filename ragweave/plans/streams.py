@@ -134,7 +134,7 @@ def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("event_type") == "click", F.col("event_id") % 3 + 1).otherwise(1)
     rows = e.select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), kind.alias("kind"), n.cast("long").alias("n"))
     end = rows.agg((F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("at")).select(F.lit("end").alias("id"), "at", F.lit(0).cast("long").alias("number"), F.lit("fail").alias("kind"), F.lit(0).cast("long").alias("n"))
-    rows.repartition(4).write.parquet(source)
+    rows.repartition(F.xxhash64("number")).write.parquet(source)
     end.write.mode("append").parquet(source)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)

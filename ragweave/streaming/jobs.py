@@ -66,12 +66,10 @@ class JobMachine(StatefulProcessor):
         self.wake = handle.getValueState("wake", "at_ms long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        first = None
-        for r in rows:
-            self.pending.appendValue((r.at_us, r.number, r.kind, r.n))
-            first = r.at_us if first is None else min(first, r.at_us)
-        if first is not None:
-            self._wake_at(first // 1000 + 1)
+        came = [(r.at_us, r.number, r.kind, r.n) for r in rows]
+        if came:
+            self.pending.appendList(came)  # one call to the store for all
+            self._wake_at(min(came)[0] // 1000 + 1)
         return iter(())
 
     def _wake_at(self, ms: int) -> None:

@@ -5,8 +5,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragweave.operators import evaluate, search
+from ragweave.operators import chunks, evaluate, linear, models, search
 from ragweave.plans import load
+from ragweave.sources import web
+from ragweave.streaming import jobs
 
 QUERIES = load().QUERIES
 
@@ -62,3 +64,58 @@ def test_cells_shuffle_no_vectors(spark, sf):
         want |= {(r.query_id, i, rank + 1) for rank, (_, i) in enumerate(d[:4])}
     assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
     assert search.knn_cells(e, asked, [], 4, 3).count() == 4 * asked.count()
+
+
+def test_semantic_parts_are_found_in_one_row(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "semantic_groups", None)
+    text = "A b c. A b c! A b d? Q r s. Q r t. Z. Q r s"
+    rows = chunks.semantic(spark.createDataFrame([(1, text), (2, None), (3, "one"), (4, "")], "doc_id int, text string"), lambda df, c: models.embed(df, c, 16), percentile=0.5).collect()
+    own = [r.chunk_text for r in sorted(rows, key=lambda r: r.part) if r.doc_id == 1]
+    assert " ".join(own) == text and len(own) > 1 and [r.chunk_text for r in rows if r.doc_id != 1] == ["one"]
+
+
+def test_words_are_hashed_alike_in_a_batch():
+    texts = ["a b c a", "", None, "Ünï x x x y", "q"]
+    assert (models.word_vectors(texts, 16) == np.stack([models.word_vector(t, 16) for t in texts])).all()
+
+
+def test_late_chunks_join_no_positions(spark, sf):
+    assert plan_of(QUERIES["late_chunking"](spark, sf)).count("Join") == 1
+
+
+def test_rounds_read_packed_places_that_count(spark):
+    rng = np.random.default_rng(2)
+    rows = [(sorted(map(int, rng.choice(linear.DIMS, rng.integers(0, 9), replace=False))), int(rng.integers(0, 3))) for _ in range(50)]
+    df = spark.createDataFrame(rows, "features array<int>, y int")
+    used = rng.random(linear.DIMS) < 0.6
+    weights = rng.normal(0, 0.1, (linear.DIMS + 1, 3)).astype(np.float32)
+    kept = np.append(used, True)
+    got, n = linear._gradient(linear._packed(df, used), weights[kept], np.ones(used.sum(), bool))
+    want, m = linear._gradient(df, weights, used)
+    assert n == m == 50 and np.allclose(got, want[kept]) and not want[~kept].any()
+
+
+def test_python_workers_get_small_batches(spark, sf):
+    name, pages = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{sf}/pages.parquet")
+    before = spark.conf.get(name)
+    try:
+        for run in (lambda: web.main_text(pages), lambda: linear.predict(pages.select("page_id", "html"), linear.Model(["x"], np.zeros((linear.DIMS + 1, 1)), np.zeros(linear.DIMS, bool)), "html")):
+            spark.conf.unset(name)
+            run()
+            assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_jobs_commands_go_to_the_store_at_once():
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    machine = jobs.JobMachine(1)
+    machine.handle = machine.wake = machine.pending = Store()
+    row = type("R", (), {"at_us": 5000, "number": 1, "kind": "start", "n": 1})
+    list(machine.handleInputRows(("a",), iter([row] * 50), None))
+    assert calls.count("appendList") == 1 and "appendValue" not in calls
